@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tracewell.llm import langid
+from tracewell.llm.lattice import Lattice
 from tracewell.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, held_out boolean, score string"
@@ -32,7 +33,7 @@ def test_forward_sums_all_segmentations(vocabulary):
     p = r.random((len(vocabulary), 2)) * 1e-2
     place = {x: i for i, x in enumerate(vocabulary) if i}
     words = ["the", "straße", "x", "zzq", "éàü", "引擎", "internationals", "ab"]
-    got = langid.Lattice(vocabulary).scores(words, p)
+    got = Lattice(vocabulary).scores(langid.marked(words), p)
     for w, row in zip(words, got):
         for i in (0, 1):
             assert math.isclose(row[i], math.log(all_segmentations("▁" + w, place, p[:, i])), rel_tol=1e-9)
@@ -42,7 +43,7 @@ def test_expected_counts(vocabulary):
     """The gradient of the log probability by a piece's log probability is the piece's expected count."""
     r = np.random.default_rng(2)
     p = r.random(len(vocabulary)) * 1e-2
-    lattice, words, counts = langid.Lattice(vocabulary), ["another", "the", "qx"], np.array([2.0, 1.0, 5.0])
+    lattice, words, counts = Lattice(vocabulary), langid.marked(["another", "the", "qx"]), np.array([2.0, 1.0, 5.0])
     got = lattice.expected(words, counts, p)
     for i in np.flatnonzero(got)[:12]:
         q = p.copy()

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
+from .lattice import Lattice
 
 VOCABULARY = "piece_bpe_32k.model"
 MAX_WORD = 30
@@ -40,7 +41,6 @@ MARK = "▁"
 _NUMBERS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 LETTER = f"[^\\W\\d_{_NUMBERS}]"
 _WORD = re.compile(f"{LETTER}{{1,{MAX_WORD}}}")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -62,104 +62,8 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-class Lattice:
-    """All pieces within words, as edges between the letters' places."""
-
-    def __init__(self, vocabulary: list[str]):
-        by_length: dict[int, list[tuple[int, int]]] = {}
-        for i, p in enumerate(vocabulary[1:], 1):
-            by_length.setdefault(len(p), []).append((int(self._hash(np.array([list(map(ord, p))], np.uint64))[0]), i))
-        self.tables = {}
-        for k, pairs in sorted(by_length.items()):
-            pairs.sort()
-            self.tables[k] = (np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int32))
-            assert len({h for h, _ in pairs}) == len(pairs)
-        self.longest = max(self.tables)
-
-    @staticmethod
-    def _hash(letters: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(letters), np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(letters.shape[1]):
-                h = (h ^ letters[:, j]) * _BASE
-                h ^= h >> np.uint64(29)
-        return h
-
-    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """start, end (places of the joined words: each word has its letters, the mark and one place more), piece; then each word's first
-        place, and each edge's end within its word. Edges are in the order of that, then of their ends."""
-        codes = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        first = np.cumsum(lengths) - lengths
-        word = np.repeat(np.arange(len(words)), lengths)
-        left = np.repeat(first + lengths, lengths) - np.arange(len(codes))  # letters from here to the word's end
-        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
-        starts, ks, found = [], [], []
-        single = np.zeros(len(codes), bool)
-        for k in range(1, self.longest + 1):
-            keep = left[at] >= k
-            at, h = at[keep], h[keep]
-            if not len(at):
-                break
-            with np.errstate(over="ignore"):
-                h = (h ^ codes[at + (k - 1)]) * _BASE
-                h ^= h >> np.uint64(29)
-            if k in self.tables:
-                known, ids = self.tables[k]
-                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = known[i] == h
-                starts.append(at[hit])
-                ks.append(np.full(int(hit.sum()), k))
-                found.append(ids[i[hit]])
-                if k == 1:
-                    single[at[hit]] = True
-        other = np.flatnonzero(~single)
-        starts.append(other)
-        ks.append(np.ones(len(other), np.int64))
-        found.append(np.zeros(len(other), np.int32))
-        start, k, piece = np.concatenate(starts), np.concatenate(ks), np.concatenate(found)
-        w = word[start]
-        within = start + k - first[w]
-        order = np.lexsort((w, within))
-        start, k, piece, w, within = (x[order] for x in (start, k, piece, w, within))
-        return start + w, start + w + k, piece, first + np.arange(len(words)), within
-
-    def forward(self, words: list[str], p: np.ndarray) -> tuple[np.ndarray, ...]:
-        """p: probabilities by (piece, language). Returns alpha by (place, language) and the edges."""
-        start, end, piece, first, within = self.edges(words)
-        places = int(first[-1]) + len(words[-1]) + 2
-        alpha = np.zeros((places, p.shape[1]))
-        alpha[first] = 1
-        cuts = np.searchsorted(within, np.arange(1, int(within[-1]) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a < b:
-                add = alpha[start[a:b]] * p[piece[a:b]]
-                e = end[a:b]
-                head = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
-                alpha[e[head]] = np.add.reduceat(add, head, axis=0)
-        return alpha, start, end, piece, first, within
-
-    def scores(self, words: list[str], p: np.ndarray) -> np.ndarray:
-        """Log probabilities by (word, language)."""
-        alpha, _, _, _, first, _ = self.forward(words, p)
-        last = np.r_[first[1:], len(alpha)] - 1
-        return np.log(np.maximum(alpha[last], 1e-300))
-
-    def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece under one language; p by piece, counts by word."""
-        alpha, start, end, piece, first, within = self.forward(words, p[:, None])
-        alpha = alpha[:, 0]
-        last = np.r_[first[1:], len(alpha)] - 1
-        beta = np.zeros(len(alpha))
-        beta[last] = 1
-        cuts = np.searchsorted(within, np.arange(1, int(within[-1]) + 2))
-        for a, b in reversed(list(zip(cuts[:-1], cuts[1:], strict=True))):
-            if a < b:
-                np.add.at(beta, start[a:b], beta[end[a:b]] * p[piece[a:b]])
-        word = np.searchsorted(first, start, side="right") - 1
-        whole = alpha[last]
-        share = np.divide(counts, whole, out=np.zeros(len(words)), where=whole > 0)
-        return np.bincount(piece, alpha[start] * p[piece] * beta[end] * share[word], minlength=len(p))
+def marked(words: list[str]) -> list[str]:
+    return [MARK + w for w in words]
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, list]]:
@@ -230,7 +134,7 @@ def fit(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> tuple
                 words, counts = b.column(1).to_pylist(), b.column(2).to_numpy()
                 for i in np.unique(lang):
                     own = np.flatnonzero(lang == i)
-                    total[:, i] += lattice.expected([words[j] for j in own], counts[own].astype(float), p[:, i])
+                    total[:, i] += lattice.expected(marked([words[j] for j in own]), counts[own].astype(float), p[:, i])
             piece, i = np.nonzero(total)
             if len(piece):
                 yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(total[piece, i])], names=["piece", "i", "n"])
@@ -275,7 +179,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | No
                 place.clear()
                 table, new = table[:0], list(every)
             if new and langs:
-                new_scores = np.concatenate([lattice.scores(new[i : i + 20_000], p) for i in range(0, len(new), 20_000)])
+                new_scores = np.concatenate([lattice.scores(marked(new[i : i + 20_000]), p) for i in range(0, len(new), 20_000)])
                 place |= zip(new, range(len(place), len(place) + len(new)), strict=True)
                 table = np.concatenate([table, new_scores])
             chosen = [choose(w, langs, known) for w in words]

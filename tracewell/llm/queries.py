@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_dedup, simhash_dedup, sp_lattice
+from . import decontam, langid, license_scan, line_dedup, simhash_dedup, sp_lattice
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, and whether they decode to its text."""
     return sp_lattice.encode(table(spark, sf_dir, "documents"))
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }

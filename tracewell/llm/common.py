@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -64,3 +64,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def match_spans(text: Column, pattern: Column) -> Column:
+    """Every match of pattern in text, leftmost and without overlap: an array of (start, end, value), in code points, end exclusive.
+
+    Both are read once, whatever the number of matches: what lies between the matches gives their places."""
+    found, parts = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.zip_with(parts, found, lambda p, v: F.struct(F.length(p).alias("skip"), v.alias("value")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = s["at"] + x["skip"]
+        one = F.struct(begin.alias("start"), (begin + F.length(x["value"])).alias("end"), x["value"].alias("value"))
+        return F.when(x["value"].isNull(), s).otherwise(F.struct(one["end"].alias("at"), F.concat(s["out"], F.array(one)).alias("out")))
+
+    return F.aggregate(pairs, start, step, lambda s: s["out"])

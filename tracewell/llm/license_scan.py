@@ -21,6 +21,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import match_spans
+
 #: Phrases and labels of the base.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
@@ -128,24 +130,14 @@ def _count(text: Column) -> Column:
 
 
 def _detections() -> Column:
-    """Of the text _t: an array of (start, end, priority, rule, label) in order."""
+    """Of the text _t, whose lower case is _low: an array of (start, end, priority, rule, label)."""
     known = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(e).alias("pattern"), F.lit(p).alias("priority")) for i, (a, k, e, p) in enumerate(rules())])
-    low = F.lower("_t")
-    gated = F.filter(known, lambda r: F.contains(low, r["keyword"]))
-
-    def spans(r: Column) -> Column:
-        found, parts = F.regexp_extract_all("_t", r["pattern"], F.lit(0)), F.split("_t", r["pattern"], -1)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>").alias("out"))
-
-        def step(s: Column, i: Column) -> Column:
-            begin = s["at"] + F.length(F.get(parts, i))
-            end = begin + F.length(F.get(found, i))
-            one = F.struct(begin.alias("start"), end.alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"))
-            return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+    gated = F.filter(known, lambda r: F.contains(F.col("_low"), r["keyword"]))
 
-        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["out"]))
+    def found(r: Column) -> Column:
+        return F.transform(match_spans(F.col("_t"), r["pattern"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))
 
-    return F.flatten(F.filter(F.transform(gated, spans), lambda x: x.isNotNull()))
+    return F.flatten(F.transform(gated, found))
 
 
 def _surviving(detections: Column) -> Column:
@@ -166,7 +158,7 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of carry; n_words, n_base, first_word, last_word (long); base_labels, labels (string), score (double); and
     detections: array of (label, start, end, priority), the surviving ones, in code points of the text."""
     rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
-    low = F.lower("_t")
+    rows, low = rows.withColumn("_low", F.lower("_t")), F.col("_low")
     gate = F.contains(low, F.lit("cc")) & low.rlike(f"cc{NOT_WORD}+by")
     for word in GATE:
         gate = F.contains(low, F.lit(word)) | gate

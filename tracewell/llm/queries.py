@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cdc, decontam, langid, license_scan, line_dedup, pii, simhash_dedup, sp_lattice
+from . import cdc, chat, decontam, langid, license_scan, line_dedup, pii, pivot_topk, simhash_dedup, sp_lattice
 from .common import table
 
 
@@ -17,6 +18,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, carry=("doc_id", "held_out"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose vec_id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return pivot_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -46,8 +53,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.repeats(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masks as start:end, comma-joined."""
+    parts = chat.rotate(table(spark, sf_dir, "conversations"))
+    return parts.withColumn("masks", F.expr("array_join(transform(masks, m -> concat_ws(':', m.start, m.end)), ',')"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_exact_topk": op2_exact_topk,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_license_scan": op5_license_scan,
@@ -55,6 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_pii": op8_pii,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_topk": pivot_topk.SQL,
+    "op10_chat_format": chat.SQL,
+}

@@ -1,0 +1,20 @@
+"""Gates of sequence similarity, as native predicates; they are part of the meaning, not only pruning."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def length_gate(n: Column, m: Column, threshold: float) -> Column:
+    """Shorter over longer reaches the threshold. Stricter than what a ratio of the threshold asks for."""
+    return F.least(n, m) >= F.greatest(n, m) * F.lit(threshold)
+
+
+def length_comparable(n: Column, m: Column) -> Column:
+    return F.abs(n - m) <= F.floor(F.greatest(n, m) / 2)
+
+
+def quick_ratio(shared: Column, n: Column, m: Column) -> Column:
+    """Twice the size of the multiset intersection over both lengths."""
+    return F.try_divide(2.0 * shared, n + m)

@@ -36,6 +36,17 @@ def test_units_join_to_the_text():
         assert "".join(sp_lattice.units(t)) == (" " + t if t else "")
 
 
+def test_units_of_many_texts():
+    texts = [*TEXTS, None, "", "a  \n b", " \n", "end "]
+    joined, starts, ends, hashes, counts = sp_lattice.Units()(texts)
+    got, at = [joined[i:j] for i, j in zip(starts, ends)], 0
+    for t, n in zip(texts, counts):
+        assert got[at : at + n] == sp_lattice.units(t or "")
+        at += n
+    assert at == len(got)
+    assert len(dict(zip(hashes.tolist(), got))) == len(set(got)) == len(set(hashes.tolist()))
+
+
 def test_against_plain_path(vocabulary):
     some = sorted({u for t in TEXTS for u in sp_lattice.units(t)} - {" " + "x" * 3000})
     assert sp_lattice.encode_units(some) == [plain_best(u, vocabulary) for u in some]

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 from .lattice import Lattice
+from .wordhash import Hasher, Remembered, codes_of
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -132,18 +133,64 @@ def _spelled(path: str | None) -> list[bytes]:
     return spelled
 
 
+class Units:
+    """The units of many texts at once: hashes, and places in the joined texts, each with one space before it and a newline after."""
+
+    def __init__(self):
+        self.hasher = Hasher()
+
+    def __call__(self, texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        joined = "".join(f" {t}\n" if t else "\n" for t in texts)
+        codes = codes_of(joined)
+        alone, space = (codes == 10) | (codes == ord(MARK)), codes == 32
+        begins = alone | space
+        begins[1:] = alone[1:] | alone[:-1] | (space[1:] & ~space[:-1])
+        starts = np.flatnonzero(begins)
+        ends = np.r_[starts[1:], len(codes)]
+        limits = np.cumsum([len(t) + 2 if t else 1 for t in texts])
+        # The newline after each text is no unit of it.
+        last = np.searchsorted(starts, limits) - 1
+        keep = np.ones(len(starts), bool)
+        keep[last] = False
+        counts = np.diff(last, prepend=-1) - 1
+        starts, ends = starts[keep], ends[keep]
+        return joined, starts, ends, self.hasher(codes, starts, ends), counts
+
+
+@lru_cache(maxsize=1)
+def _units() -> Units:
+    return Units()
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list]]:
+    """Batches in pieces of a bounded number of characters (or one text): the batch, the first row, the texts."""
+    for b in batches:
+        part, size, first = [], 0, 0
+        for i, x in enumerate(b.column(0)):
+            part.append(x.as_py())
+            size += len(part[-1] or "")
+            if size >= CHARACTERS:
+                yield b, first, part
+                part, size, first = [], 0, i + 1
+        if part:
+            yield b, first, part
+
+
 def unit_counts(docs: DataFrame) -> DataFrame:
-    """(unit, n) over every text, counted in the workers before units are dealt out."""
+    """(unit, n) over every text, counted in the workers before units are dealt out; units longer than LONGEST_UNIT are left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
-        for b in batches:
-            for x in b.column(0):
-                seen.update(u for u in units(x.as_py() or "") if len(u) <= LONGEST_UNIT)
-                if len(seen) >= REMEMBERED:
-                    yield out()
-                    seen.clear()
+        for _, _, texts in _parts(batches):
+            joined, starts, ends, hashes, _ = _units()(texts)
+            _, at, counts = np.unique(hashes, return_index=True, return_counts=True)
+            for i, j, n in zip(starts[at].tolist(), ends[at].tolist(), counts.tolist(), strict=True):
+                if j - i <= LONGEST_UNIT:
+                    seen[joined[i:j]] += n
+            if len(seen) >= REMEMBERED:
+                yield out()
+                seen.clear()
         if seen:
             yield out()
 
@@ -181,6 +228,44 @@ def lexicon(some: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return grouped.select("unit", "n", F.expr(fold).alias("best")).select("unit", F.expr(trace).alias("path"))
 
 
+def _append(flat: np.ndarray, at: np.ndarray, more: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.concatenate([flat, np.fromiter((x for own in more for x in own), np.int32)])
+    return flat, np.concatenate([at, at[-1] + np.cumsum([len(own) for own in more], dtype=np.int64)])
+
+
+def _start(path: str | None, base: dict[str, list[int]]) -> tuple[Remembered, np.ndarray, np.ndarray]:
+    """What a worker knows at first, the lexicon: numbers by hash, and the ids of each number in one row, with their limits."""
+    known = Remembered(REMEMBERED + len(base))
+    flat, at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    if base:
+        codes = codes_of("".join(base))
+        ends = np.cumsum([len(u) for u in base])
+        known.add(_units().hasher(codes, np.r_[0, ends[:-1]], ends), np.arange(len(base)))
+        flat, at = _append(flat, at, list(base.values()))
+    return known, flat, at
+
+
+def _gathered(flat: np.ndarray, at: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of these numbers, joined, and their lengths."""
+    sizes = at[numbers + 1] - at[numbers]
+    return flat[np.repeat(at[numbers] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
+def _same(ids: np.ndarray, limits: np.ndarray, texts: list[str | None], path: str | None) -> np.ndarray:
+    """Whether the ids of each text spell it, with a space before it."""
+    flat, at = _spelling(path)
+    data, sizes = _gathered(flat, at, ids)
+    ends = np.r_[0, np.cumsum(sizes)][limits]
+    data = data.tobytes()
+    return np.array([data[ends[i] : ends[i + 1]] == ((" " + t).encode("utf-8", "surrogatepass") if t else b"") for i, t in enumerate(texts)], bool)
+
+
+@lru_cache(maxsize=2)
+def _spelling(path: str | None) -> tuple[np.ndarray, np.ndarray]:
+    spelled = _spelled(path)
+    return np.frombuffer(b"".join(spelled), np.uint8), np.r_[0, np.cumsum([len(s) for s in spelled])]
+
+
 def encode(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("doc_id",), size: int = LEXICON) -> DataFrame:
     """The columns of carry, ids array<int>, n_pieces long, and round_trip: whether the ids decode to the text again."""
     spark = docs.sparkSession
@@ -191,40 +276,29 @@ def encode(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("
     sent = spark.sparkContext.broadcast((path, known))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, known = sent.value
-        place = {u: i for i, u in enumerate(known)}
-        base = np.fromiter((x for ids in known.values() for x in ids), np.int32)
-        base_at = np.cumsum([0, *map(len, known.values())])
-        flat, at = base, base_at
-        for b in batches:
-            row = 0
-            while row < len(b):
-                first, size, texts = row, 0, []
-                while row < len(b) and size < CHARACTERS:
-                    texts.append(b.column(0)[row].as_py())
-                    size += len(texts[-1] or "")
-                    row += 1
-                cut = [units(t or "") for t in texts]
-                every = set().union(*cut)
-                new = list(every.difference(place))
-                if len(place) + len(new) > REMEMBERED + len(known):
-                    place = {u: i for i, u in enumerate(known)}
-                    flat, at, new = base, base_at, list(every.difference(place))
-                if new:
-                    ids = encode_units(new, path)
-                    place |= zip(new, range(len(place), len(place) + len(new)), strict=True)
-                    flat = np.concatenate([flat, np.fromiter((x for own in ids for x in own), np.int32)])
-                    at = np.concatenate([at, at[-1] + np.cumsum([len(own) for own in ids])])
-                rows, same = [], []
-                for t, own in zip(texts, cut, strict=True):
-                    w = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-                    n = at[w + 1] - at[w]
-                    ids = flat[np.repeat(at[w] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-                    rows.append(None if t is None else ids)
-                    same.append(None if t is None else decode_ids(ids.tolist(), path) == t)
-                rest = [b.column(i + 1).slice(first, len(texts)) for i in range(len(carry))]
-                counts = pa.array([None if x is None else len(x) for x in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(rows, pa.list_(pa.int32())), counts, pa.array(same, pa.bool_())], names=[*carry, "ids", "n_pieces", "round_trip"])
+        path, base = sent.value
+        known, flat, at = _start(path, base)
+        for b, first, texts in _parts(batches):
+            joined, starts, ends, hashes, counts = _units()(texts)
+            distinct, place, back = np.unique(hashes, return_index=True, return_inverse=True)
+            if known.full(len(distinct)):
+                known, flat, at = _start(path, base)
+            found = known.find(distinct)
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                said = [joined[i:j] for i, j in zip(starts[place[new]].tolist(), ends[place[new]].tolist(), strict=True)]
+                for i in range(0, len(said), 20_000):
+                    flat, at = _append(flat, at, encode_units(said[i : i + 20_000], path))
+                found[new] = len(at) - 1 - len(new) + np.arange(len(new))
+                known.add(distinct[new], found[new])
+            ids, sizes = _gathered(flat, at, found[back])
+            # Where each text's ids begin; a text of no units has none.
+            limits = np.r_[0, np.cumsum(np.r_[0, np.cumsum(sizes)][np.cumsum(counts)] - np.r_[0, np.cumsum(sizes)][np.cumsum(counts) - counts])]
+            same = _same(ids, limits, texts, path)
+            rest = [b.column(i + 1).slice(first, len(texts)) for i in range(len(carry))]
+            none = np.array([t is None for t in texts])
+            lists = pa.ListArray.from_arrays(pa.array(limits.astype(np.int32), mask=np.r_[none, False]), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*rest, lists, pa.array(np.diff(limits), mask=none), pa.array(same, mask=none)], names=[*carry, "ids", "n_pieces", "round_trip"])
 
     rows = docs.select(F.col("text").cast("string").alias("_text"), *carry)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])

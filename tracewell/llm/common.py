@@ -1,36 +1,17 @@
-"""What the operators of this package share: written intermediate tables, components, small helpers."""
+"""What the operators of this package share, besides the library's written tables and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-DOCUMENT_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..operators.graph import components
+from ..plans.tables import shared_dir, stash, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; one is made only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["DOCUMENT_COLUMNS", "components", "document_columns", "match_spans", "shared_dir", "stash", "table"]
 
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+DOCUMENT_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
 
 def document_columns(docs: DataFrame) -> DataFrame:
@@ -39,33 +20,6 @@ def document_columns(docs: DataFrame) -> DataFrame:
     return docs.select(*[(F.col(c) if c in have else F.lit(None)).cast(DOCUMENT_TYPES[c]).alias(c) for c in DOCUMENT_COLUMNS])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected links.
-
-    edges: (a long, b long). Returns (node, root), root being the smallest node of the component, for every
-    node that has a link to another. Alternating large-star and small-star rounds: each makes linear
-    work, and their number is logarithmic in the length of chains. Rounds are written tables.
-    """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs, before = stash(pairs, "links"), None
-    for _ in range(max_rounds):
-        both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stash(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = stash(small.where("u <> v").distinct(), "small")
-        now = pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
 def match_spans(text: Column, pattern: Column) -> Column:
     """Every match of pattern in text, leftmost and without overlap: an array of (start, end, value), in code points, end exclusive.
 

@@ -7,7 +7,8 @@ letter which the file doesn't have. The probabilities are fitted by expectation
 every training row, and each round sums expected piece counts over that table. The table gathered to the driver is the model itself:
 languages times pieces, of which MAX_LANGS bounds the first and the vocabulary the second.
 
-Words are maximal runs of letters of the lower-cased text; a run of more than MAX_WORD letters is read as consecutive words.
+Words are maximal runs of letters of the lower-cased text; a run of more than MAX_WORD letters is read as consecutive words. Workers hold words by a
+64-bit hash.
 
 Nulls and the like: a training row with null text, null lang or no letter teaches nothing. A text that is null or
 has no letter is `und` with score 0, and so is every text where no language could be learned. Ties go to the language that sorts first.
@@ -16,9 +17,9 @@ Repeated rows count as often as they stand there. Columns other than those named
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 from .lattice import Lattice
+from .wordhash import Hasher, Remembered, codes_of
 
 VOCABULARY = "piece_bpe_32k.model"
 MAX_WORD = 30
@@ -37,11 +39,6 @@ SMOOTHING = 0.01
 #: Words that a worker remembers, and letters that it takes at a time.
 REMEMBERED, LETTERS = 300_000, 1_000_000
 MARK = "▁"
-#: Word characters that are numbers but not digits, such as one half.
-_NUMBERS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTER = f"[^\\W\\d_{_NUMBERS}]"
-_WORD = re.compile(f"{LETTER}{{1,{MAX_WORD}}}")
-
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -55,17 +52,41 @@ def pieces(path: str | None = None) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or vocabulary_path())
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return [""] + [p for p in found if re.fullmatch(f"{MARK}?{LETTER}+|{MARK}", p) and p == p.lower()]
+    return [""] + [p for p in found if (p.removeprefix(MARK).isalpha() or p == MARK) and p == p.lower()]
+
 
+class Words:
+    """The words of many texts: their hashes and places in the joined lower-cased text, and how many each text has."""
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    def __init__(self):
+        self.hasher = Hasher()
+        self.letter = np.array([chr(i).isalpha() for i in range(0x110000)])
+
+    def __call__(self, texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        low = [(t or "").lower() for t in texts]
+        joined = " ".join(low) + " "
+        codes = codes_of(joined)
+        change = np.diff(self.letter[codes].astype(np.int8), prepend=0)
+        starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+        long = np.flatnonzero(ends - starts > MAX_WORD)
+        if len(long):
+            more = [np.arange(starts[i] + MAX_WORD, ends[i], MAX_WORD) for i in long]
+            starts, ends = np.sort(np.concatenate([starts, *more])), np.sort(np.concatenate([ends, *more]))
+        limits = np.cumsum([len(t) + 1 for t in low])
+        counts = np.diff(np.searchsorted(starts, limits), prepend=0)
+        return joined, starts, ends, self.hasher(codes, starts, ends), counts
 
 
 def marked(words: list[str]) -> list[str]:
     return [MARK + w for w in words]
 
 
+@lru_cache(maxsize=1)
+def _tools(path: str | None) -> tuple[Lattice, Words]:
+    """A worker makes them once."""
+    return Lattice(pieces(path)), Words()
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, list]]:
     """Batches in pieces of a bounded number of letters (or one text): the batch, the first row, the texts."""
     for b in batches:
@@ -86,22 +107,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        _, words = _tools(None)
 
         def out() -> pa.RecordBatch:
-            langs, words = zip(*seen, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+            langs, said = zip(*seen, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(said), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
         for b, first, texts in _texts(batches, 1):
-            langs = b.column(0).slice(first, len(texts)).to_pylist()
             by_lang: dict[str, list] = {}
-            for lang, text in zip(langs, texts, strict=True):
+            for lang, text in zip(b.column(0).slice(first, len(texts)).to_pylist(), texts, strict=True):
                 by_lang.setdefault(lang, []).append(text)
             for lang, own in by_lang.items():
-                new: Counter = Counter()
-                for t in own:
-                    new.update(words_of(t))
-                for w, n in new.items():
-                    seen[lang, w] += n
+                joined, starts, ends, hashes, _ = words(own)
+                _, at, counts = np.unique(hashes, return_index=True, return_counts=True)
+                for i, j, n in zip(starts[at].tolist(), ends[at].tolist(), counts.tolist(), strict=True):
+                    seen[lang, joined[i:j]] += n
             if len(seen) >= REMEMBERED:
                 yield out()
                 seen.clear()
@@ -128,7 +148,7 @@ def fit(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> tuple
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             path, langs, p = sent.value
-            lattice, total, place = Lattice(pieces(path)), np.zeros(p.shape), {x: i for i, x in enumerate(langs)}
+            lattice, total, place = _tools(path)[0], np.zeros(p.shape), {x: i for i, x in enumerate(langs)}
             for b in batches:
                 lang = np.array([place[x] for x in b.column(0).to_pylist()])
                 words, counts = b.column(1).to_pylist(), b.column(2).to_numpy()
@@ -148,11 +168,8 @@ def fit(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> tuple
     return langs, p
 
 
-def choose(words: list[str], langs: list[str], known: Callable[[list[str]], np.ndarray]) -> tuple[str, float]:
-    """The label and score of a text. known: gives log probabilities by (word, language)."""
-    if not words or not langs:
-        return "und", 0.0
-    total = known(words).sum(axis=0)
+def choose(total: np.ndarray, langs: list[str]) -> tuple[str, float]:
+    """The label and score of a text, from its log probability by language."""
     best = int(np.argmax(total))
     return langs[best], float(round(1 / np.exp(np.maximum(total - total[best], -700)).sum(), 6))
 
@@ -164,26 +181,28 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | No
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, langs, p = sent.value
-        lattice = Lattice(pieces(path))
-        place: dict[str, int] = {}
-        table = np.zeros((0, len(langs)), np.float64)
-
-        def known(words: list[str]) -> np.ndarray:
-            return table[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
-
+        (lattice, words), known = _tools(path), Remembered(REMEMBERED)
+        table = np.zeros((0, len(langs)))
         for b, first, texts in _texts(batches, 0):
-            words = list(map(words_of, texts))
-            every = set().union(*words)
-            new = list(every.difference(place))
-            if len(place) + len(new) > REMEMBERED:
-                place.clear()
-                table, new = table[:0], list(every)
-            if new and langs:
-                new_scores = np.concatenate([lattice.scores(marked(new[i : i + 20_000]), p) for i in range(0, len(new), 20_000)])
-                place |= zip(new, range(len(place), len(place) + len(new)), strict=True)
-                table = np.concatenate([table, new_scores])
-            chosen = [choose(w, langs, known) for w in words]
-            labels, scores = [x for x, _ in chosen], [x for _, x in chosen]
+            joined, starts, ends, hashes, counts = words(texts)
+            distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+            if known.full(len(distinct)):
+                known.clear()
+                table = table[:0]
+            found = known.find(distinct)
+            new = np.flatnonzero(found < 0)
+            if len(new) and langs:
+                said = [joined[i:j] for i, j in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+                more = np.concatenate([lattice.scores(marked(said[i : i + 20_000]), p) for i in range(0, len(said), 20_000)])
+                found[new] = len(table) + np.arange(len(new))
+                known.add(distinct[new], found[new])
+                table = np.concatenate([table, more])
+            labels, scores = ["und"] * len(texts), [0.0] * len(texts)
+            if len(hashes) and langs:
+                some = np.flatnonzero(counts)
+                totals = np.add.reduceat(table[found[back]], (np.cumsum(counts) - counts)[some], axis=0)
+                for i, total in zip(some.tolist(), totals, strict=True):
+                    labels[i], scores[i] = choose(total, langs)
             rest = [b.column(i + 1).slice(first, len(texts)) for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
 

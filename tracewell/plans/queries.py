@@ -163,7 +163,8 @@ SELECT item_id AS helper, doc_id AS text, count(*) AS n_shared, round(count(*) *
 GROUP BY item_id, doc_id, n HAVING count(*) >= 0.6 * n
 """)
 def helper_coverage(spark: SparkSession, d: str) -> DataFrame:
-    grams = lambda df, key: df.select(key, T.plain_tokens("text").alias("tokens")).where("size(tokens) >= 5").select(key, F.expr(_GRAMS).alias("grams"))
+    # Written first: else the tokenizer would be inlined into the function of every position.
+    grams = lambda df, key: stash(df.select(key, T.plain_tokens("text").alias("tokens")), key).where("size(tokens) >= 5").select(key, F.expr(_GRAMS).alias("grams"))
     return references.covered_by(grams(table(spark, d, "benchmark"), "item_id"), grams(table(spark, d, "documents"), "doc_id"), "item_id", "doc_id", "grams", 0.6)
 
 

@@ -99,6 +99,55 @@ def dup_priority_ladder(spark: SparkSession, d: str) -> DataFrame:
     return similarity.cluster_ladder(members, edges)
 
 
+def _copies(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of 20 tokens or more: key, lang, source, n_lines, class (the smallest key of its token sequence), rep (of those in its lang)."""
+    docs = table(spark, d, "documents").withColumn("tokens", T.plain_tokens("text")).where("size(tokens) >= 20")
+    copies = stash(docs.select(F.col("doc_id").alias("key"), "lang", "source", (F.regexp_count("text", F.lit("\n")) + 1).alias("n_lines"), F.sha2(F.array_join("tokens", " "), 256).alias("h")), "copies")
+    reps = stash(copies.groupBy("h", "lang").agg(F.min("key").alias("rep")), "reps")
+    classes = stash(reps.groupBy("h").agg(F.min("rep").alias("class")), "classes")
+    same = reps.join(classes, "h").withColumnRenamed("lang", "_lang")
+    return stash(copies.join(same, (copies["h"] == same["h"]) & copies["lang"].eqNullSafe(same["_lang"])).select("key", "lang", "source", "n_lines", "class", "rep"), "members")
+
+
+def _ratio_pairs(spark: SparkSession, d: str, copies: DataFrame) -> DataFrame:
+    """(a, b, ratio) of the representatives in each lang whose matching-block ratio is 0.82 or more; the smaller key goes first."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "lang", T.plain_tokens("text").alias("tokens"))
+    records = stash(docs.join(copies.where("key = rep").select("key"), "key", "left_semi"), "all")
+    # The quick ratio is an upper bound of the ratio.
+    pairs = similarity.quick_pairs(records, 0.82, same="lang").select("a", "b")
+    both = pairs.join(records.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(records.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
+    return both.select("a", "b", seq_ratio("x", "y", 0.82).alias("ratio")).where("ratio >= 0.82D")
+
+
+def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(root, key, class, source, n_lines) of every member of a cluster of two or more, and (root, similarity) of its edges."""
+    copies = _copies(spark, d)
+    pairs = stash(_ratio_pairs(spark, d, copies), "pairs")
+    # Equal sequences are one node whatever their lang, so a large group of copies is no star of edges.
+    of = copies.where("key = rep").select("rep", "class")
+    ends = pairs.join(of.select(F.col("rep").alias("a"), F.col("class").alias("u")), "a").join(of.select(F.col("rep").alias("b"), F.col("class").alias("v")), "b")
+    roots = stash(components(ends.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))), "roots").withColumnRenamed("node", "class")
+    rooted = stash(copies.join(roots, "class", "left").select(F.coalesce("root", "class").alias("root"), "key", "class", "source", "n_lines"), "rooted")
+    members = rooted.join(rooted.groupBy("root").agg(F.count("*").alias("size")).where("size > 1").select("root"), "root", "left_semi")
+    equal = rooted.where("key <> class").select("root", F.lit(1.0).alias("similarity")).distinct()
+    edges = ends.join(roots, ends["u"] == roots["class"]).select("root", F.col("ratio").alias("similarity")).unionAll(equal)
+    return members, edges
+
+
+@query()
+def dup_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of a cluster, copies included: root (the smallest key of all), key, class (the smallest key of its token sequence).
+    Equal sequences link in any lang and source, others of one lang by a matching-block ratio of 0.82, which SQL can't state."""
+    return _clustered(spark, d)[0].select("root", "key", "class")
+
+
+@query()
+def dup_member_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """The ladder over every member of the clusters of dup_members."""
+    members, edges = _clustered(spark, d)
+    return similarity.cluster_ladder(members.select("root", F.col("source").alias("grp"), "n_lines", (F.col("source") == "src0").alias("lib")), edges)
+
+
 @query(f"""WITH {_RECORDS}
 SELECT l.key AS a, r.key AS b, round(2.0 * len(list_intersect(l.bag, r.bag)) / (l.n + r.n), 6) AS similarity
 FROM full_rec l JOIN full_rec r ON l.key < r.key AND least(l.n, r.n) >= greatest(l.n, r.n) * 0.9

@@ -173,11 +173,8 @@ def pair_identifier_diff(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def seq_ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Matching-block similarity, which SQL can't state, of the pairs that the quick ratio leaves; the smaller key goes first."""
-    records = stash(_records(spark, d), "all")
-    pairs = similarity.quick_pairs(records, 0.9, same="lang").select("a", "b")
-    both = pairs.join(records.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(records.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", seq_ratio("x", "y", 0.82).alias("ratio")).where("ratio >= 0.82D")
+    """Matching-block similarity of 0.82 or more, which SQL can't state, of distinct token sequences of one lang; the smaller key goes first."""
+    return _ratio_pairs(spark, d, _copies(spark, d))
 
 
 @query("""

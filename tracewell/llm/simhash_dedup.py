@@ -18,7 +18,7 @@ Columns other than doc_id and text play no part. An empty table gives an empty r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -125,11 +125,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _labelled(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, labelled: Callable[[DataFrame], DataFrame] = _labelled) -> DataFrame:
     """The documents' five columns, one row of each component: that with the smallest doc_id. Rows without a doc_id come last; of
-    rows with the same doc_id in one component one stays, always the same."""
+    rows with the same doc_id in one component one stays, always the same. labelled gives doc_id, rid and root."""
     docs = document_columns(docs)
-    best = _labelled(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
+    best = labelled(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
     kept = stash(best.select("best.rid"), "kept")
     rows = docs.withColumn("rid", F.xxhash64("doc_id", "text")).join(kept, "rid", "left_semi")
     return rows.groupBy("rid").agg(F.min(F.struct(*DOCUMENT_COLUMNS)).alias("d")).select("d.*")

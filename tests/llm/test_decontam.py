@@ -80,3 +80,40 @@ def test_edge_cases(spark):
     assert decontam.contaminated(d, b.where("false")).count() == 0
     assert decontam.contaminated(d.where("false"), b).count() == 0
     assert decontam.clean(d, b.where("false")).count() == 6
+
+
+def test_masks_leave_no_placement():
+    from itertools import combinations
+
+    for n in range(5, 14):
+        masks = decontam.COVER if n >= 10 else decontam.SHORT
+        for other in combinations(range(n), 2 if n >= 10 else 1):
+            fits = lambda m: any(all(m[i - o] == "0" for i in other if o <= i < o + len(m)) for o in range(n - len(m) + 1))
+            assert any(map(fits, masks)), (n, other)
+
+
+def test_every_overlap_on_every_diagonal(spark):
+    """Without seeds: each item along each document."""
+    docs, items = make()
+    r = random.Random(2)
+    for n in range(5, 14):
+        items.append((100 + n, " ".join(f"i{n}x{k}" for k in range(n))))
+        for k in range(4):
+            w = items[-1][1].split()
+            for at in r.sample(range(n), 2 if n >= 10 else 1):
+                w[at] = "other"
+            docs.append((1000 + 10 * n + k, "so " * k + " ".join(w)))
+    want = set()
+    for d, t in docs:
+        w = plain_words(t)
+        for i, u in items:
+            v = plain_words(u)
+            width = min(13, len(v))
+            for g in range(-len(v), len(w)) if min(len(v), len(w)) >= 5 else ():
+                equal = [0 <= g + j < len(w) and w[g + j] == x for j, x in enumerate(v)]
+                if any(5 * sum(equal[s : s + width]) >= 4 * width for s in range(len(v) - width + 1)):
+                    want.add((d, i))
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **k: {(x.doc_id, x.item_id) for x in decontam.contaminated(*tables, **k).collect()}
+    assert found(every=True) == want
+    assert len(want) - len(found()) > 10

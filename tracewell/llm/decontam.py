@@ -4,8 +4,12 @@ Texts are read as words: runs of letters and digits of the lower-cased text. A s
 in a row; it hashes the words where the mask has a 1 and ignores the others, so substitutions there don't hide an overlap. The seeds
 at every position of every document meet the seeds of the benchmark's items; each hit gives a diagonal (the document's position less the item's).
 On that diagonal the item is held against the document word by word, and the overlap counts if some WINDOW words in a row (the
-whole item, if shorter) have SIMILARITY of their words equal. Items of MIN_WORDS to SPAN - 1 words are sought as they are, without
-ignored positions.
+whole item, if shorter) have SIMILARITY of their words equal.
+
+With every=True the masks are COVER, and SHORT for items of MIN_WORDS to SPAN - 1 words, and no overlap that counts is missed. SIMILARITY
+allows two other words in a window of 10 to 13; some 10 words in a row of it have at most two, and wherever two of 10 stand, a mask of
+COVER fits beside them. It allows one other word in an item of 5 to 9; some 5 words in a row have at most one, and a mask of SHORT fits.
+With every=False the masks are MASKS, short items are sought as they are, without ignored positions, and overlaps can be missed.
 
 The benchmark's seeds are broadcast while there are BROADCAST_SEEDS or fewer; beyond, the join shuffles. Equal items are sought once.
 
@@ -22,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import stash
 
 MASKS = ("1101101011", "1110010111")
+#: Of weight 6; found by search, tested by counting.
+COVER = ("1110111", "11011011", "1110000111", "111111", "1101001011")
+SHORT = ("1111", "10111", "11011", "11101")
 SPAN = 10
 MIN_WORDS = 5
 WINDOW = 13
@@ -38,8 +45,8 @@ def _worded(df: DataFrame) -> DataFrame:
     return df.withColumn("words", F.expr(_WORDS)).where(f"size(words) >= {MIN_WORDS}")
 
 
-def _seeds(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """(key, pos, seed) of every position; df: (key, words). lengths: those of the short items. The seed of a mask beyond the end is null."""
+def _seeds(df: DataFrame, masks: list[str]) -> DataFrame:
+    """(key, pos, seed) of every position; df: (key, words). The seed of a mask beyond the end is null, and left out."""
     width = SPAN - 1
     blocks = f"transform(sequence(0, (size(h) - 1) div {BLOCK}), b -> slice(h, b * {BLOCK} + 1, {BLOCK + width}))"
     shifted = df.select("key", F.expr("transform(words, w -> xxhash64(w))").alias("h")).select("key", F.posexplode(F.expr(blocks)).alias("block", "h"))
@@ -52,11 +59,11 @@ def _seeds(df: DataFrame, lengths: list[int]) -> DataFrame:
         used = [f"h{i}" for i, x in enumerate(mask) if x == "1"]
         return f"IF({used[-1]} IS NULL, NULL, xxhash64({len(mask)}, '{mask}', {', '.join(used)}))"
 
-    every = [seed(m) for m in MASKS] + [seed("1" * n) for n in lengths]
+    every = [seed(m) for m in masks]
     return at.select("key", "pos", F.explode(F.expr(f"array({', '.join(every)})")).alias("seed")).where("seed IS NOT NULL")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFrame:
     """(doc_id, rid, item_id, start, n_equal, n_words, best): a row for each document and item that overlap. start: the word of the
     document where the item's first word would stand; n_equal: the item's words that stand there; best: the most within a window.
     rid is xxhash64(doc_id, text)."""
@@ -65,8 +72,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stash(items.withColumn("key", F.xxhash64("words")), "items")
     texts = stash(items.groupBy("key").agg(F.first("words").alias("words")), "texts")
     lengths = sorted(r[0] for r in texts.select(F.size("words").alias("n")).where(f"n < {SPAN}").distinct().collect())  # at most SPAN - MIN_WORDS of them
-    sought = _seeds(texts.where(f"size(words) >= {SPAN}"), [])
-    short = [
+    masks, short_masks = (COVER, SHORT if lengths else ()) if every else (MASKS, ["1" * n for n in lengths])
+    sought = _seeds(texts.where(f"size(words) >= {SPAN}"), [*masks])
+    if every and lengths:
+        sought = sought.unionAll(_seeds(texts.where(f"size(words) < {SPAN}"), [*SHORT]))
+    short = [] if every else [
         texts.where(f"size(words) = {n}").select("key", F.lit(0).alias("pos"), F.expr(f"xxhash64({n}, '{'1' * n}', {', '.join(f'xxhash64(words[{i}])' for i in range(n))})").alias("seed"))
         for n in lengths
     ]
@@ -74,7 +84,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sought = sought.unionAll(s)
     sought = stash(sought.select(F.col("key").alias("item"), F.col("pos").alias("item_pos"), "seed").distinct(), "seeds")
     few = sought.count() <= BROADCAST_SEEDS
-    found = _seeds(_worded(docs).select(F.col("rid").alias("key"), "words"), lengths).join(F.broadcast(sought) if few else sought, "seed")
+    found = _seeds(_worded(docs).select(F.col("rid").alias("key"), "words"), [*masks, *short_masks]).join(F.broadcast(sought) if few else sought, "seed")
     hits = stash(found.select(F.col("key").alias("rid"), "item", F.expr("pos - item_pos").alias("diagonal")).distinct(), "hits")
     rids = stash(hits.select("rid").distinct(), "rids")
     few = rids.count() <= BROADCAST_ROWS
@@ -90,14 +100,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return one.select("doc_id", "rid", "item_id", (-F.col("m.back")).cast("bigint").alias("start"), *long.values())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFrame:
     """(doc_id, item_id, start, n_equal, n_words, best) of every document and item that overlap."""
-    return overlaps(docs, benchmark).drop("rid")
+    return overlaps(docs, benchmark, every).drop("rid")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFrame:
     """The rows of docs that overlap no item."""
-    rids = stash(overlaps(docs, benchmark).select("rid").distinct(), "contaminated")
+    rids = stash(overlaps(docs, benchmark, every).select("rid").distinct(), "contaminated")
     few = rids.count() <= BROADCAST_ROWS
     rows = docs.select("*", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("__rid"))
     rids = rids.withColumnRenamed("rid", "__rid")

@@ -298,15 +298,27 @@ near AS (SELECT s.p_partkey AS part, xs.p_partkey AS found, 'words' AS how, len(
 SELECT part, found, how, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY score DESC, far, found) AS r FROM (SELECT * FROM named UNION ALL SELECT * FROM near)) WHERE r = 1
 """)
 def capability_name_then_doc(spark: SparkSession, d: str) -> DataFrame:
-    """By name, and by the words of the name only where no name is the same; then the nearest size."""
+    """By name, and by the words of the name only where no name is the same; then the nearest size. Of a part of the ids and one type, as the SQL has it."""
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_type")
-    mine, index = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("part"), "p_name", F.col("p_size").alias("size")), part.where("p_partkey % 20 <> 0 AND p_type = 'ECONOMY'")
+    return _name_then_words(part.where("p_partkey % 20 = 0"), part.where("p_partkey % 20 <> 0 AND p_type = 'ECONOMY'"))
+
+
+@query()
+def capability_search(spark: SparkSession, d: str) -> DataFrame:
+    """The search of capability_name_then_doc for the parts whose key is divisible by 100, among all other parts."""
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    return _name_then_words(part.where("p_partkey % 100 = 0"), part)
+
+
+def _name_then_words(mine: DataFrame, index: DataFrame) -> DataFrame:
+    """(part, found, how, score): the best of index for each of mine, never itself."""
+    mine = mine.select(F.col("p_partkey").alias("part"), "p_name", F.col("p_size").alias("size"))
     index = index.select(F.col("p_partkey").alias("found"), F.col("p_name").alias("name"), F.col("p_size").alias("other"))
-    named = mine.join(index, mine["p_name"] == index["name"]).select("part", "found", F.lit("name").alias("how"), F.lit(1.0).alias("score"), F.abs(F.col("size") - F.col("other")).alias("far"))
+    named = mine.join(index, F.expr("p_name = name AND part <> found")).select("part", "found", F.lit("name").alias("how"), F.lit(1.0).alias("score"), F.abs(F.col("size") - F.col("other")).alias("far"))
     rest = mine.join(named.select("part").distinct(), "part", "left_anti")
     worded = lambda df, c: df.withColumn("t", F.array_distinct(F.split(c, " "))).withColumn("w", F.explode("t"))
     l, r = worded(rest, "p_name").alias("l"), worded(index, "name").alias("r")
-    near = l.join(r, F.expr("l.w = r.w")).groupBy("part", "found").agg(F.first(T.jaccard(F.col("l.t"), F.col("r.t"))).alias("score"), F.first(F.expr("abs(size - other)")).alias("far"))
+    near = l.join(r, F.expr("l.w = r.w AND l.part <> r.found")).groupBy("part", "found").agg(F.first(T.jaccard(F.col("l.t"), F.col("r.t"))).alias("score"), F.first(F.expr("abs(size - other)")).alias("far"))
     every = named.unionByName(near.withColumn("how", F.lit("words")))
     return references.first_of_each(every.withColumn("_s", -F.col("score")), ["part"], ["_s", "far", "found"]).select("part", "found", "how", F.round("score", 6).alias("score"))
 

@@ -91,8 +91,8 @@ def test_helper(project):
 
 
 def test_twins(project):
-    (one,) = scan.twins(project[1]).collect()
-    assert one.members == ["experiments/t1.py:left", "experiments/t2.py:right"] and one.priority == "high" and one.max_sim == 1.0
+    found = {tuple(r.members): (r.priority, r.max_sim) for r in scan.twins(project[1]).collect()}
+    assert found == {("experiments/t1.py:left", "experiments/t2.py:right"): ("high", 1.0), ("experiments/p.py:persist", "experiments/q.py:keep"): ("high", 0.9863)}
 
 
 def test_signatures():

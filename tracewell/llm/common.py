@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..plans.tables import shared_dir, stash, table
+from ..plans.tables import scratch, shared_dir, stash, table
 
-__all__ = ["DOCUMENT_COLUMNS", "components", "document_columns", "match_spans", "shared_dir", "stash", "table"]
+__all__ = ["DOCUMENT_COLUMNS", "components", "document_columns", "match_spans", "scratch", "shared_dir", "stash", "table"]
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 DOCUMENT_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import stash
+from ..plans.tables import discard, scratch, stash
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,23 +13,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges: (a, b). Returns (node, root), root being the smallest node of the component, for every
     node that has a link to another. Alternating large-star and small-star rounds: each makes linear
-    work, and their number is logarithmic in the length of chains. Rounds are written tables.
+    work, and their number is logarithmic in the length of chains. Rounds are written tables; one goes when the next is written.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs, before = stash(pairs, "links"), None
-    for _ in range(max_rounds):
-        both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stash(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = stash(small.where("u <> v").distinct(), "small")
-        now = pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    with scratch():
+        pairs, before = stash(pairs, "links"), None
+        for _ in range(max_rounds):
+            both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large = stash(large, "large")
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+            last, pairs = pairs, stash(small.where("u <> v").distinct(), "small")
+            discard(last, large)
+            now = pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+            if now == before:
+                break
+            before = now
+        else:
+            raise RuntimeError("components did not settle")
+        roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return stash(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()), "components", keep=True)

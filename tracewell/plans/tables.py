@@ -4,30 +4,64 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The tables of the scopes that are open, innermost last; those written outside of any scope stay.
+_open: list[list[tuple[SparkSession, str]]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; one is made only where the session names none."""
+    """The folder that every executor sees. Where the session names none a temporary one is made, if the master is local; on a cluster
+    each machine would write to its own, so it has to be named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, and survives the loss of executors."""
+def stash(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage, and survives the loss of executors. The table goes with the
+    innermost scratch(), or with keep with the one around it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark)}/stash/{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{label}")
+    if len(_open) > keep:
+        _open[-1 - keep].append((spark, path))
+    return spark.read.schema(df.schema).parquet(f"{path}/{label}")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/stash/")[0] + "/stash/" + f.rpartition("/stash/")[2].split("/")[0] for f in df.inputFiles() if "/stash/" in f}:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are stashed inside are deleted at the end, but for those with keep. What leaves the block must not read them."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            _delete(spark, path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

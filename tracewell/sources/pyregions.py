@@ -123,13 +123,15 @@ def _outer(spans: list[tuple[int, int]]) -> set[tuple[int, int]]:
 # -- what a block is like -----------------------------------------------------------
 
 
-def _pattern(s: ast.Subscript) -> tuple:
-    """The parts of a subscript of several: names, constants, or none."""
-    return tuple(e.id if isinstance(e, ast.Name) else e.value if isinstance(e, ast.Constant) else None for e in s.slice.elts)
+def _part(e: ast.expr) -> object:
+    match e:
+        case ast.Name(id=held) | ast.Constant(value=held):
+            return held
+    return None
 
 
 def _patterns(block: Block) -> list[tuple[ast.Subscript, tuple]]:
-    found = [(n, _pattern(n)) for n in _walk(block) if isinstance(n, ast.Subscript) and isinstance(n.slice, ast.Tuple)]
+    found = [(n, tuple(map(_part, n.slice.elts))) for n in _walk(block) if isinstance(n, ast.Subscript) and isinstance(n.slice, ast.Tuple)]
     return [(n, p) for n, p in found if len(p) >= 2]
 
 
@@ -163,43 +165,44 @@ def short_signature(block: Block) -> str | None:
     return "; ".join(f"{k} x{c}" for k, c in sorted(seen.items())) if sum(seen.values()) >= 2 else None
 
 
-def _names(block: Block, local: set[str]) -> tuple[list[str], list[str]]:
-    """What a block reads of the function's names without setting it, and what it reads before it sets it, in that order."""
-    first: dict[str, str] = {}
-    stored, outputs = set(), {}
+def _events(block: Block) -> list[tuple[str, str | None, str | None, bool]]:
+    """What a block does, in order: (Store or Load, name), and (Call, the name at the root if there is one, what is called, whether it is a method)."""
+    out = []
     for n in _in_order(block):
-        if isinstance(n, ast.Name) and isinstance(n.ctx, (ast.Store, ast.Load)):
-            kind = type(n.ctx).__name__
-            if kind == "Store":
-                stored.add(n.id)
-                if first.get(n.id) == "Load":
-                    outputs[n.id] = None
-            first.setdefault(n.id, kind)
-    read = {n.id for n in _in_order(block) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)}
-    return sorted((read & local) - stored), list(outputs)
-
-
-def _effects(block: Block, local: set[str]) -> list[str]:
-    stored, out = set(), set()
-    for n in _in_order(block):
-        if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
-            stored.add(n.id)
+        if isinstance(n, ast.Name):
+            out.append((type(n.ctx).__name__, n.id, None, False))
         elif isinstance(n, ast.Call):
-            root = n.func
-            while isinstance(root, ast.Attribute):
-                root = root.value
-            if isinstance(root, ast.Name):
-                method = isinstance(n.func, ast.Attribute)
-                if root.id not in local:
-                    out.add(n.func.attr if method else root.id)
-                elif method and root.id not in stored:
-                    out.add(f"method_on_input:{n.func.attr}")
-    return sorted(out)
+            spelled = [getattr(x, "attr", None) or getattr(x, "id", None) for x in _chain(n.func)]
+            out.append(("Call", getattr(_chain(n.func)[-1], "id", None), spelled[0], isinstance(n.func, ast.Attribute)))
+    return out
+
+
+def _chain(e: ast.expr) -> list[ast.expr]:
+    """a.b.c as c, b and a."""
+    return [e, *_chain(e.value)] if isinstance(e, ast.Attribute) else [e]
+
+
+def _first(events: list, kind: str) -> dict[str, int]:
+    return {name: i for i, (what, name, *_) in reversed(list(enumerate(events))) if what == kind}
+
+
+def _names(events: list, local: set[str]) -> tuple[list[str], list[str]]:
+    """What a block reads of the function's names without setting it, and what it reads before it sets it, as it sets them."""
+    read, stored = _first(events, "Load"), _first(events, "Store")
+    outputs = [x for x, i in sorted(stored.items(), key=lambda x: x[1]) if x in read and min(read[x], i) == read[x]]
+    return sorted(read.keys() & local - stored.keys()), outputs
+
+
+def _effects(events: list, local: set[str]) -> list[str]:
+    """What is called by names that aren't the function's, and methods of names that the block hasn't set by then."""
+    calls, stored = [(i, *x[1:]) for i, x in enumerate(events) if x[0] == "Call" and x[1]], _first(events, "Store")
+    foreign = {called for _, root, called, _ in calls if root not in local}
+    owned = {f"method_on_input:{called}" for i, root, called, method in calls if method and root in local and stored.get(root, i) >= i}
+    return sorted(foreign | owned)
 
 
-def _called(block: Block) -> list[str]:
-    names = (n.func.attr if isinstance(n.func, ast.Attribute) else n.func.id if isinstance(n.func, ast.Name) else None for n in _in_order(block) if isinstance(n, ast.Call))
-    return sorted({x for x in names if x})
+def _called(events: list) -> list[str]:
+    return sorted({called for what, _, called, _ in events if what == "Call" and called})
 
 
 def _shape(block: Block) -> str:
@@ -227,7 +230,8 @@ def _region(block: Block, outer: bool, local: set[str], later: set[str]) -> tupl
     inside = list(_in_order(block))
     if any(isinstance(x, (ast.Yield, ast.YieldFrom, ast.Await)) for x in inside):
         return None
-    inputs, outputs = _names(block, local)
+    events = _events(block)
+    inputs, outputs = _names(events, local)
     leaves = sum(isinstance(x, (ast.Break, ast.Continue)) for x in inside)
     tries = sum(isinstance(x, ast.Try) for x in _walk(block))
     score = round(min(1.0, max(0.0, 1.0 - 0.08 * len(inputs) - 0.1 * len(outputs) - 0.06 * leaves - 0.04 * tries)), 2)
@@ -239,7 +243,7 @@ def _region(block: Block, outer: bool, local: set[str], later: set[str]) -> tupl
         return None
     stored = {x.id for x in _walk(block) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store)}
     exits = sorted({EXITS[type(x)] for x in _walk(block) if type(x) in EXITS})
-    return (start, end, n, end - start + 1, tokens, _called(block), _shape(block), inputs, outputs, sorted(stored & later), _effects(block, local), exits, score, risk, signals, channel, signature)
+    return (start, end, n, end - start + 1, tokens, _called(events), _shape(block), inputs, outputs, sorted(stored & later), _effects(events, local), exits, score, risk, signals, channel, signature)
 
 
 def of_file(path: str, source: str) -> tuple[list[tuple], list[tuple]]:
@@ -259,7 +263,7 @@ def of_file(path: str, source: str) -> tuple[list[tuple], list[tuple]]:
         if 3 <= len(body) <= 60 and node.name not in COMMON:
             tokens = _tokens(body)
             if len(tokens) >= 25:
-                bodies.append((path, parent, node.name, node.lineno, len(body), tokens, _called(body), _calls_method(body)))
+                bodies.append((path, parent, node.name, node.lineno, len(body), tokens, _called(_events(body)), _calls_method(body)))
     covered = {r[1] for r in regions if whole.get(r[1]) == (r[2], r[3])}
     return regions, [(*b[:7], b[1] in covered, b[7]) for b in bodies]
 

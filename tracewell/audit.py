@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .functions.ids import with_evidence_hash
 from .operators import findings, review
 from .plans.tables import stash
-from .scanners import capabilities, contracts, deadcode, duplicates, regions
-from .sources import files, git, locks, pyregions, pysource
+from .scanners import capabilities, contracts, deadcode, duplicates, hardcoded, prose, regions
+from .sources import files, git, locks, pyregions, pysource, tex
 
 SCHEMA_VERSION = 1
 
@@ -55,10 +55,14 @@ def run(spark: SparkSession, root: str, package: str = "", public_api: bool = Fa
         "unreferenced": contracts.unreferenced(symbols, facts),
         "cli_without_bootstrap": contracts.cli_without_bootstrap(facts),
         "experiment_as_library": contracts.experiment_as_library(facts),
+        "experiment_path_hacks": contracts.experiment_path_hacks(facts),
+        "dynamic_module_runtime_coupling": contracts.dynamic_module_runtime_coupling(stash(pysource.couplings(source), "couplings")),
+        "hardcoded": hardcoded.hardcoded(files.texts(source)),
+        "style": prose.findings(tex.documents(files.scan(spark, root, endings=(".tex",)))),
     }
     tables = {k: stash(v, k) for k, v in tables.items()}
-    channels = {k: v for k, v in tables.items() if k not in ("duplicates", "forks", "regions", "deadcode", "capabilities")}
-    found = review.candidates(tables["duplicates"], tables["regions"], tables["forks"], tables["deadcode"], tables["capabilities"], contracts=channels)
+    named = ("duplicates", "regions", "forks", "deadcode", "capabilities", "hardcoded", "style")
+    found = review.candidates(**{k: tables[k] for k in named}, contracts={k: v for k, v in tables.items() if k not in named})
     found = stash(with_evidence_hash(found), "candidates")
     strip = lambda m: F.regexp_replace(F.regexp_replace(m, ":[0-9]+-[0-9]+$", ""), "#[0-9]+$", "")
     clusters = [tables[s].select(F.lit(s).alias("scanner"), F.col("id").alias("target_id"), F.transform("members", strip).alias("symbols")) for s in ("duplicates", "regions")]
@@ -66,10 +70,10 @@ def run(spark: SparkSession, root: str, package: str = "", public_api: bool = Fa
     return Audit(tables, found, findings.fuse(clusters[0].unionByName(clusters[1])), facts.where("kind = 'failure'").select("path", "value", "line"), locks.locked_files(manifests, source))
 
 
-def report(audit: Audit, root: str, package: str = "", most: int = 10_000) -> dict:
-    """The report as a document; a scanner's findings are those of a project, and over `most` of them only the counts are told."""
+def report(audit: Audit, root: str, package: str = "") -> dict:
+    """The report as a document. It is the findings of one project, which a reviewer reads; they come to the driver a partition at a time."""
     counts = {r.scanner: {"candidates": r.n, "risks": r.risks} for r in audit.candidates.groupBy("scanner").agg(F.count("*").alias("n"), F.count("risk").alias("risks")).collect()}
-    rows = audit.candidates.orderBy(F.col("risk").isNull(), "risk", "scanner", "target_id").limit(most + 1).collect()
+    rows = audit.candidates.orderBy(F.col("risk").isNull(), "risk", "scanner", "target_id").toLocalIterator()
     return {
         "schema_version": SCHEMA_VERSION,
         "package": package,
@@ -78,7 +82,7 @@ def report(audit: Audit, root: str, package: str = "", most: int = 10_000) -> di
         "issues": findings.issue_summary(audit.issues).first().asDict(),
         "parse_failures": [r.asDict() for r in audit.failures.orderBy("path").collect()],
         "complete": audit.failures.isEmpty(),
-        "candidates": [{"scanner": r.scanner, "target_id": r.target_id, "display": r.display, "risk": r.risk, "evidence_hash": r.evidence_hash, "detail": json.loads(r.detail)} for r in rows] if len(rows) <= most else None,
+        "candidates": [{"scanner": r.scanner, "target_id": r.target_id, "display": r.display, "risk": r.risk, "evidence_hash": r.evidence_hash, "detail": json.loads(r.detail)} for r in rows],
     }
 
 

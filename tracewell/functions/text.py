@@ -36,9 +36,9 @@ def sentences(text: Column | str) -> Column:
 
 
 def name_tokens(name: Column | str) -> Column:
-    """The distinct parts of a snake_case or camelCase name, two letters or more, lower-cased."""
+    """The distinct runs of letters and of digits of a snake_case or camelCase name, two characters or more, lower-cased."""
     cut = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")
-    return F.array_sort(F.array_distinct(_all(F.lower(cut), "[a-z0-9]{2,}")))
+    return F.array_sort(F.array_distinct(_all(F.lower(cut), "[a-z]{2,}|[0-9]{2,}")))
 
 
 def tag_tokens(text: Column | str) -> Column:

@@ -19,7 +19,8 @@ def idf(sets: DataFrame, n: int) -> DataFrame:
 
 
 def _weighted(sets: DataFrame, weights: DataFrame) -> DataFrame:
-    return sets.join(weights.select("token", "idf"), "token")
+    """With idf; a token without a weight weighs 1."""
+    return sets.join(weights.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -39,8 +40,7 @@ def weighted_jaccard(queries: DataFrame, index: DataFrame, weights: DataFrame, k
 
 
 def coverage(queries: DataFrame, index: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
-    """(query, rank, key, score): the share of the query's weight that a record has. Query tokens that no record has weigh as rare ones
-    where weights has them, and nothing elsewhere."""
+    """(query, rank, key, score): the share of the query's weight that a record has."""
     q = _weighted(queries, weights).withColumnRenamed("key", "query")
     wq = q.groupBy("query").agg(F.sum("idf").alias("wq"))
     met = index.join(q, "token").groupBy("query", "key").agg(F.sum("idf").alias("w"))

@@ -10,7 +10,7 @@ from ..functions.text import sentences, words
 #: Fixed values.
 EXCESS_VOCAB = ("additionally", "moreover", "furthermore", "delve", "leverage", "utilize", "pivotal", "crucial", "notably", "significant", "robust")
 TEMPLATE_OPENERS = ("However", "Moreover", "Furthermore", "Additionally", "In summary", "Notably", "Specifically", "Importantly", "Overall", "In conclusion")
-STAT_TOKENS = r"(?i)\b(p[- ]?value|p{=}?|CI|confidence|std|sd|mean|accuracy|error|variance|statistic|t[- ]?stat|F[- ]?stat|n{=}|dof|p{<}|p{>})\b".replace("{=}", "[{]=[}]").replace("{<}", "[{]<[}]").replace("{>}", "[{]>[}]")
+STAT_TOKENS = r"(?i)\b(p[- ]?value|p[{]=[}]?|CI|confidence|std|sd|mean|accuracy|error|variance|statistic|t[- ]?stat|F[- ]?stat|n[{]=[}]|dof|p[{]<[}]|p[{]>[}])\b"
 EM_DASHES_PER_100, LEAST_BURSTINESS = 0.5, 0.4
 
 
@@ -36,7 +36,7 @@ def overall_burstiness(table: DataFrame) -> DataFrame:
 def semicolon_chains(table: DataFrame) -> DataFrame:
     """(key, i, subclauses, triad_like, technical, severity) of sentences of three subclauses or more."""
     parts = F.filter(F.transform(F.split("sentence", ";"), lambda p: F.trim(p)), lambda p: p != "")
-    cut = table.withColumn("parts", parts).where("size(parts) >= 3").withColumn("sizes", F.transform("parts", lambda p: F.size(words(p)).cast("double")))
+    cut = table.withColumn("parts", parts).where("size(parts) >= 3").withColumn("sizes", F.transform("parts", lambda p: F.size(words(F.replace(p, F.lit(" [MATH] "), F.lit(" ")))).cast("double")))
     mean = F.expr("aggregate(sizes, 0D, (a, x) -> a + x) / size(sizes)")
     cut = cut.withColumn("m", mean).withColumn("s", F.expr("sqrt(aggregate(sizes, 0D, (a, x) -> a + (x - m) * (x - m)) / size(sizes))"))
     cut = cut.withColumn("triad_like", F.expr("m > 0 AND s / nullif(m, 0) < 0.45D")).withColumn("technical", F.expr("size(filter(parts, p -> p RLIKE '[0-9]|\\\\[MATH\\\\]')) >= 0.5D * size(parts)"))
@@ -60,10 +60,12 @@ def excess_vocabulary(docs: DataFrame, key: str, text: str, vocabulary: tuple[st
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"), F.explode(F.array(*map(F.lit, vocabulary))).alias("word"))
     rows = rows.where(F.contains(F.lower("t"), F.col("word")))
     tails = F.slice(F.split("t", F.concat(F.lit(r"(?i)\b"), F.col("word"), F.lit(r"\b")), -1), 2, 1 << 30)
-    # A tail ends where the next occurrence begins; what lies beyond is read from the text behind it.
+    # A tail ends where the next occurrence begins: it is read on through as many as 80 characters can hold.
+    rows = rows.withColumn("tails", tails)
+    ahead = F.transform("tails", lambda _, i: F.array_join(F.slice("tails", i + 1, F.lit(20)), "word")) if any(w in vocabulary for w in ("significant", "robust")) else F.col("tails")
     exempt = F.col("word").isin("significant", "robust")
     technical = lambda x: F.substring(x, 1, 80).rlike(STAT_TOKENS) | ((F.col("word") == "robust") & F.substring(x, 1, 80).rlike(r"\b(?:to|against|w[.]?r[.]?t[.]?)\b"))
-    kept = F.filter(tails, lambda x: ~(exempt & technical(x)))
+    kept = F.filter(ahead, lambda x: ~(exempt & technical(x)))
     return rows.select("key", "word", F.size(kept).alias("n")).where("n > 0")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -437,7 +438,7 @@ def idf_table(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.idf(retrieval.token_sets(docs, "doc_id", T.plain_tokens("text")), docs.count()).where("df >= 2").withColumn("idf", F.round("idf", 6))
 
 
-_JACCARD = f"""{_SETS}, wq AS (SELECT query, sum(idf) AS wq FROM q JOIN f USING (token) GROUP BY query), wx AS (SELECT key, sum(idf) AS wx FROM x JOIN f USING (token) GROUP BY key),
+_JACCARD = f"""{_SETS}, wq AS (SELECT query, sum(coalesce(idf, 1.0)) AS wq FROM q LEFT JOIN f USING (token) GROUP BY query), wx AS (SELECT key, sum(idf) AS wx FROM x JOIN f USING (token) GROUP BY key),
 met AS (SELECT query, key, sum(idf) AS w FROM q JOIN x USING (token) JOIN f USING (token) GROUP BY query, key),
 scored AS (SELECT query, key, round(w / (wq + wx - w), 6) AS score FROM met JOIN wq USING (query) JOIN wx USING (key))"""
 
@@ -447,7 +448,7 @@ def retrieve_weighted_jaccard_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.weighted_jaccard(*_sets(spark, d))
 
 
-_COVERAGE = f"""{_SETS}, wq AS (SELECT query, sum(idf) AS wq FROM q JOIN f USING (token) GROUP BY query),
+_COVERAGE = f"""{_SETS}, wq AS (SELECT query, sum(coalesce(idf, 1.0)) AS wq FROM q LEFT JOIN f USING (token) GROUP BY query),
 scored AS (SELECT query, key, round(sum(idf) / wq, 6) AS score FROM q JOIN x USING (token) JOIN f USING (token) JOIN wq USING (query) GROUP BY query, key, wq)"""
 
 
@@ -463,7 +464,9 @@ def retrieve_closure(spark: SparkSession, d: str) -> DataFrame:
     """Items call those whose number leaves the same by 7."""
     ranked = stash(retrieval.weighted_jaccard(*_sets(spark, d)), "ranked")
     items = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 7).alias("m"))
-    calls = items.withColumnRenamed("item_id", "query").join(items.withColumnRenamed("item_id", "callee"), "m").select("query", "callee")
+    # The closure takes five callees by name, so six of each group are enough.
+    first = items.withColumn("n", F.row_number().over(W.partitionBy("m").orderBy("item_id"))).where("n <= 6").select("m", F.col("item_id").alias("callee"))
+    calls = items.withColumnRenamed("item_id", "query").join(first, "m").select("query", "callee")
     return retrieval.closure(ranked, calls)
 
 

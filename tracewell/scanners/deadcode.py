@@ -21,24 +21,30 @@ def _first(rows: DataFrame, by: list[str], order: str) -> DataFrame:
 
 
 def _dynamic(facts: DataFrame, files: DataFrame, package: str) -> DataFrame:
-    """(path, target, mechanism, line) of imports by hint: a path from the file's folder, then from the root; or a module by name, else the
-    first whose last part is the hint's or begins with it and an underscore."""
+    """(path, target, mechanism, line) of imports by hint: a path from the file's folder, then from the root; or a module by name, else the longest that the
+    name begins with, else the first whose last part is the hint's or begins with it and an underscore."""
     hints = facts.where("kind = 'dynamic'").select("path", F.col("value").alias("hint"), F.col("detail").alias("mechanism"), "line").distinct()
     targets = files.select(F.col("path").alias("target"), "module")
     clean = F.regexp_replace("hint", "^(\\./)+", "")
-    here = F.concat(F.regexp_replace("path", "[^/]*$", ""), clean)
+    # Two folders up at most, as ../../x.py has them.
+    up = lambda p: F.regexp_replace(F.regexp_replace(p, "(^|/)(?!\\.\\./)[^/]+/\\.\\./", "$1"), "(^|/)(?!\\.\\./)[^/]+/\\.\\./", "$1")
+    here = up(F.concat(F.regexp_replace("path", "[^/]*$", ""), clean))
     by_path = hints.where("hint LIKE '%.py'").withColumn("way", F.explode(F.array(F.struct(F.lit(0).alias("n"), here.alias("p")), F.struct(F.lit(1).alias("n"), clean.alias("p")))))
     by_path = _first(by_path.join(targets, F.col("way.p") == F.col("target")), ["path", "hint", "line"], "way.n")
     named = hints.where("NOT hint LIKE '%.py'")
     exact = named.join(targets.where("module <> ''"), F.col("hint") == F.col("module"))
     last = F.regexp_extract("hint", "([^.]*)$", 1)
-    rest = named.join(exact.select("path", "hint", "line"), ["path", "hint", "line"], "left_anti").withColumn("last", last)
+    known = ["path", "hint", "line"]
+    rest = named.join(exact.select(*known), known, "left_anti")
+    begun = rest.withColumn("begin", F.explode(F.expr("transform(sequence(1, greatest(1, size(split(hint, '[.]')) - 1)), n -> substring_index(hint, '.', n))")))
+    begun = _first(begun.join(targets.where("module <> ''"), (F.col("begin") == F.col("module")) & (F.col("begin") != F.col("hint"))).withColumn("short", -F.length("begin")), known, "short")
+    rest = rest.join(begun.select(*known), known, "left_anti").withColumn("last", last)
     # The first word of a module's last part is what a nickname can be: an equi-join for whole and for begun names.
     bases = targets.where("module <> ''").withColumn("base", F.regexp_extract("module", "([^.]*)$", 1))
     starts = F.transform(F.filter(F.sequence(F.lit(1), F.length("base")), lambda i: (i == F.length("base")) | (F.substring(F.col("base"), i + 1, F.lit(1)) == "_")), lambda i: F.substring(F.col("base"), F.lit(1), i))
     near = _first(rest.join(bases.withColumn("start", F.explode(starts)), F.col("last") == F.col("start")), ["path", "hint", "line"], "target")
     columns = ["path", "target", "mechanism", "line"]
-    return by_path.select(columns).unionAll(exact.select(columns)).unionAll(near.select(columns)).where("path <> target").distinct()
+    return by_path.select(columns).unionAll(exact.select(columns)).unionAll(begun.select(columns)).unionAll(near.select(columns)).where("path <> target").distinct()
 
 
 def _pinned(facts: DataFrame, files: DataFrame, package: str) -> DataFrame:
@@ -55,9 +61,10 @@ def _pinned(facts: DataFrame, files: DataFrame, package: str) -> DataFrame:
 def _mentions(texts: DataFrame, needles: DataFrame, own: str) -> DataFrame:
     """(target), distinct: files one of whose needles stands in a text of another file, between characters that no name has. needles: (target, needle)."""
     runs = texts.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)))).alias("run"))
-    # A needle within a longer run begins and ends where a name does: every such stretch of the run is tried, which a run has few of.
-    parts = F.split("run", "(?<=[./-])|(?=[./-])")
-    stretch = runs.withColumn("p", parts).where("size(p) <= 40").select("path", F.explode(F.expr("flatten(transform(sequence(1, size(p)), i -> transform(sequence(1, size(p) - i + 1), n -> array_join(slice(p, i, n), ''))))")).alias("needle")).distinct()
+    # A needle within a longer run begins and ends where a name does: every such stretch of the run is tried that has no more parts than a needle.
+    parts = "split({}, '(?<=[./-])|(?=[./-])')"
+    most = needles.agg(F.max(F.expr(f"size({parts.format('needle')})"))).first()[0] or 0
+    stretch = runs.withColumn("p", F.expr(parts.format("run"))).select("path", F.explode(F.expr(f"flatten(transform(sequence(1, size(p)), i -> transform(sequence(1, least({max(1, most)}, size(p) - i + 1)), n -> array_join(slice(p, i, n), ''))))")).alias("needle")).distinct()
     return stretch.join(needles.where("needle <> ''"), "needle").where(own).select("target").distinct()
 
 

@@ -12,10 +12,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SYMBOLS = """path string, position int, name string, qualname string, enclosing string, start_line int, end_line int, n_lines int, ordinal int, stub boolean,
  arg_count int, node_count int, top_signature array<string>, normalized string, tokens array<string>, sig_shape string, signature string, doc string,
- reuse_tokens array<string>, calls array<string>, literals array<string>, returns_value boolean, return_kinds array<string>, forwards_to string"""
+ reuse_tokens array<string>, calls array<string>, literals array<string>, returns_value boolean, return_kinds array<string>, forwards_to string, passes_varargs boolean, passes_kwargs boolean"""
+COUPLINGS = """path string, loads array<struct<line:int,kind:string,binding:string,source:string>>, module_bindings array<string>,
+ rebindings array<struct<line:int,target:string,attribute:string>>"""
 FACTS = "path string, kind string, value string, detail string, line int"
 #: Fixed values.
 CODE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*|==|!=|<=|>=|:=|->|\*\*|//|<<|>>|[^\s]")
@@ -117,10 +120,12 @@ def _return_kinds(node: ast.AST) -> list[str]:
     return sorted(kinds) or ["implicit-None"]
 
 
-def _forward(bare: ast.AST) -> str | None:
-    """The call whose value is all that the function returns."""
-    only = bare.body[0] if len(bare.body) == 1 else None
-    return dotted(only.value.func) if isinstance(only, ast.Return) and isinstance(only.value, ast.Call) else None
+def _forward(bare: ast.AST) -> tuple[str | None, bool, bool]:
+    """The call whose value is all that the function returns, and whether it is given * or **."""
+    match bare.body:
+        case [ast.Return(value=ast.Call(func=target, args=args, keywords=named))]:
+            return dotted(target) or ast.unparse(target), any(isinstance(a, ast.Starred) for a in args), any(k.arg is None for k in named)
+    return None, False, False
 
 
 def symbols_of(path: str, source: str) -> list[tuple]:
@@ -142,7 +147,7 @@ def symbols_of(path: str, source: str) -> list[tuple]:
         rows.append((
             path, position, node.name, qualname, holder, node.lineno, node.end_lineno, node.end_lineno - node.lineno + 1, ordinal, stub,
             len(args.posonlyargs) + len(args.args) + len(args.kwonlyargs), sum(1 for _ in ast.walk(bare)), [type(x).__name__ for x in bare.body[:3]],
-            plain, CODE.findall(plain), _shape(args), f"({ast.unparse(args)})", doc, REUSE.findall(alike)[:REUSE_TOKENS], sorted(calls), sorted(literals), returns, _return_kinds(node), _forward(bare),
+            plain, CODE.findall(plain), _shape(args), f"({ast.unparse(args)})", doc, REUSE.findall(alike)[:REUSE_TOKENS], sorted(calls), sorted(literals), returns, _return_kinds(node), *_forward(bare),
         ))
     return rows
 
@@ -226,6 +231,8 @@ def facts_of(path: str, source: str) -> list[tuple]:
             for k in node.keywords:
                 if k.arg == "strict" and isinstance(k.value, ast.Constant) and k.value.value is False and name.rsplit(".", 1)[-1] == "load_state_dict":
                     add("strict_false", name, node)
+                if k.arg == "weights_only" and isinstance(k.value, ast.Constant) and k.value.value is False and name.endswith("torch.load"):
+                    add("weights_only_false", name, node)
         if found := _environment(node):
             add(found[0], found[1], node)
         if isinstance(node, ast.Constant) and isinstance(node.value, str) and "generation_" in node.value:
@@ -235,8 +242,39 @@ def facts_of(path: str, source: str) -> list[tuple]:
     return rows
 
 
+#: Calls that load a module while a program runs: what is loaded, and which argument says it. What gives a module to a name.
+LOADERS = {"spec_from_file_location": ("file", 1), "import_module": ("import", 0)}
+MAKERS = ("module_from_spec", "import_module")
+SAID = 160
+
+
+def _root(e: ast.AST) -> str | None:
+    return _root(e.value) if isinstance(e, (ast.Attribute, ast.Subscript)) else getattr(e, "id", None)
+
+
+def couplings_of(path: str, source: str) -> list[tuple]:
+    """One row if the file loads modules by a call whose value is given to something: the loads, the names that hold modules, and the
+    attributes that are set on these names, or on the variable of a loop over them."""
+    nodes = list(ast.walk(ast.parse(source)))
+    given = [(n, n.targets if isinstance(n, ast.Assign) else [n.target]) for n in nodes if isinstance(n, (ast.Assign, ast.AnnAssign, ast.AugAssign))]
+    called = [(n, [t.id for t in targets if isinstance(t, ast.Name)], n.value, dotted(n.value.func) or "") for n, targets in given if isinstance(n.value, ast.Call) and not isinstance(n, ast.AugAssign)]
+    ends = lambda name, among: next((x for x in among if name.endswith(x)), None)
+    loads = []
+    for n, names, call, name in called:
+        if loader := ends(name, LOADERS):
+            kind, place = LOADERS[loader]
+            said = ast.unparse(call.args[place]) if len(call.args) > place else "<dynamic>"
+            loads.append({"line": n.lineno, "kind": kind, "binding": names[0] if names else None, "source": said[:SAID]})
+    if not loads:
+        return []
+    modules = {x for _, names, _, name in called if ends(name, MAKERS) for x in names}
+    loops = {n.target.id for n in nodes if isinstance(n, (ast.For, ast.AsyncFor)) and isinstance(n.target, ast.Name) and any(_root(x) in modules for x in ast.walk(n.iter))}
+    set_on = [{"line": n.lineno, "target": ast.unparse(t)[:SAID], "attribute": t.attr} for n, targets in given for t in targets if isinstance(t, ast.Attribute) and _root(t) in modules | loops]
+    return [(path, loads, sorted(modules), set_on)]
+
+
 def _rows(files: DataFrame, of, schema: str, quiet: bool) -> DataFrame:
-    columns = [c.split()[0] for c in schema.replace("\n", " ").split(",")]
+    columns = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -257,5 +295,10 @@ def symbols(files: DataFrame) -> DataFrame:
     return _rows(files, symbols_of, SYMBOLS, quiet=True)
 
 
+def couplings(files: DataFrame) -> DataFrame:
+    """A row for each file that loads modules while it runs."""
+    return _rows(files, couplings_of, COUPLINGS, quiet=True)
+
+
 def facts(files: DataFrame) -> DataFrame:
     return _rows(files, facts_of, FACTS, quiet=False)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import scratch, stash
 
 MASKS = ("1101101011", "1110010111")
 #: Of weight 6; found by search, tested by counting.
@@ -107,7 +107,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, every: bool = False) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFrame:
     """The rows of docs that overlap no item."""
-    rids = stash(overlaps(docs, benchmark, every).select("rid").distinct(), "contaminated")
+    with scratch():
+        rids = stash(overlaps(docs, benchmark, every).select("rid").distinct(), "contaminated", keep=True)
     few = rids.count() <= BROADCAST_ROWS
     rows = docs.select("*", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("__rid"))
     rids = rids.withColumnRenamed("rid", "__rid")

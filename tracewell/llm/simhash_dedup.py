@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, components, document_columns, stash
+from ..plans.tables import broadcast_if_small
+from .common import DOCUMENT_COLUMNS, components, document_columns, scratch, stash
 
 MAX_BITS = 3
 WORDS_PER_SHINGLE = 3
 SEED = 42
+#: Keys of rows that are sent to every task at most.
+BROADCAST_ROWS = 2_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -112,11 +115,12 @@ def _labelled(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid")).mapInArrow(_fingerprints, "doc_id bigint, rid bigint, fp bigint")
     marked = stash(marked, "fingerprints")
-    fps = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = links(fps.select("fp")).withColumnRenamed("node", "fp")
-    rooted = stash(fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = stash(rooted.join(least, "root").select("fp", "root", "component_id"), "labels")
+    with scratch():
+        fps = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+        roots = links(fps.select("fp")).withColumnRenamed("node", "fp")
+        rooted = stash(fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+        least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        labels = stash(rooted.join(least, "root").select("fp", "root", "component_id"), "labels", keep=True)
     return marked.join(labels, "fp").select("doc_id", "rid", "fp", "root", "component_id")
 
 
@@ -127,9 +131,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, labelled: Callable[[DataFrame], DataFrame] = _labelled) -> DataFrame:
     """The documents' five columns, one row of each component: that with the smallest doc_id. Rows without a doc_id come last; of
-    rows with the same doc_id in one component one stays, always the same. labelled gives doc_id, rid and root."""
+    rows with the same doc_id in one component one stays, always the same. labelled gives doc_id, rid and root.
+
+    Only the few rows that are equal in doc_id and text are gathered with their texts; the others stay where they are, and the keys of those that go
+    are sent to them if they are few."""
     docs = document_columns(docs)
-    best = labelled(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
-    kept = stash(best.select("best.rid"), "kept")
-    rows = docs.withColumn("rid", F.xxhash64("doc_id", "text")).join(kept, "rid", "left_semi")
-    return rows.groupBy("rid").agg(F.min(F.struct(*DOCUMENT_COLUMNS)).alias("d")).select("d.*")
+    with scratch():
+        marked = stash(labelled(docs), "labelled")
+        best = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
+        held = marked.groupBy("doc_id", "rid", "root").agg(F.count("*").alias("n")).join(best, "root")
+        stays = F.expr("rid = best.rid AND doc_id <=> best.doc_id")
+        # A rid and doc_id may be in several components only if two texts share a hash: then the row stays.
+        fate = held.groupBy("doc_id", "rid").agg(F.bool_or(stays).alias("stays"), F.sum("n").alias("n"))
+        other = stash(fate.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid"), "stays"), "other", keep=True)
+    rows = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+    same = (F.col("rid") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    alone = rows.join(broadcast_if_small(other, BROADCAST_ROWS), same, "left_anti")
+    twice = rows.join(broadcast_if_small(other.where("stays"), BROADCAST_ROWS), same, "left_semi")
+    one = twice.groupBy("doc_id", "rid").agg(F.min(F.struct(*DOCUMENT_COLUMNS)).alias("d")).select("d.*")
+    return alone.select(*DOCUMENT_COLUMNS).unionByName(one)

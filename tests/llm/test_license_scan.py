@@ -65,3 +65,30 @@ def test_clashing_names_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "mit license", "a", 2, "b"), (1, "mit license", "a", 2, "b")], SCHEMA)
     assert [(x.doc_id, x.labels) for x in license_scan.scan(docs).collect()] == [(1, "mit")] * 2
     assert license_scan.scan(docs.where("false")).count() == 0
+
+
+def test_notices_fields_and_expressions(spark):
+    """Each with a text that has it and one that nearly has."""
+    cases = [
+        ('Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated documentation files (the "Software")', "mit"), ("Permission is hereby granted to leave early", ""),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided", "bsd"), ("Redistribution and use of heat in source and binary stars", ""),
+        ("it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "gpl,gpl-3.0"),
+        ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS", "apache-2.0"), ("Unless required by applicable law", ""),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"), ("GPLv3", "gpl-3.0"), ("LGPL v2.1 or later", "lgpl-2.1"), ("the gplv3x file", ""),
+        ("License: MIT", "mit"), ("license = \"BSD-3-Clause\"", "bsd-3-clause"), ("License: MITRE corporation", ""), ("the license of ruby gems", ""),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache-2.0,mit"), ("SPDX-License-Identifier: GPL-2.0-only WITH x AND MIT", "gpl-2.0,mit"), ("License: MIT OR Apache-2.0 OR ISC", "apache-2.0,isc,mit"), ("MIT OR nothing", ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "", 0, "") for i, (t, _) in enumerate(cases)], SCHEMA)
+    got = {x.doc_id: x.labels for x in license_scan.scan(docs).collect()}
+    bad = [(t, want, got[i]) for i, (t, want) in enumerate(cases) if got[i] != want]
+    assert not bad, bad
+
+
+def test_twenty_thousand_matches(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "mit license, apache license; " * 10_000, "", 0, "")], SCHEMA)
+    license_scan.scan(docs.limit(0)).collect()
+    start = time.time()
+    x = license_scan.scan(docs).first()
+    assert x.n_base == 20_000 and len(x.detections) == 20_000 and time.time() - start < 60

@@ -62,3 +62,14 @@ def test_query_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet'")
     assert sorted(map(tuple, QUERIES["op2_exact_topk"](spark, d).collect())) == sorted(con.execute(pivot_topk.SQL).fetchall())
+
+
+def test_large_components_take_part(spark):
+    """Finite vectors of any size, by exact integers: scores beyond a long are ranked as they are and told as the nearest long."""
+    rows = [(0, [1.0, 2.0]), (50, [3e38, -3e38]), (1, [3e38, 1.0]), (2, [2.9e38, 1.0]), (3, [-3e38, 3e38]), (4, [-2.9e38, 3e38]), (5, [0.5, 0.5]), (6, [2.0**40, 2.0**40]), (7, [1e9, -1e9]), (8, [float("inf"), 1.0])]
+    exact = {i: [int(np.floor(256 * float(np.float32(x)))) if abs(x) < 2**50 else int(float(np.float32(x))) * 256 for x in v] for i, v in rows if np.isfinite(v).all()}
+    v = spark.createDataFrame([(*x, "a", "b", 1) for x in rows], SCHEMA)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in pivot_topk.top_k(v, v.where("vec_id % 50 = 0"), 8).collect()}
+    for q in (0, 50):
+        best = sorted(((-sum(a * b for a, b in zip(exact[q], x)), i) for i, x in exact.items() if i != q))[:8]
+        assert [got[q, r] for r in range(1, len(best) + 1)] == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in best]

@@ -6,8 +6,10 @@ every other as a user with a name; system turns stay system turns. A loss mask c
 A turn is rendered by itself, from its own row and one participant, so a conversation of any length is spread over tasks; only its
 distinct participants are gathered, one row each. The join is dealt by conversation on both sides, so that one with very many turns can
 be split. Rendered turns are then put together in parts: part k has the turns numbered TURNS * k to TURNS * k + TURNS - 1. Parts in
-order, joined, are the whole dialogue; almost every conversation is one part. Turns that share a number beyond TIED rows in one part come in
-several pieces, by their hash.
+order, joined, are the whole dialogue; almost every conversation is one part. A part of over TIED turns, as turns that share a number can make, comes in
+several pieces of so many, numbered in order.
+
+The marks of turns can't be forged: within a text or a role every < that begins one is parted from it by a space, and a role's line ends are spaces.
 
 Nulls, empties, ties: rows without a conv_id belong to no conversation and are left out. A null role is the participant UNKNOWN, a null text is
 empty, a null turn comes before all others (part -1). Turns with the same number go by role, then text; repeated rows are repeated
@@ -17,7 +19,8 @@ results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -28,14 +31,31 @@ TURNS = 64
 TIED = 512
 
 
+def _harmless(column: str, missing: str) -> Column:
+    return F.replace(F.coalesce(F.col(column).cast("string"), F.lit(missing)), F.lit("<|im_"), F.lit("< |im_"))
+
+
+def _numbered(rows: DataFrame, by: list[str], order: list[Column], size: int) -> DataFrame:
+    """rows with piece, the number of size rows in order within by. A group may be of any size: rows are dealt out by ranges of the order, numbered within
+    their range, and what the ranges before hold of the group is added."""
+    fixed = stash(rows.withColumn("_tie", F.monotonically_increasing_id()), "tied-rows")
+    ranges = max(1, -(-fixed.count() // 100_000))
+    dealt = stash(fixed.repartitionByRange(ranges, *by, *order, "_tie").withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order, "_tie"))
+    placed = dealt.withColumn("_at", at).join(counts.withColumn("_before", before).drop("_n"), [*by, "_range"])
+    return placed.withColumn("piece", ((F.col("_before") + F.col("_at") - 1) / size).cast("int")).drop("_tie", "_range", "_at", "_before")
+
+
 def turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, perspective, turn, role, name, text, mask, rendered): a row for each turn and participant. name is null for the
     assistant and for system turns; mask is whether the turn is the assistant's."""
     rows = conversations.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("bigint").alias("conv_id"),
         F.col("turn").cast("bigint").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit(UNKNOWN)).alias("speaker"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.translate(_harmless("role", UNKNOWN), "\r\n", "  ").alias("speaker"),
+        _harmless("text", "").alias("text"),
     )
     speakers = rows.where(F.col("speaker") != SYSTEM).groupBy("conv_id", "speaker").agg(F.count("*").alias("n")).select(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective"))
     met = rows.join(stash(speakers, "speakers"), F.col("conv_id") == F.col("conv"))
@@ -56,11 +76,14 @@ def rotate(conversations: DataFrame) -> DataFrame:
     })
     # Few conversations have turns that share a number; those of one number are counted before they are dealt out.
     tied = each.groupBy("conv_id", "perspective", "part").agg(F.count("*").alias("n")).where(F.col("n") > TIED)
-    tied = stash(tied.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("part").alias("k"), (F.ceil(F.col("n") / TIED)).cast("int").alias("pieces")), "tied")
-    if not tied.isEmpty():
-        each = each.join(tied, F.expr("conv_id = c AND perspective = p AND part = k"), "left").withColumn("piece", F.expr("coalesce(CAST(pmod(xxhash64(row), pieces) AS INT), 0)"))
-    else:
+    by = ["conv_id", "perspective", "part"]
+    tied = stash(tied.select(*by), "tied")
+    each = each.select(*by, "row")
+    if tied.isEmpty():
         each = each.withColumn("piece", F.lit(0))
+    else:
+        many = _numbered(each.join(tied, by, "left_semi"), by, [F.col("row.turn"), F.col("row.who"), F.col("row.text")], TIED)
+        each = each.join(tied, by, "left_anti").withColumn("piece", F.lit(0)).unionByName(many.select(*by, "row", "piece"))
     parts = each.groupBy("conv_id", "perspective", "part", "piece").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     spans = """aggregate(rows, named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,end:int>>)), (s, r) -> named_struct(
         'at', s.at + length(r.rendered),
@@ -71,7 +94,7 @@ def rotate(conversations: DataFrame) -> DataFrame:
 #: Of the same rows in DuckDB, where no part has over TIED turns: renderings joined in order, and the masks from running lengths.
 SQL = f"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '{UNKNOWN}') AS speaker, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, translate(replace(coalesce(role, '{UNKNOWN}'), '<|im_', '< |im_'), chr(13) || chr(10), '  ') AS speaker, replace(coalesce(text, ''), '<|im_', '< |im_') AS text FROM conversations WHERE conv_id IS NOT NULL
 ), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> '{SYSTEM}'), r AS (
   SELECT conv_id, perspective, turn, speaker, text, speaker = perspective AS mask,
     '{START}' || CASE WHEN speaker = perspective THEN '{ASSISTANT}' WHEN speaker = '{SYSTEM}' THEN '{SYSTEM}' ELSE '{USER} name=' || speaker END || chr(10) AS head

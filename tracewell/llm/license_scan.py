@@ -1,8 +1,10 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
 A rule is a label, a keyword, a regular expression and a priority. Rules are written as phrases: the words that must stand in a row, whatever
-separates them; they are built from a table of licenses (family, full names, versions) in four templates each: full
-name, name with version, SPDX identifier and address. A rule's expression runs on a text only if the text has the rule's keyword,
+separates them. Names are built from a table of licenses (family, full names, versions): full name, name with version, SPDX identifier, address, and
+a license field. Of an SPDX identifier or a field the first license of an expression such as A OR B has one rule, the second and third theirs, of less important priorities, so that
+the longer detection doesn't suppress the shorter. Short names (GPLv3) are rules for themselves. NOTICES are signatures of the licenses' own words: grants and notices that stand in
+files which never name their license. A rule's expression runs on a text only if the text has the rule's keyword,
 and no rule runs on a text that has none of the keywords. Detections are ordered by start, longest first; one is suppressed
 if an earlier detection of the same or a more important priority contains it.
 
@@ -21,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import match_spans
+from .common import TOGETHER, held, in_parts, match_spans
 
 #: Phrases and labels of the base.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -76,8 +78,46 @@ LICENSES = {
     "open-software": ("open", ["open software license"], ["1.0", "1.1", "2.0", "2.1", "3.0"], "OSL", []),
     "proprietary": ("rights", ["all rights reserved"], [], "", []),
 }
+#: (label, keyword, words): sentences of notices and texts that only one license or family has.
+NOTICES = (
+    ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("boost-1.0", "granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", "granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "granted", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("gpl", "gnu", "it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-2.0", "gnu", "either version 2 of the license or at your option any later version"),
+    ("gpl-3.0", "gnu", "either version 3 of the license or at your option any later version"),
+    ("lgpl", "gnu", "it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "gnu", "it under the terms of the gnu library general public license as published by the free software foundation"),
+    ("agpl", "gnu", "it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("apache-2.0", "apache", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", "applicable", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2.0"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1.1"),
+    ("epl", "eclipse", "the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "common", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck", "you just do what the fuck you want to"),
+    ("python-2.0", "python", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("php", "php", "this product includes php software freely available from"),
+    ("cc-by", "creative", "this work is licensed under a creative commons attribution license"),
+    ("proprietary", "confidential", "this software is confidential and proprietary information of"),
+)
+#: Families whose short names stand with a version: GPLv3, LGPL 2.1.
+SHORT = ("gpl", "lgpl", "agpl")
+#: Places of an SPDX expression that have rules.
+OPERANDS = 3
 #: No rule is tried on a text that has none of these, nor the letters cc and by as words in a row.
-GATE = ("licen", "spdx", "gnu", "cc0", "wtfpl", "unencumbered", "creative", "mozilla", "eclipse", "scripts", "rights")
+GATE = (
+    "licen", "spdx", "gnu", "cc0", "wtfpl", "unencumbered", "creative", "mozilla", "eclipse", "scripts", "rights",
+    "granted", "redistribution", "permission", "advertising", "misrepresented", "confidential", "gpl", "openssl", "php software", "do what the",
+)
 
 
 def _phrase(words: str) -> str:
@@ -97,6 +137,16 @@ def rules() -> list[tuple[str, str, str, int]]:
             if spdx:
                 tag = "-".join(x for x in (spdx, v) if x)
                 out.append((f"{label}-{v}" if v else label, "spdx", f"(?i)spdx{any_word}license{any_word}identifier{any_word}{_phrase(tag.replace('-', ' '))}", 0))
+                fields = {"spdx": f"spdx{any_word}license{any_word}identifier", "license": "license"}
+                for place in range(OPERANDS):
+                    # One operand after the other, each by an operator; a field needs its sign.
+                    before = f"(?:[A-Za-z0-9.+-]+[\\x20)]*\\x20(?:OR|AND|WITH)[\\x20(]+){{{place}}}"
+                    end = f"(?:-only|-or-later|\\+)?(?!-?{WORD})"
+                    for keyword_of, field in fields.items():
+                        if place or keyword_of == "license":
+                            out.append((f"{label}-{v}" if v else label, keyword_of, f"(?i){field}[\\x20\"']*[:=][\\x20(\"']*{before}{tag.replace('.', '[.]')}{end}", place))
+            if label in SHORT and v:
+                out.append((f"{label}-{v}", label, f"(?i)(?<!{WORD}){label}{NOT_WORD}*(?:version{any_word}|v)?{NOT_WORD}*(?:{number})(?!{WORD})", 1))
             for name in names:
                 if v:
                     start = _phrase(name).removesuffix(f"(?!{WORD})")
@@ -104,6 +154,7 @@ def rules() -> list[tuple[str, str, str, int]]:
                 else:
                     out.append((label, keyword, f"(?i){_phrase(name)}", 3))
         out += [(label, keyword if keyword in address else address.split(".")[0].split("/")[-1].split()[0], "(?i)" + f"{NOT_WORD}+".join(w for w in address.replace("/", " ").replace(".", " ").split()) + f"(?!{WORD})", 2) for address in addresses]
+    out += [(label, keyword, f"(?i){_phrase(words)}", 2) for label, keyword, words in NOTICES]
     # A keyword that isn't part of what the expression has to have would hide it.
     return [(a, _keyword(k, e), e, p) for a, k, e, p in out]
 
@@ -142,16 +193,21 @@ def _detections() -> Column:
 
 def _surviving(detections: Column) -> Column:
     """Those that no earlier one of the same or a more important priority contains, in one pass over their order."""
-    ordered = F.array_sort(F.transform(detections, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["priority"].alias("priority"), d["rule"].alias("rule"), d["label"].alias("label"))))
-    none = F.array().cast("array<struct<start:int,back:int,priority:int,rule:int,label:string>>")
-    start = F.struct(F.array(*[F.lit(-1)] * len(WEIGHTS)).alias("ends"), none.alias("out"))
+    ordered = F.sort_array(F.transform(detections, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["priority"].alias("priority"), d["rule"].alias("rule"), d["label"].alias("label"))))
+    kind = "array<struct<start:int,back:int,priority:int,rule:int,label:string>>"
+    none, ends = F.array().cast(kind), F.array(*[F.lit(-1)] * len(WEIGHTS))
 
     def step(s: Column, d: Column) -> Column:
         reach = F.array_max(F.slice(s["ends"], F.lit(1), d["priority"] + 1))
         ends = F.transform(s["ends"], lambda e, i: F.when(i == d["priority"], F.greatest(e, -d["back"])).otherwise(e))
         return F.struct(ends.alias("ends"), F.when(reach >= -d["back"], s["out"]).otherwise(F.concat(s["out"], F.array(d))).alias("out"))
 
-    return F.aggregate(ordered, start, step, lambda s: s["out"])
+    def lot(s: Column, some: Column) -> Column:
+        """As many as match_spans takes together, so that no long array is copied for each."""
+        return F.aggregate(some, F.struct(s["ends"].alias("ends"), none.alias("out")), step, lambda r: F.struct(r["ends"].alias("ends"), F.concat(s["lots"], F.array(r["out"])).alias("lots")))
+
+    lots = F.array().cast(f"array<{kind}>")
+    return held(ordered, lambda every: F.aggregate(in_parts(every, TOGETHER), F.struct(ends.alias("ends"), lots.alias("lots")), lot, lambda s: F.flatten(s["lots"])))
 
 
 def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

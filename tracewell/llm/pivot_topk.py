@@ -9,15 +9,19 @@ margin for rounding; scores are integers, exact. A block gives each query's k be
 Candidates are dealt into blocks of about BLOCK rows by a hash, queries into blocks of about QUERIES rows; each pair of blocks is one group, so a
 task's memory is bounded, whatever the tables' size, and no side is broadcast. The pivots are the vectors of smallest hash, PIVOTS of them.
 
-Nulls, empties, ties: vectors that are null, empty or hold a null or a component that isn't finite take no part, nor do those whose scores might not fit
-into a long (see LARGEST), nor rows without an id. Vectors of
+Vectors with components so large that scores might not fit into a long (see LARGEST) are scored by Python's integers, each of them with every other vector. Scores
+beyond a long are ranked as they are and told as the nearest long.
+
+Nulls, empties, ties: vectors that are null, empty or hold a null or a component that isn't finite take no part, nor do rows without an id. Vectors of
 different length never meet. Ties go to the smaller id. Rows that repeat an id count once for a pair of ids, with the highest score.
 Columns other than the id and the vector play no part. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,10 @@ PIVOTS = 32
 BLOCK, QUERIES = 16384, 2048
 #: Candidates of a query that are evaluated at a time: bounds order them, and the test for stopping comes between.
 STEP = 64
-#: A vector takes part if each of its components times the root of their number stays below this; else a score may not fit into a long.
+#: Where a component times the root of their number reaches this, scores may not fit into a long.
 LARGEST = 1 << 23
+#: Hexadecimal digits of a score of any finite doubles.
+DIGITS = 600
 
 
 def integers(vector: Column) -> Column:
@@ -41,10 +47,22 @@ def integers(vector: Column) -> Column:
 
 
 def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v array<long>)"""
-    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) * F.sqrt(F.size(vector)) < LARGEST))
-    rows = df.where(F.col(key).isNotNull() & (F.size(vector) > 0)).where(good)
-    return rows.select(F.col(key).cast("bigint").alias("id"), integers(F.col(vector)).alias("v"))
+    """(id, v array<long>, raw array<double>): one of v and raw is null, v where LARGEST is reached."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    small = F.forall(vector, lambda x: F.abs(x.cast("double")) * F.sqrt(F.size(vector)) < LARGEST)
+    rows = df.where(F.col(key).isNotNull() & (F.size(vector) > 0)).where(finite)
+    return rows.select(F.col(key).cast("bigint").alias("id"), F.when(small, integers(F.col(vector))).alias("v"), F.when(~small, F.col(vector).cast("array<double>")).alias("raw"))
+
+
+def _exact(vector: list | None, raw: list | None) -> list[int]:
+    """The integers of a vector of either form."""
+    return [math.floor(x * SCALE) if abs(x) < 2.0**52 else int(x) * SCALE for x in raw] if vector is None else vector
+
+
+def _told(score: int) -> tuple[int, str]:
+    """A score as the nearest long, and what orders those that are beyond one."""
+    told = max(-(1 << 63), min((1 << 63) - 1, score))
+    return told, "" if told == score else format(score if score > 0 else (1 << 4 * DIGITS - 1) + score, "x").zfill(DIGITS)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -98,7 +116,8 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id long, rank int, vec_id long, score long): each query's k best among the vectors with another id. queries: rows like those of vectors."""
-    xs, qs = stash(_usable(vectors, key, vector), "vectors"), stash(_usable(queries, key, vector), "queries")
+    every, asked = stash(_usable(vectors, key, vector), "vectors"), stash(_usable(queries, key, vector), "queries")
+    xs, qs = every.where("v IS NOT NULL"), asked.where("v IS NOT NULL")
     n, m = xs.count(), qs.count()
     parts, rounds = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
     pivots = xs.orderBy(F.xxhash64("v"), "id").limit(PIVOTS).select("v").collect()
@@ -127,11 +146,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
 
     groups = ("width", "part", "turn")
     met = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(search, "query_id long, vec_id long, score long")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    met = met.withColumn("beyond", F.lit(""))
+    large, asked_large = every.where("raw IS NOT NULL"), asked.where("raw IS NOT NULL")
+    if not large.isEmpty() or not asked_large.isEmpty():
+        met = met.unionByName(_large(large, asked, k)).unionByName(_large(xs, asked_large, k))
+    best = met.groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "beyond")).alias("s")).select("query_id", "vec_id", "s.*")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _large(xs: DataFrame, qs: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, beyond): each query's k best among xs, block by block, by Python's integers."""
+    parts, rounds = max(1, -(-xs.count() // BLOCK)), max(1, -(-qs.count() // QUERIES))
+    width = F.coalesce(F.size("v"), F.size("raw")).alias("width")
+    left = xs.select("id", "v", "raw", width, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("turn"))
+    right = qs.select("id", "v", "raw", width, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rounds)).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def search(_: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        own = [(r["id"], _exact(r["v"], r["raw"])) for r in a.to_pylist()]
+        out: list[tuple] = []
+        for r in b.to_pylist():
+            q, best = _exact(r["v"], r["raw"]), {}
+            for i, x in own:
+                if i != r["id"]:
+                    score = sum(map(mul, q, x))
+                    best[i] = max(score, best.get(i, score))
+            out += [(r["id"], i, *_told(score)) for i, score in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]]
+        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score", "beyond"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)})
+
+    groups = ("width", "part", "turn")
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(search, "query_id long, vec_id long, score long, beyond string")
+
+
 #: By brute force in DuckDB.
 SQL = """
 WITH v AS (

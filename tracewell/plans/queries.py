@@ -13,6 +13,7 @@ from ..functions.ids import short_hash
 from ..functions.sequences import seq_ratio
 from ..operators import findings, references, retrieval, scoring, similarity, spans, style
 from ..operators.graph import components
+from ..scanners import deadcode
 from .tables import broadcast_if_small, stash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,7 +90,8 @@ m AS (SELECT comp.root, rec.source, rec.n_lines FROM comp JOIN rec ON comp.node
 own AS (SELECT root, count(*) AS size, count(DISTINCT source) AS file_count, max(n_lines) AS max_lines,
   bool_or(source = 'src0') AND bool_or(source <> 'src0') AS lib_shared FROM m GROUP BY root),
 best AS (SELECT comp.root, round(max(similarity), 6) AS max_sim FROM pairs JOIN comp ON pairs.a = comp.node GROUP BY comp.root)
-SELECT root, size, file_count, max_lines, max_sim, {similarity.DUPLICATE_LADDER} AS priority FROM own JOIN best USING (root)
+SELECT root, size, file_count, max_lines, max_sim, CASE WHEN (lib_shared AND max_lines > 7) OR (file_count > 1 AND ((max_lines > 19 AND max_sim >= 0.95) OR (size > 4 AND max_lines > 9))) THEN 'high'
+  WHEN file_count > 1 AND max_lines > 7 THEN 'medium' ELSE 'low' END AS priority FROM own JOIN best USING (root)
 """)
 def dup_priority_ladder(spark: SparkSession, d: str) -> DataFrame:
     records = stash(_records(spark, d), "all")
@@ -271,7 +273,10 @@ _LADDER = """CASE WHEN coalesce(trim(text), '') = '' THEN 'PARSE-ERROR' WHEN sou
 
 @query(f"SELECT status, count(*) AS n FROM (SELECT {_LADDER} AS status FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY status")
 def status_ladder(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select(F.expr(_LADDER).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    """The scanner's own ladder; properties of documents stand for those of modules."""
+    flags = {"failed": "coalesce(trim(text), '') = ''", "is_test": "source = 'src1'", "is_package": "n_chars < 100", "referred": "quality = 1", "mentioned": "false", "has_main": "toxic = 1", "documented": "quality = 0", "public": "lang <> 'en'"}
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select(*[F.expr(f"coalesce({e}, false)").alias(n) for n, e in flags.items()])
+    return docs.select(F.expr(deadcode.LADDER).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_name AS name, count(DISTINCT p_brand) AS n_groups, count(*) AS n FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) >= 20")
@@ -538,16 +543,23 @@ _GRADED = """SELECT o_orderkey, o_custkey, CASE o_orderkey % 4 WHEN 0 THEN 'dupl
   CASE WHEN o_orderkey % 3 = 0 THEN 'shared_capability' END AS kind, o_totalprice / 500000 AS max_sim, o_orderkey % 7 = 0 AS twin_match FROM orders"""
 
 
-@query(f"SELECT scanner, coalesce({findings.SEVERITY}, 'none') AS risk, {findings.COHORT} AS cohort, count(*) AS n FROM ({_GRADED}) GROUP BY ALL")
+#: Written out by itself, so that a rung that is wrong in the engine differs.
+_RISK = """coalesce(CASE lower(priority) WHEN 'high' THEN 'high' WHEN 'medium' THEN 'medium' END, CASE lower(severity) WHEN 'high' THEN 'high' WHEN 'medium' THEN 'medium' END, CASE status WHEN 'DEAD' THEN 'high' END,
+  CASE WHEN scanner = 'contracts' AND channel IN ('dynamic_module_runtime_coupling', 'defensive_param_loosening', 'env_written_not_read') THEN 'high' WHEN scanner = 'contracts' AND channel = 'generation_path_without_env' THEN 'medium' END)"""
+_COHORT = """CASE WHEN (scanner = 'duplicates' AND max_sim >= 0.98) OR (scanner = 'regions' AND twin_match) OR (scanner = 'contracts' AND priority = 'high') THEN 'high'
+  WHEN (scanner = 'regions' AND kind = 'shared_capability') OR (scanner = 'contracts' AND priority = 'medium') THEN 'medium' ELSE 'low' END"""
+
+
+@query(f"SELECT scanner, coalesce({_RISK}, 'none') AS risk, {_COHORT} AS cohort, count(*) AS n FROM ({_GRADED}) GROUP BY ALL")
 def severity_cohort(spark: SparkSession, d: str) -> DataFrame:
     graded = findings.graded(spark.sql(_GRADED.replace("FROM orders", "FROM {orders}"), orders=table(spark, d, "orders")))
     return graded.groupBy("scanner", F.coalesce("risk", F.lit("none")).alias("risk"), "cohort").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH g AS (SELECT *, {findings.SEVERITY} AS risk FROM ({_GRADED})), now AS (SELECT scanner, o_orderkey AS target_id, o_custkey AS evidence_hash, risk FROM g WHERE o_orderkey % 10 <> 1), before AS (SELECT scanner, o_orderkey AS target_id FROM g WHERE o_orderkey % 10 <> 2),
+@query(f"""WITH g AS (SELECT *, {_RISK} AS risk FROM ({_GRADED})), now AS (SELECT scanner, o_orderkey AS target_id, o_custkey AS evidence_hash, risk FROM g WHERE o_orderkey % 10 <> 1), before AS (SELECT scanner, o_orderkey AS target_id FROM g WHERE o_orderkey % 10 <> 2),
 v AS (SELECT scanner, o_orderkey AS target_id, o_custkey + CASE WHEN o_orderkey % 100 = 0 THEN 1 ELSE 0 END AS reviewed FROM g WHERE o_orderkey % 25 IN (0, 1))
-SELECT (SELECT count(*) FROM v JOIN now USING (scanner, target_id)) AS still_present, (SELECT count(*) FROM v JOIN now USING (scanner, target_id) WHERE reviewed IS DISTINCT FROM evidence_hash) AS changed,
-(SELECT count(*) FROM now WHERE risk IN ('high', 'medium') AND (scanner, target_id) NOT IN (SELECT (scanner, target_id) FROM before)) AS new_risks, false AS passed""")
+SELECT *, still_present + new_risks = 0 AS passed FROM (SELECT (SELECT count(*) FROM v JOIN now USING (scanner, target_id)) AS still_present, (SELECT count(*) FROM v JOIN now USING (scanner, target_id) WHERE reviewed IS DISTINCT FROM evidence_hash) AS changed,
+(SELECT count(*) FROM now WHERE risk IN ('high', 'medium') AND (scanner, target_id) NOT IN (SELECT (scanner, target_id) FROM before)) AS new_risks)""")
 def verify_gate_counts(spark: SparkSession, d: str) -> DataFrame:
     graded = findings.graded(spark.sql(_GRADED.replace("FROM orders", "FROM {orders}"), orders=table(spark, d, "orders")))
     every = graded.select("scanner", F.col("o_orderkey").alias("target_id"), F.col("o_custkey").alias("evidence_hash"), "risk")
@@ -578,6 +590,58 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     return scoring.confusion(table(spark, d, "labels"), F.col("toxic") == 1, F.col("quality") == 0)
 
 
+@query("""WITH r AS (SELECT n_name, count(*) AS candidates, count(*) FILTER (WHERE s_acctbal > 0) AS labelled, count(*) FILTER (WHERE s_acctbal > 5000) AS found, count(DISTINCT CASE WHEN s_acctbal > 5000 THEN s_suppkey % 3 END) AS issues,
+  sum(s_suppkey) AS tokens, CAST(sum(s_suppkey * 7) AS BIGINT) AS lines, count(*) / 4.0 AS seconds FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name),
+l AS (SELECT * FROM r WHERE n_name >= 'E'), t AS (SELECT (SELECT count(*) FROM l) AS labelled_projects, (SELECT CAST(coalesce(sum(candidates), 0) AS BIGINT) FROM l) AS candidates, (SELECT CAST(coalesce(sum(labelled), 0) AS BIGINT) FROM l) AS labelled,
+  (SELECT CAST(coalesce(sum(found), 0) AS BIGINT) FROM l) AS true_findings, (SELECT CAST(coalesce(sum(labelled - found), 0) AS BIGINT) FROM l) AS false_positives, (SELECT CAST(coalesce(sum(issues), 0) AS BIGINT) FROM l) AS unique_issues,
+  (SELECT CAST(coalesce(sum(tokens), 0) AS BIGINT) FROM l) AS estimated_tokens, (SELECT CAST(sum(lines) AS BIGINT) FROM r) AS python_lines, (SELECT CAST(sum(seconds) AS DOUBLE) FROM r) AS elapsed_seconds)
+SELECT *, round(true_findings / nullif(labelled, 0)::DOUBLE, 3) AS precision, round(candidates / nullif(true_findings, 0)::DOUBLE, 1) AS review_burden, round(unique_issues / nullif(true_findings, 0)::DOUBLE, 2) AS unique_issue_ratio,
+  round(true_findings / nullif(unique_issues, 0)::DOUBLE, 2) AS evidence_per_issue, round(estimated_tokens / nullif(unique_issues, 0)::DOUBLE, 1) AS tokens_per_verified_issue, round(unique_issues / nullif(candidates, 0)::DOUBLE, 4) AS verified_issue_yield,
+  round(candidates / greatest(0.001, python_lines / 1000.0)::DOUBLE, 2) AS candidates_per_kloc, round(elapsed_seconds / greatest(0.001, python_lines / 1000.0)::DOUBLE, 3) AS runtime_per_kloc FROM t""")
+def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Nations are projects, their suppliers candidates; those before E have no labels."""
+    own = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("project"))
+    hit = F.col("s_acctbal") > 5000
+    rows = own.agg(F.count("*").alias("c"), F.count_if(F.col("s_acctbal") > 0).alias("l"), F.count_if(hit).alias("t"), F.count_distinct(F.when(hit, F.col("s_suppkey") % 3)).alias("u"), F.sum("s_suppkey").alias("k"), F.sum(F.col("s_suppkey") * 7).alias("python_lines"), (F.count("*") / 4.0).alias("elapsed_seconds"))
+    labelled = lambda c: F.when(F.col("project") >= "E", F.expr(c))
+    named = {"candidates": "c", "labelled": "l", "true_findings": "t", "false_positives": "l - t", "unique_issues": "u", "estimated_tokens": "k"}
+    return scoring.totals(rows.select("project", *[labelled(e).alias(n) for n, e in named.items()], "python_lines", "elapsed_seconds"))
+
+
+_BUNDLES = """m AS (SELECT DISTINCT 'b' || (l_orderkey % 500) AS issue_id, 's' || (l_suppkey % 4) AS scanner, CAST(l_partkey AS VARCHAR) AS target_id FROM lineitem WHERE l_quantity >= 40),
+c AS (SELECT issue_id, count(DISTINCT scanner) AS n_channels FROM (SELECT * FROM m WHERE CAST(substr(issue_id, 2) AS INTEGER) % 2 = 0 OR scanner = 's0') GROUP BY issue_id),
+members AS (SELECT m.*, n_channels FROM m JOIN c USING (issue_id) WHERE CAST(substr(issue_id, 2) AS INTEGER) % 2 = 0 OR scanner = 's0'),
+truth AS (SELECT DISTINCT scanner, target_id, CASE WHEN CAST(target_id AS INTEGER) % 50 = 0 THEN CASE WHEN CAST(target_id AS INTEGER) % 100 = 0 THEN scanner || '/' || target_id ELSE 'i' || target_id END END AS issue FROM m WHERE CAST(target_id AS INTEGER) % 5 = 0),
+b AS (SELECT issue_id, max(n_channels) AS n_channels, count(*) AS signals, count(issue) > 0 AS is_true, count(DISTINCT issue) AS n_issues FROM members LEFT JOIN truth USING (scanner, target_id) GROUP BY issue_id)"""
+
+
+@query(f"""WITH {_BUNDLES}, h AS (SELECT issue, count(DISTINCT issue_id) AS owners, min(issue_id) AS issue_id FROM members JOIN truth USING (scanner, target_id) WHERE issue IS NOT NULL GROUP BY issue),
+s AS (SELECT count(*) AS bundles, count(*) FILTER (WHERE n_channels >= 2) AS corroborated, count(*) FILTER (WHERE n_channels >= 2 AND is_true) AS corroborated_true, count(*) FILTER (WHERE n_channels = 1) AS single,
+  count(*) FILTER (WHERE n_channels = 1 AND is_true) AS single_true, CAST(sum(signals) AS BIGINT) AS candidates, count(*) FILTER (WHERE n_issues <= 1) AS pure FROM b),
+g AS (SELECT count(*) AS ground_truth_issues, count(*) FILTER (WHERE owners = 1 AND n_issues = 1) AS issues_formed FROM h JOIN b USING (issue_id))
+SELECT bundles, corroborated, corroborated_true, single, single_true, candidates, ground_truth_issues, issues_formed, round(corroborated_true / nullif(corroborated, 0)::DOUBLE, 3) AS corroborated_precision,
+  round(single_true / nullif(single, 0)::DOUBLE, 3) AS single_precision, round(issues_formed / nullif(ground_truth_issues, 0)::DOUBLE, 3) AS issue_recall, round(pure / bundles::DOUBLE, 3) AS fusion_purity, round(candidates / bundles::DOUBLE, 2) AS compression_ratio FROM s, g""")
+def fusion_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.fusion_scores(*_bundles(spark, d))
+
+
+def _bundles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders that leave the same by 500 are a bundle, suppliers of one remainder by 4 scanners and parts targets; every fifth part has a label, every fiftieth is a true finding."""
+    lines = table(spark, d, "lineitem").where("l_quantity >= 40")
+    found = lines.select((F.col("l_orderkey") % 500).alias("n"), F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string")).alias("scanner"), F.col("l_partkey").alias("part")).distinct()
+    held = found.where("n % 2 = 0 OR scanner = 's0'")
+    channels = held.groupBy("n").agg(F.count_distinct("scanner").alias("n_channels"))
+    members = held.join(channels, "n").select(F.concat(F.lit("b"), F.col("n").cast("string")).alias("issue_id"), "n_channels", "scanner", F.col("part").cast("string").alias("target_id"))
+    issue = F.when(F.col("part") % 100 != 0, F.concat(F.lit("i"), F.col("part").cast("string")))
+    labels = found.where("part % 5 = 0").select("scanner", F.col("part").cast("string").alias("target_id"), (F.col("part") % 50 == 0).alias("is_true"), issue.alias("issue")).distinct()
+    return members, labels
+
+
+@query(f"WITH {_BUNDLES} SELECT n_channels, count(*) AS bundles, count(*) FILTER (WHERE is_true) AS true_bundles, round(count(*) FILTER (WHERE is_true) / count(*)::DOUBLE, 3) AS precision FROM b GROUP BY n_channels")
+def precision_by_channels(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.by_channel_count(scoring.judged_bundles(*_bundles(spark, d)))
+
+
 @query("SELECT source, GROUPING(source) = 1 AS total, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (source)")
 def project_rollup(spark: SparkSession, d: str) -> DataFrame:
     return scoring.rollup(table(spark, d, "documents"), "source", {"n": F.count("*"), "chars": F.sum("n_chars")})

@@ -3,10 +3,13 @@
 import json
 import subprocess
 
-from tracewell import audit
+import pytest
+
+from tracewell import audit, config
 from tracewell.sources import git
 
 from .test_regions import RISKY, TWIN
+from .test_review import VERDICT, verdict
 from .test_scanners import BODY
 
 
@@ -39,3 +42,27 @@ def test_audit_from_the_command_line(spark, tmp_path):
     assert {"duplicates", "forks", "regions", "deadcode", "contracts"} <= set(found["scanners"])
     assert found["issues"]["corroborated"] >= 1  # the twins are duplicates as well
     assert "## duplicates" in (tmp_path / "r.md").read_text()
+
+
+def test_settings(tmp_path):
+    assert config.load(str(tmp_path)) == {}
+    put = (tmp_path / "tracewell.toml").write_text
+    put('[audit]\npackage = "src"\n[[hardcoded.patterns]]\nname = "x"\nregex = "y"\n')
+    read = config.load(str(tmp_path))
+    assert config.pick("", read, "audit", "package", "d") == "src" and config.pick("cli", read, "audit", "package", "d") == "cli" and config.pick(None, read, "audit", "suppress", "d") == "d"
+    assert [(p.name, p.severity) for p in config.patterns(read)] == [("x", "medium")] and len(config.patterns({})) == 3
+    for bad in ("[nothing]\nx = 1\n", "[audit]\npackage = 1\n", "[contracts]\nsensitive_names = [1]\n", "[[hardcoded.patterns]]\nname = 'x'\n"):
+        put(bad)
+        with pytest.raises(ValueError):
+            config.load(str(tmp_path))
+
+
+def test_registry(spark, tmp_path):
+    path = tmp_path / "r.json"
+    path.write_text(json.dumps({"schema_version": 1, "_notes": "n", "forks": ["a"], "deadcode": [{"id": "b"}, {"reason": "none"}], "contracts": {"same_name": [{"key": "c"}]}}))
+    known = audit.suppressed(spark, str(path))
+    assert sorted(map(tuple, known.collect())) == [("contracts", "same_name/c"), ("deadcode", "b"), ("forks", "a")]
+    found = spark.createDataFrame([("forks", "a"), ("deadcode", "z")], "scanner string, target_id string")
+    assert sorted(map(tuple, audit.stale(known, found).collect())) == [("contracts", "same_name/c"), ("deadcode", "b")]
+    verdicts = spark.createDataFrame([verdict("t", "false_positive", action="none", reason="is fine"), verdict("u")], VERDICT)
+    assert audit.exported(verdicts, "2026-01-01", "me") == {"deadcode": [{"target_id": "t", "reason": "is fine", "date": "2026-01-01", "owner": "me"}]}

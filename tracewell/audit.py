@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import config
 from .functions.ids import with_evidence_hash
 from .operators import findings, review
 from .plans.tables import stash
@@ -33,8 +34,9 @@ class Audit:
     locked: DataFrame
 
 
-def run(spark: SparkSession, root: str, package: str = "", public_api: bool = False) -> Audit:
+def run(spark: SparkSession, root: str, package: str = "", public_api: bool = False, settings: dict | None = None) -> Audit:
     """Each file is read and parsed once for symbols, once for facts and once for regions; all scanners share these tables."""
+    settings = settings or {}
     source = stash(files.scan(spark, root), "files")
     symbols, facts = stash(pysource.symbols(source), "symbols"), stash(pysource.facts(source), "facts")
     areas, bodies = stash(pyregions.regions(source), "regions"), stash(pyregions.bodies(source), "bodies")
@@ -51,14 +53,14 @@ def run(spark: SparkSession, root: str, package: str = "", public_api: bool = Fa
         "generation_path_without_env": contracts.generation_path_without_env(facts),
         "defensive_param_loosening": contracts.defensive_param_loosening(facts),
         "forwarding_wrappers": contracts.forwarding_wrappers(symbols),
-        "same_name": contracts.same_name(symbols),
+        "same_name": contracts.same_name(symbols, tuple(config.pick(None, settings, "contracts", "sensitive_names", contracts.SENSITIVE_NAMES))),
         "unreferenced": contracts.unreferenced(symbols, facts),
         "cli_without_bootstrap": contracts.cli_without_bootstrap(facts),
         "experiment_as_library": contracts.experiment_as_library(facts),
         "experiment_path_hacks": contracts.experiment_path_hacks(facts),
         "dynamic_module_runtime_coupling": contracts.dynamic_module_runtime_coupling(stash(pysource.couplings(source), "couplings")),
-        "hardcoded": hardcoded.hardcoded(files.texts(source)),
-        "style": prose.findings(tex.documents(files.scan(spark, root, endings=(".tex",)))),
+        "hardcoded": hardcoded.hardcoded(files.texts(source), config.patterns(settings), config.pick(None, settings, "hardcoded", "all_patterns", False)),
+        "style": prose.findings(tex.documents(files.scan(spark, root, endings=(".tex",))), tuple(config.pick(None, settings, "style", "excluded", prose.EXCLUDED))),
     }
     tables = {k: stash(v, k) for k, v in tables.items()}
     named = ("duplicates", "regions", "forks", "deadcode", "capabilities", "hardcoded", "style")
@@ -114,9 +116,31 @@ def write_text(path: str, text: str) -> None:
 
 
 def suppressed(spark: SparkSession, path: str) -> DataFrame:
-    """(scanner, target_id) of a JSON file of {scanner: [target_id, ...]}; a file that isn't there suppresses nothing."""
+    """(scanner, target_id) of a JSON registry; a file that isn't there suppresses nothing. It has a list for each scanner, or a list for each channel of
+    it; an entry is a target, or an object whose target_id, id or key is one. Of a channel the target is channel/key. Other sections, such as notes, are read over."""
     known = json.loads(Path(path).read_text()) if Path(path).is_file() else {}
-    return spark.createDataFrame([(s, t) for s, targets in known.items() for t in targets], "scanner string, target_id string")
+    rows = []
+    for scanner, own in known.items():
+        for channel, entries in own.items() if isinstance(own, dict) else [("", own)] if isinstance(own, list) else []:
+            for e in entries:
+                target = e if isinstance(e, str) else next((e[k] for k in ("target_id", "id", "key") if e.get(k)), None)
+                if target:
+                    rows.append((scanner, f"{channel}/{target}" if channel and not target.startswith(f"{channel}/") else target))
+    return spark.createDataFrame(rows, "scanner string, target_id string").distinct()
+
+
+def stale(registry: DataFrame, found: DataFrame) -> DataFrame:
+    """(scanner, target_id) of the registry that no finding has any more."""
+    return registry.join(found.select("scanner", "target_id").distinct(), ["scanner", "target_id"], "left_anti")
+
+
+def exported(verdicts: DataFrame, day: str, owner: str) -> dict[str, list[dict]]:
+    """The valid verdicts of false positives as sections of a registry. They are what reviewers have written."""
+    rows = review.invalid_reason(verdicts).where("invalid_reason IS NULL AND disposition = 'false_positive'").select("scanner", "target_id", "reason").distinct().orderBy("scanner", "target_id")
+    out: dict[str, list[dict]] = {}
+    for r in rows.toLocalIterator():
+        out.setdefault(r.scanner, []).append({"target_id": r.target_id, "reason": r.reason, "date": day, "owner": owner})
+    return out
 
 
 def main(args: list[str] | None = None) -> int:
@@ -132,10 +156,22 @@ def main(args: list[str] | None = None) -> int:
     from .session import session
 
     spark = session()
-    done = run(spark, said.root, said.package, said.public_api)
-    if said.suppress:
-        done.candidates = findings.suppress(done.candidates, suppressed(spark, said.suppress), ["scanner", "target_id"])[0]
-    document = report(done, said.root, said.package)
+    own = Path(said.root).resolve()
+    for path in (said.json, said.markdown):
+        if path and path != "-" and Path(path).resolve().is_relative_to(own):
+            p.error(f"{path} is in the project, which an audit doesn't change")
+    settings = config.load(said.root)
+    package, public = config.pick(said.package, settings, "audit", "package", ""), config.pick(said.public_api, settings, "audit", "public_api", False)
+    done = run(spark, said.root, package, public, settings)
+    registry, gone = config.pick(said.suppress, settings, "audit", "suppress", None), []
+    if registry:
+        known = stash(suppressed(spark, registry), "registry")
+        gone = [r.asDict() for r in stale(known, done.candidates).orderBy("scanner", "target_id").collect()]
+        done.candidates = findings.suppress(done.candidates, known, ["scanner", "target_id"])[0]
+    document = report(done, said.root, package) | {"stale_suppressions": gone}
+    if said.json == "-":
+        print(json.dumps(document, indent=2, ensure_ascii=False))
+        return 0 if document["complete"] else 2
     if said.json:
         write_text(said.json, json.dumps(document, indent=2, ensure_ascii=False) + "\n")
     text = markdown(document, said.all)

@@ -14,9 +14,9 @@ EXCLUDED = ("frozen", "archive", "legacy")
 SEVERITIES = {"template_openers": "medium", "note_that": "low", "excess_vocab": "medium", "em_dash_rate": "medium", "burstiness": "medium", "negative_anaphora": "medium", "pm_format": "low"}
 
 
-def findings(docs: DataFrame) -> DataFrame:
+def findings(docs: DataFrame, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """(id, path, channel, severity, text): docs as sources.tex.documents gives them. Sentences are told by their beginning, measures by their figures."""
-    docs = docs.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, EXCLUDED))))
+    docs = docs.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, excluded))))
     marked = style.sentence_table(docs, "path", "marked")
     said = marked.select("key", "i", "sentence")
     plain = style.sentence_table(docs, "path", "text")

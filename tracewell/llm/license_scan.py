@@ -144,7 +144,7 @@ def rules() -> list[tuple[str, str, str, int]]:
                     end = f"(?:-only|-or-later|\\+)?(?!-?{WORD})"
                     for keyword_of, field in fields.items():
                         if place or keyword_of == "license":
-                            out.append((f"{label}-{v}" if v else label, keyword_of, f"(?i){field}[\\x20\"']*[:=][\\x20(\"']*{before}{tag.replace('.', '[.]')}{end}", place))
+                            out.append((f"{label}-{v}" if v else label, spdx.split("-")[0].lower(), f"(?i){field}[\\x20\"']*[:=][\\x20(\"']*{before}{tag.replace('.', '[.]')}{end}", place))
             if label in SHORT and v:
                 out.append((f"{label}-{v}", label, f"(?i)(?<!{WORD}){label}{NOT_WORD}*(?:version{any_word}|v)?{NOT_WORD}*(?:{number})(?!{WORD})", 1))
             for name in names:

@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import discard, scratch, stash
 
+#: Links that one task may hold.
+FEW = 200_000
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the links (u, v) of one task."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema.field(0).type
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            low, high = sorted((find(u), find(v)))
+            root[high] = low
+    if root:
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(map(find, nodes), kind)], names=["node", "root"])
+
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, few: int = 0) -> DataFrame:
     """Connected components of undirected links.
 
     edges: (a, b). Returns (node, root), root being the smallest node of the component, for every
     node that has a link to another. Alternating large-star and small-star rounds: each makes linear
     work, and their number is logarithmic in the length of chains. Rounds are written tables; one goes when the next is written.
+    A graph of no more than few links, counted, is joined up in one task of Python instead.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     with scratch():
         pairs, before = stash(pairs, "links"), None
+        if few and pairs.count() <= few:
+            kind = pairs.schema["u"].dataType.simpleString()
+            return stash(pairs.coalesce(1).mapInArrow(_small, f"node {kind}, root {kind}"), "components", keep=True)
         for _ in range(max_rounds):
             both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

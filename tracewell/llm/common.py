@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..plans.tables import scratch, shared_dir, stash, table
 
-__all__ = ["DOCUMENT_COLUMNS", "components", "document_columns", "match_spans", "scratch", "shared_dir", "stash", "table"]
+__all__ = ["DOCUMENT_COLUMNS", "batches_of", "components", "document_columns", "match_spans", "scratch", "shared_dir", "stash", "table"]
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 DOCUMENT_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
@@ -22,6 +23,18 @@ def document_columns(docs: DataFrame) -> DataFrame:
     return docs.select(*[(F.col(c) if c in have else F.lit(None)).cast(DOCUMENT_TYPES[c]).alias(c) for c in DOCUMENT_COLUMNS])
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches have so many rows at most in what is written inside; the session's own number comes back after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Characters before a match that go with it, and matches whose places are counted together.
 BEFORE, TOGETHER = 80, 64
 SPAN = "struct<start:int,end:int,value:string,before:string>"

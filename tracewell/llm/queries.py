@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cdc, chat, decontam, langid, license_scan, line_dedup, pii, pivot_topk, simhash_dedup, sp_lattice
+from . import cdc, chat, decontam, langid, license_scan, line_dedup, ngram_join, pii, pivot_topk, simhash_dedup, sp_lattice
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.withColumn("masks", F.expr("array_join(transform(masks, m -> concat_ws(':', m.start, m.end)), ',')"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_exact_topk": op2_exact_topk,
@@ -70,9 +74,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_ngram_join": op11_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": pivot_topk.SQL,
     "op10_chat_format": chat.SQL,
+    "op11_ngram_join": ngram_join.SQL,
 }

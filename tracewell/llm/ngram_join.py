@@ -13,9 +13,9 @@ again, and all n-grams are ordered by the number of these sets that have them.
 - Suffix: a set's n-grams are counted in RANGES equal ranges of the order by hash; two sets have no more in common than the sum of the smaller counts.
 - Verification: what is left is intersected as whole sets, each pair once.
 
-For components not every pair is needed. At an n-gram each class compares its smallest member with its others and with those of the classes that it meets; then the components of
-these links are formed, and only members of different components of classes that meet still do. So a group of near copies costs rows in proportion to its size, and no link
-between two components is lost. `pairs` gives every pair of different sets that link.
+For components not every pair is needed. At an n-gram each class compares its smallest member with its others and with those of the classes that it meets; the components of
+these links are formed; members of different components are compared within lots of LOT, and components formed again; and only members of different components of classes that meet still are. So a
+group of near copies costs rows in proportion to its size, and no link between two components is lost. `pairs` gives every pair of different sets that link.
 
 Nulls, empties, ties: a text that is null or has no word has the empty set, n_shingles 0, and links with nothing; its component is its own doc_id. Rows with equal doc_id, or with
 none, each keep a row; component_id is the smallest doc_id that is not null in the component (null if there is none). Columns other than doc_id and text play no part, whatever their
@@ -41,6 +41,8 @@ LIKE = (90, 100)
 COUNTED = 4
 #: Ranges of the order by hash for the suffix filter.
 RANGES = 64
+#: Members of a class that are compared with each other before the components of their links are formed.
+LOT = 64
 #: Keys of rows, 8 bytes each, that are sent to every task at most.
 BROADCAST_ROWS = 2_000_000
 SEED = 42
@@ -162,11 +164,46 @@ def _pair(a: str, b: str) -> tuple[Column, Column]:
     return F.expr(f"least({a}, {b})").alias("a"), F.expr(f"greatest({a}, {b})").alias("b")
 
 
-def _members(prefix: DataFrame, met: DataFrame, *more: str) -> DataFrame:
-    """Pairs of members of the classes that meet. met: (key, n_a, at_a, *more_a, n_b, at_b, *more_b)."""
-    side = lambda s: prefix.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", *more)], F.col("id").alias(f"id_{s}"))
-    out = met.join(side("a"), ["key", *[f"{c}_a" for c in ("n", "at", *more)]]).join(side("b"), ["key", *[f"{c}_b" for c in ("n", "at", *more)]])
-    return out.where("id_a <> id_b").select(*_pair("id_a", "id_b")).distinct()
+def _common(a: str, b: str) -> str:
+    """SQL of the most that two sets of these counts in RANGES can have in common."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"
+
+
+def _crowd(prefix: DataFrame, whole: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(key, n, at, id, root, ranges): the prefixes with each set's component and counts, at keys that hold more than one component. roots: (node, root); without, each set is one."""
+    sets = whole.select("id", "ranges")
+    if roots is not None:
+        sets = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "ranges", F.coalesce("root", "id").alias("root"))
+    else:
+        sets = sets.withColumn("root", F.col("id"))
+    owned = stash(prefix.join(sets.select("id", "root"), "id"), "owned")
+    mixed = owned.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = owned.join(mixed, "key", "left_semi")
+    return stash(left.join(sets.select("id", "ranges"), "id").select("key", "n", "at", "id", "root", "ranges"), "crowd")
+
+
+def _side(crowd: DataFrame, s: str, keys: tuple[str, ...]) -> DataFrame:
+    return crowd.select(*[c if c == "key" else F.col(c).alias(f"{c}_{s}") for c in ("key", *keys, "id", "ranges")])
+
+
+def _members(crowd: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs of members of the classes that meet, those that pass the suffix filter. met: (key, n_a, at_a, root_a, n_b, at_b, root_b)."""
+    own = ("n", "at", "root")
+    out = met.join(_side(crowd, "a", own), ["key", *[f"{c}_a" for c in own]]).alias("l").join(
+        _side(crowd, "b", own).alias("r"), F.expr(f"l.key = r.key AND l.n_b = r.n_b AND l.at_b = r.at_b AND l.root_b = r.root_b AND id_a <> id_b AND {_common('ranges_a', 'ranges_b')} >= {_least('n_a', 'l.n_b')}")
+    )
+    return out.select(*_pair("id_a", "id_b")).distinct()
+
+
+def _beside(crowd: DataFrame) -> DataFrame:
+    """Pairs of members of different components within lots of about LOT of those at a key that have equal sizes: in proportion to their number, and enough to join up most of a group whose
+    sets are near the limit to one another."""
+    many = crowd.groupBy("key", "n").agg(F.count("*").alias("many")).where("many > 1")
+    lots = crowd.join(many, ["key", "n"]).withColumn("lot", F.expr(f"pmod(xxhash64(id), (many + {LOT - 1}) div {LOT})"))
+    a, b = (_side(lots, s, ("n", "at", "lot", "root")).alias(x) for s, x in (("a", "l"), ("b", "r")))
+    fits = f"n_a - greatest(at_a, at_b) >= {_least('n_a', 'n_b')} AND {_common('ranges_a', 'ranges_b')} >= {_least('n_a', 'n_b')}"
+    met = a.join(b, F.expr(f"l.key = r.key AND n_a = n_b AND lot_a = lot_b AND id_a < id_b AND root_a <> root_b AND {fits}"))
+    return met.select(*_pair("id_a", "id_b")).distinct()
 
 
 def _sides(met: DataFrame, *more: str) -> DataFrame:
@@ -192,8 +229,7 @@ def whole_sets(ids: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, n_both) of the pairs (a, b) that link: those that pass the suffix filter, intersected."""
     side = lambda s: whole.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("ranges").alias(f"r_{s}"))
-    common = "aggregate(zip_with(r_a, r_b, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{common} >= {_least('n_a', 'n_b')}").select("a", "b", "n_a", "n_b")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{_common('r_a', 'r_b')} >= {_least('n_a', 'n_b')}").select("a", "b", "n_a", "n_b")
     side = lambda s: whole.select(F.col("id").alias(s), F.col("grams").alias(f"g_{s}"))
     both = near.join(side("a"), "a").join(side("b"), "b").withColumn("n_both", F.expr("CAST(size(array_intersect(g_a, g_b)) AS BIGINT)"))
     return both.where(f"n_both >= {_least('n_a', 'n_b')}").select("a", "b", "n_a", "n_b", "n_both")
@@ -226,15 +262,14 @@ def _left(sets: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def links(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of the sets that link to another."""
     whole, prefix = _left(sets, rows)
-    classes = _classes(prefix)
-    star = stash(star_pairs(prefix, classes), "star")
+    star = stash(star_pairs(prefix, _classes(prefix)), "star")
     joined = stash(components(verified(star, whole), few=FEW), "joined")
-    crowd = prefix.join(classes.select("key").distinct(), "key", "left_semi").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    crowd = stash(crowd.select("key", "n", "at", "id", F.coalesce("root", "id").alias("root")), "crowd")
+    beside = stash(_beside(_crowd(prefix, whole, joined)).join(star, ["a", "b"], "left_anti"), "beside")
+    joined = stash(components(verified(beside, whole).select("a", "b").unionAll(joined.select("node", "root")), few=FEW), "joined")
+    crowd = _crowd(prefix, whole, joined)
     met = stash(_sides(_meeting(_classes(crowd, "root"), "a.root <> b.root"), "root"), "met")
-    more = stash(_members(crowd, met, "root").join(star, ["a", "b"], "left_anti"), "more")
-    again = verified(more, whole).select("a", "b").unionAll(joined.where("node <> root").select("node", "root"))
-    return components(again, few=FEW)
+    more = stash(_members(crowd, met).join(star.unionAll(beside), ["a", "b"], "left_anti"), "more")
+    return components(verified(more, whole).select("a", "b").unionAll(joined.select("node", "root")), few=FEW)
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -256,7 +291,8 @@ def pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     with scratch():
         marked, sets, rows = _distinct(docs)
         whole, prefix = _left(sets, rows)
-        every = stash(_members(prefix, stash(_sides(_meeting(_classes(prefix))), "met")), "candidates")
+        crowd = _crowd(prefix, whole, None)
+        every = stash(_members(crowd, stash(_sides(_meeting(_classes(crowd, "root"), "a.root <> b.root"), "root"), "met")), "candidates")
         found = stash(verified(every, whole), "pairs", keep=True)
         names = stash(sets.select("hi", "lo", F.col("id").alias("set")), "names", keep=True)
     return found, marked.join(names, ["hi", "lo"], "left").select("doc_id", "set")

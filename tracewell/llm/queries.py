@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cdc, chat, decontam, langid, license_scan, line_dedup, ngram_join, pii, pivot_topk, simhash_dedup, sp_lattice
+from . import cdc, chat, decontam, hard_negatives, langid, license_scan, line_dedup, ngram_join, pii, pivot_topk, simhash_dedup, sp_lattice, spelling
 from .common import table
 
 
@@ -63,6 +63,16 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vec_id is divisible by 7 have the next label of ten; anchors are those divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives.mine(vectors, "id % 100 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_exact_topk": op2_exact_topk,
@@ -75,10 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
     "op11_ngram_join": op11_ngram_join,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": pivot_topk.SQL,
     "op10_chat_format": chat.SQL,
     "op11_ngram_join": ngram_join.SQL,
+    "op12_spelling_variants": spelling.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }

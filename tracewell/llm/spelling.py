@@ -138,7 +138,7 @@ def variants(docs: DataFrame) -> DataFrame:
         return stash(out.select(*columns), "variants", keep=True)
 
 
-#: By every pair of words in DuckDB; CRC-32 by its table, from its polynomial.
+#: By words with a letter left open or out in DuckDB, whose own distance counts bytes; CRC-32 by its table, from its polynomial.
 SQL = """
 WITH RECURSIVE crc AS MATERIALIZED (
   SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)
@@ -154,9 +154,11 @@ WITH RECURSIVE crc AS MATERIALIZED (
   SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
     SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, times FROM hashed
   ) WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), cut AS MATERIALIZED (
+  SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS open, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
 ), near AS (
-  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM words a JOIN words b ON a.word <> b.word AND abs(length(a.word) - length(b.word)) <= 1
-  WHERE levenshtein(a.word, b.word) = 1
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.open = b.open AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.less = b.word UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.less = b.word
 ), best AS (
   SELECT word, n, count(*) AS n_near, max(near_n) AS most, arg_min(near, (-near_n, encode(near))) AS first FROM near GROUP BY word, n
 ), forms AS MATERIALIZED (

@@ -1,6 +1,8 @@
 """Search for existing functions, hard-coded patterns, prose in TeX, modules that are loaded while a program runs."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 
@@ -53,6 +55,39 @@ def test_unknown_tokens_weigh_one(spark):
     assert retrieval.weighted_jaccard(asked, sets, weights).where("key = 2").first().score == round(a / (a + 1), 6)
 
 
+def test_bounded_search_is_the_whole_search(spark, monkeypatch):
+    """Against every pair, for each measure, with rounds of a few postings; and that common tokens aren't joined."""
+    r = random.Random(3)
+    words, weights = [f"w{i}" for i in range(120)], [1 / (i + 1) for i in range(120)]
+    draw = lambda n: {w for w in r.choices(words, weights, k=n)}
+    own = {i: draw(r.randrange(2, 40)) for i in range(150)}
+    own |= {200 + i: own[7] for i in range(6)}
+    asked = {300 + i: draw(r.randrange(1, 25)) | ({"unknown"} if i % 3 else set()) for i in range(25)} | {1: own[1], 999: {"unknown"}}
+    frame = lambda d: spark.createDataFrame([(k, t) for k, s in d.items() for t in sorted(s)], "key int, token string")
+    sets, queries = frame(own), frame(asked)
+    df = Counter(t for s in own.values() for t in s)
+    idf = {t: math.log((len(own) + 1) / (n + 1)) + 1 for t, n in df.items()}
+    weigh = lambda s: sum(idf.get(t, 1.0) for t in s)
+    score = {
+        "jaccard": lambda q, x: weigh(q & x) / weigh(q | x), "coverage": lambda q, x: weigh(q & x) / weigh(q),
+    }
+    monkeypatch.setattr(retrieval, "FIRST", 2)
+    monkeypatch.setattr(retrieval, "GROWTH", 3)
+    made, real = [], retrieval.scored
+    monkeypatch.setattr(retrieval, "scored", lambda p, *a: (made.append(p.count()), real(p, *a))[1])
+    table = retrieval.idf(sets, len(own)).cache()
+    tokens, index = retrieval.asked(queries, table), retrieval.records(sets, table)
+    for name, measure in (("jaccard", retrieval.JACCARD), ("coverage", retrieval.COVERAGE)):
+        every = {q: sorted(((-round(score[name](s, x), 6), i) for i, x in own.items() if s & x and i != q)) for q, s in asked.items()}
+        made.clear()
+        got = {(r["query"], r["rank"]): (r.key, r.score) for r in retrieval.top(tokens, index, measure, 4, other=True).collect()}
+        assert got == {(q, n): (i, pytest.approx(-s, abs=2e-6)) for q, rows in every.items() for n, (s, i) in enumerate(rows[:4], 1)}
+        assert sum(made) < 0.7 * sum(map(len, every.values()))
+        floors = spark.createDataFrame([(q, 0.3) for q in asked], "query int, floor double")
+        assert {(r["query"], r.key) for r in retrieval.at_least(tokens, index, measure, floors, other=True).collect()} == {(q, i) for q, rows in every.items() for s, i in rows if -s >= 0.3}
+    assert retrieval.top(tokens.where("false"), index, retrieval.JACCARD, 4).count() == 0
+
+
 def test_hardcoded(spark):
     text = "import hashlib\nx = hashlib.sha256(b)\ny = norm_f(\n  h.mean(dim=1))\nz = a.mean(dim=1); w = hashlib.sha256(c)\n"
     docs = spark.createDataFrame([("lib/a.py", text), ("tests/b.py", text), ("lib/c.py", "x = 1")], "path string, text string")

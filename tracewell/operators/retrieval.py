@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.tables import stash
+
+#: Postings that the first round of a search takes for each result that is asked for, and how many times more each next round does.
+FIRST, GROWTH = 8, 4
+#: Rows of queries that are sent to every task at most.
+BROADCAST_QUERIES = 200_000
+
 
 def token_sets(records: DataFrame, key: str, tokens) -> DataFrame:
     """(key, token), distinct."""
@@ -18,33 +28,128 @@ def idf(sets: DataFrame, n: int) -> DataFrame:
     return counted.withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
-def _weighted(sets: DataFrame, weights: DataFrame) -> DataFrame:
-    """With idf; a token without a weight weighs 1."""
-    return sets.join(weights.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
+def records(sets: DataFrame, weights: DataFrame) -> DataFrame:
+    """(key, tokens, wx), a written table: each record's distinct tokens and their weight, for searches. sets: (key, token)."""
+    weighed = sets.join(weights.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
+    return stash(weighed.groupBy("key").agg(F.collect_set("token").alias("tokens"), F.sum("idf").alias("wx")), "records")
 
 
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    # Rounded before ranking: sums of floating point depend on their order.
-    scored = scored.withColumn("score", F.round("score", 6)).where("score > 0")
+class Measure(NamedTuple):
+    """A score of the weight w that a query of weight wq shares with a record of weight wx, as SQL: it must not fall as w grows."""
+
+    score: str
+
+
+JACCARD, COVERAGE = Measure("{w} / ({wq} + {wx} - {w})"), Measure("{w} / {wq}")
+#: Scores are ranked to six decimals, so a bound has to fail by more.
+NEAR = 1e-6
+
+
+def asked(queries: DataFrame, weights: DataFrame) -> DataFrame:
+    """(query, token, idf, reach, rest, wq), a written table: a query's tokens, rarest first. reach: how many postings this token and those before it have; rest: what this one and those after it
+    weigh; wq: the whole query's weight. A token that has no weight weighs 1, and is left out, as no record has it. queries: (key, token); weights: (token, df, idf)."""
+    own = queries.select(F.col("key").alias("query"), "token").join(weights.select("token", "df", "idf"), "token", "left")
+    order = W.partitionBy("query").orderBy(F.coalesce("df", F.lit(0)), "token")
+    all_of = W.partitionBy("query")
+    own = own.withColumn("wq", F.sum(F.coalesce("idf", F.lit(1.0))).over(all_of)).withColumn("known", F.sum(F.when(F.col("df").isNotNull(), F.col("idf"))).over(all_of))
+    own = own.where("df IS NOT NULL").withColumn("reach", F.sum("df").over(order)).withColumn("rest", F.col("known") - F.sum("idf").over(order) + F.col("idf"))
+    return stash(own.select("query", "token", "idf", "reach", "rest", "wq"), "asked")
+
+
+def _small(tokens: DataFrame) -> tuple[int, bool]:
+    """The most postings that a query's tokens have, and whether the queries are few enough to be sent to every task."""
+    most, n = tokens.agg(F.max("reach"), F.count("*")).first()
+    return most or 0, n <= BROADCAST_QUERIES
+
+
+def scored(pairs: DataFrame, tokens: DataFrame, index: DataFrame, measure: Measure, small: bool = False) -> DataFrame:
+    """(query, key, score) of the pairs (query, key), computed from whole records; to six decimals. small: whether the queries are sent to every task."""
+    weight = tokens.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("m"), F.first("wq").alias("wq"))
+    both = pairs.join(F.broadcast(weight) if small else weight, "query").join(index, "key")
+    shared = "aggregate(array_sort(array_intersect(tokens, map_keys(m))), 0.0D, (s, t) -> s + m[t])"
+    both = both.withColumn("w", F.expr(shared))
+    return both.select("query", "key", F.round(F.expr(measure.score.format(w="w", wq="wq", wx="wx")), 6).alias("score"))
+
+
+def _candidates(tokens: DataFrame, index: DataFrame, floors: DataFrame | None, measure: Measure, other: bool, small: bool) -> DataFrame:
+    """(query, key): records that share one of the tokens and, sharing all that are left of the query from it on, could reach the query's floor. floors: (query, floor); a query without one has none."""
+    sent = F.broadcast if small else lambda x: x
+    asks = tokens.withColumn("floor", F.lit(0.0)) if floors is None else tokens.join(sent(floors), "query", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    asks = asks.where(f"rest / wq >= floor - {NEAR}").select("query", "token", "rest", "wq", "floor")
+    postings = index.select("key", "wx", F.explode("tokens").alias("token"))
+    best = measure.score.format(w="least(rest, wx)", wq="wq", wx="wx")
+    met = postings.join(sent(asks), "token").where(f"{best} >= floor - {NEAR}")
+    return (met.where("query <> key") if other else met).select("query", "key").distinct()
+
+
+def top(tokens: DataFrame, index: DataFrame, measure: Measure, k: int, other: bool = False) -> DataFrame:
+    """(query, rank, key, score): each query's k best records with a score over zero, ties to the smaller key. tokens as asked gives them, index as records does.
+
+    Rarest tokens first, in rounds: a round takes as many of each query's tokens as have GROWTH times the postings of the last. What a record could still score that has none of the tokens taken is
+    bounded by the weight of the others, and by its own weight; once that is below the k-th score found, the query is over. So common tokens are hardly ever joined. With other, a record
+    with the query's own key isn't found."""
+    last, small = _small(tokens)
     order = W.partitionBy("query").orderBy(F.desc("score"), "key")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "key", "score")
+    best = seen = floors = None
+    low, high = 0, FIRST * k
+    while low < last:
+        made = _candidates(tokens.where((F.col("reach") > low) & (F.col("reach") <= high)), index, floors, measure, other, small)
+        new = stash(scored(made if seen is None else made.join(seen, ["query", "key"], "left_anti"), tokens, index, measure, small), "scored")
+        every = new if best is None else best.drop("rank").unionByName(new)
+        best = stash(every.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
+        floors = best.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
+        seen = new.select("query", "key") if seen is None else seen.unionByName(new.select("query", "key"))
+        low, high = high, high * GROWTH
+        if low < last:
+            # The next rounds' tokens that a record could still come in by.
+            left = tokens.where(F.col("reach") > low).join(F.broadcast(floors) if small else floors, "query", "left").where(f"rest / wq >= coalesce(floor, 0) - {NEAR}")
+            least = left.agg(F.min("reach")).first()[0]
+            low, high = (last, last) if least is None else (low, max(high, least))
+    if best is None:
+        return tokens.select("query", F.lit(0).alias("rank")).join(index.select("key"), F.lit(False)).select("query", "rank", "key", F.lit(0.0).alias("score"))
+    return best.select("query", "rank", "key", "score")
+
+
+def at_least(tokens: DataFrame, index: DataFrame, measure: Measure, floors: DataFrame, other: bool = False) -> DataFrame:
+    """(query, key, score): every record whose score is its query's floor or more. floors: (query, floor), over zero."""
+    small = _small(tokens)[1]
+    found = scored(_candidates(tokens.join(floors.select("query"), "query", "left_semi"), index, floors, measure, other, small), tokens, index, measure, small)
+    return found.join(F.broadcast(floors) if small else floors, "query").where("score >= floor").select("query", "key", "score")
 
 
 def weighted_jaccard(queries: DataFrame, index: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, key, score): shared weight over the weight of either. queries and index: (key, token)."""
-    q, x = _weighted(queries, weights).withColumnRenamed("key", "query"), _weighted(index, weights)
-    wq, wx = q.groupBy("query").agg(F.sum("idf").alias("wq")), x.groupBy("key").agg(F.sum("idf").alias("wx"))
-    met = x.join(q.drop("idf"), "token").groupBy("query", "key").agg(F.sum("idf").alias("w"))
-    both = met.join(wq, "query").join(wx, "key")
-    return _ranked(both.select("query", "key", (F.col("w") / (F.col("wq") + F.col("wx") - F.col("w"))).alias("score")), k)
+    return top(asked(queries, weights), records(index, weights), JACCARD, k)
 
 
 def coverage(queries: DataFrame, index: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, key, score): the share of the query's weight that a record has."""
-    q = _weighted(queries, weights).withColumnRenamed("key", "query")
-    wq = q.groupBy("query").agg(F.sum("idf").alias("wq"))
-    met = index.join(q, "token").groupBy("query", "key").agg(F.sum("idf").alias("w"))
-    return _ranked(met.join(wq, "query").select("query", "key", (F.col("w") / F.col("wq")).alias("score")), k)
+    return top(asked(queries, weights), records(index, weights), COVERAGE, k)
+
+
+def strongest(channels: dict[str, tuple[DataFrame, DataFrame, Measure, float]], k: int, other: bool = False) -> DataFrame:
+    """(query, rank, key, score, and a column for each channel): the k best of each query by the greatest of its channels' scores times their weights.
+    channels: name to (tokens, index, measure, weight). A record among the k best is among the k best of the channel that it owes its score to, so each channel is searched for k; what
+    is found is then scored in every channel."""
+    found = {c: top(tokens, index, measure, k, other) for c, (tokens, index, measure, _) in channels.items()}
+    pairs = stash(reduce(DataFrame.unionByName, (f.select("query", "key") for f in found.values())).distinct(), "pairs")
+    for c, (tokens, index, measure, _) in channels.items():
+        one = scored(pairs.select("query", "key"), tokens, index, measure, _small(tokens)[1]).withColumnRenamed("score", c)
+        pairs = pairs.join(one, ["query", "key"], "left")
+    return merged(pairs.fillna(0.0, list(channels)), {c: x[3] for c, x in channels.items()}, k)
+
+
+def merged(pairs: DataFrame, weights: dict[str, float], k: int, least: float = 0.0) -> DataFrame:
+    """Of (query, key, a score for each channel) the k best of each query by the greatest score times its weight, with that as score."""
+    best = pairs.withColumn("score", F.round(F.greatest(F.lit(0.0), *[F.col(c) * w for c, w in weights.items()]), 6)).where((F.col("score") > 0) & (F.col("score") >= least))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "key", "score", *weights)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    scored = scored.withColumn("score", F.round("score", 6)).where("score > 0")
+    order = W.partitionBy("query").orderBy(F.desc("score"), "key")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "key", "score")
 
 
 def closure(ranked: DataFrame, calls: DataFrame, k: int = 10, budget: int = 5) -> DataFrame:

@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.sequences import seq_ratio
-from ..operators.retrieval import coverage, idf, weighted_jaccard
-from ..plans.tables import broadcast_if_small, stash
-from .capabilities import _tag_similarity, tag_tokens
+from ..operators import retrieval
+from ..operators.retrieval import COVERAGE, JACCARD, Measure, asked, idf, records
+from ..plans.tables import stash
+from .capabilities import tag_tokens
 
 #: The least similarity of bodies, the weights of the weaker channels, and the results by default.
 BODY, LEXICAL, STRING, LEAST, K, BUDGET = 0.35, 0.8, 0.6, 0.3, 10, 5
 LITERAL_WORD = "[a-z][a-z0-9_]{2,}"
-BROADCAST_ROWS = 200_000
-EVERY = 1 << 30
+#: Bodies compared for each result that is asked for before the least ratio is known.
+TRIED = 4
+#: Of elements: twice what is shared over both sizes, an upper bound of the ratio of matching blocks.
+QUICK = Measure("2 * {w} / ({wq} + {wx})")
 
 
 def literal_words(literals: Column | str) -> Column:
@@ -40,46 +43,62 @@ def _ends(table: DataFrame, column: str, key: str = "key") -> DataFrame:
     return table.select(F.col(key).alias("key"), F.explode(F.array_distinct(column)).alias("token"))
 
 
-def _banded(queries: DataFrame, own: DataFrame) -> DataFrame:
-    """(query, key, score) of bodies: lengths that can reach BODY are one class apart at most, so the classes are an equi-join."""
-    size = lambda df, k: df.select(F.col("key").alias(k), F.col("reuse_tokens").alias(f"{k}_tokens"), F.expr(f"CAST(floor(ln(size(reuse_tokens)) / -ln({BODY}D)) AS INT)").alias("class")).where(f"size({k}_tokens) > 0")
-    left = size(queries, "query").withColumn("class", F.explode(F.expr("array(class - 1, class, class + 1)")))
-    met = size(own, "key").join(broadcast_if_small(stash(left, "bodies"), BROADCAST_ROWS), "class")
-    near = met.where(f"least(size(query_tokens), size(key_tokens)) >= {BODY}D * greatest(size(query_tokens), size(key_tokens))")
-    return near.select("query", "key", seq_ratio("query_tokens", "key_tokens", BODY, below=True).alias("score"))
+def _channel(queries: DataFrame, own: DataFrame, column: str, n: int | None, measure: Measure = JACCARD) -> tuple[DataFrame, DataFrame, Measure]:
+    """What retrieval.strongest takes, for an array of tokens: weighted by rarity among n records, or evenly for None."""
+    sets = stash(_ends(own, column), column)
+    weights = idf(sets, n or 1)
+    weights = stash(weights if n else weights.withColumn("idf", F.lit(1.0)), f"{column}-weights")
+    return asked(_ends(queries, column), weights), records(sets, weights), measure
 
 
-def _lexical(queries: DataFrame, own: DataFrame) -> DataFrame:
-    """(query, key, score) of tag lines; those that are similar at all share a word."""
-    tags = lambda df, k: df.where("size(tag) > 0").select(F.col("key").alias(k), F.col("tag").alias(f"{k}_tag"))
-    met = _ends(queries, "tag").withColumnRenamed("key", "query").join(_ends(own, "tag"), "token").select("query", "key").distinct()
-    both = met.join(tags(queries, "query"), "query").join(tags(own, "key"), "key")
-    return both.select("query", "key", _tag_similarity(F.col("query_tag"), F.col("key_tag")).alias("score"))
+def _ratios(pairs: DataFrame, queries: DataFrame, own: DataFrame) -> DataFrame:
+    """(query, key, score) of the bodies' matching blocks; a pair whose lengths forbid a ratio of BODY is left out."""
+    side = lambda df, name: df.select(F.col("key").alias(name), F.col("reuse_tokens").alias(f"{name}_tokens"))
+    both = pairs.select("query", "key").join(side(queries, "query"), "query").join(side(own, "key"), "key")
+    both = both.where(f"least(size(query_tokens), size(key_tokens)) >= {BODY}D * greatest(size(query_tokens), size(key_tokens))")
+    return both.select("query", "key", seq_ratio("query_tokens", "key_tokens", BODY, below=True).alias("score"))
 
 
-def _merged(channels: dict[str, tuple[DataFrame, float]], k: int, least: float = 0.0) -> DataFrame:
-    """(query, rank, key, score, and a column for each channel): the greatest of the channels by weight; k of each query, ties to the smaller key."""
-    every = None
-    for name, (scored, _) in channels.items():
-        part = scored.select("query", "key", F.lit(name).alias("channel"), F.col("score").cast("double").alias("score"))
-        every = part if every is None else every.unionByName(part)
-    each = every.groupBy("query", "key").agg(*[F.coalesce(F.max(F.when(F.col("channel") == c, F.col("score"))), F.lit(0.0)).alias(c) for c in channels])
-    scored = each.withColumn("score", F.greatest(F.lit(0.0), *[F.col(c) * w for c, (_, w) in channels.items()])).where((F.col("score") > 0) & (F.col("score") >= least))
-    order = W.partitionBy("query").orderBy(F.desc("score"), "key")
-    kept = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return kept.select("query", "rank", "key", F.round("score", 4).alias("score"), *[F.round(c, 4).alias(c) for c in channels])
+def _structural(queries: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """(query, key, score) of bodies that can be among a query's k best by the ratio of their matching blocks, which is BODY or more.
+
+    A body's elements are its tokens, each with the number of times that it has stood before; what two share of them bounds the ratio. The TRIED * k best by that bound are compared first; then
+    only bodies whose bound reaches the k-th ratio."""
+    elements = "flatten(transform(array_distinct(reuse_tokens), t -> transform(sequence(1, size(filter(reuse_tokens, x -> x = t))), i -> concat(i, ' ', t))))"
+    elements = f"CASE WHEN size(reuse_tokens) > 0 THEN {elements} END"
+    bodies = lambda df: stash(df.withColumn("elements", F.expr(elements)), "bodies")
+    queries, own = bodies(queries), bodies(own)
+    tokens, index, measure = _channel(queries, own, "elements", None, QUICK)
+
+    compared = lambda pairs: stash(_ratios(pairs, queries, own), "ratios")
+    first = compared(retrieval.top(tokens, index, measure, TRIED * k, other=True).where(f"score >= {BODY}"))
+    order = W.partitionBy("query").orderBy(F.desc("score"))
+    kth = first.where(f"score >= {BODY}").withColumn("n", F.row_number().over(order)).where(f"n = {k}").select("query", F.col("score").alias("kth"))
+    floors = tokens.select("query").distinct().join(kth, "query", "left").select("query", F.greatest(F.lit(BODY), F.coalesce("kth", F.lit(0.0))).alias("floor"))
+    rest = retrieval.at_least(tokens, index, measure, stash(floors, "floors"), other=True).select("query", "key")
+    return first.unionByName(compared(rest.join(first, ["query", "key"], "left_anti"))).where("score > 0")
 
 
 def for_symbols(queries: DataFrame, own: DataFrame, k: int = K, least: float = 0.0) -> DataFrame:
     """(query, rank, key, score, structural, call, string, lexical). queries and own: as index gives them; a function isn't found for itself."""
     n = own.count()
-    channels: dict[str, tuple[DataFrame, float]] = {"structural": (_banded(queries, own), 1.0)}
-    for name, column in (("call", "calls"), ("string", "literals")):
-        sets = stash(_ends(own, column), name)
-        asked = _ends(queries, column)
-        channels[name] = (weighted_jaccard(asked, sets, stash(idf(sets, n), f"{name}-idf"), EVERY), 1.0)
-    channels["lexical"] = (_lexical(queries, own), LEXICAL)
-    return _merged({c: (scored.where("query <> key"), w) for c, (scored, w) in channels.items()}, k, least)
+    bodies = stash(_structural(queries, own, k), "structural")
+    channels = {"call": (*_channel(queries, own, "calls", n), 1.0), "string": (*_channel(queries, own, "literals", n), 1.0), "lexical": (*_channel(queries, own, "tag", None), LEXICAL)}
+    found = [retrieval.top(*x[:3], k, other=True).select("query", "key") for x in channels.values()]
+    pairs = bodies.select("query", "key")
+    for f in found:
+        pairs = pairs.unionByName(f)
+    pairs = stash(pairs.distinct(), "pairs")
+    whole = pairs.join(bodies.withColumnRenamed("score", "structural"), ["query", "key"], "left")
+    for c, (tokens, sets, measure, _) in channels.items():
+        whole = whole.join(retrieval.scored(pairs, tokens, sets, measure).withColumnRenamed("score", c), ["query", "key"], "left")
+    names = ["structural", *channels]
+    # A body that no search for bodies came upon has a ratio that can't count, but it is told.
+    unseen = whole.where("structural IS NULL").select("query", "key")
+    told = _ratios(unseen, queries, own).withColumnRenamed("score", "told")
+    whole = whole.join(told, ["query", "key"], "left").withColumn("structural", F.coalesce("structural", "told")).drop("told").fillna(0.0, names)
+    best = retrieval.merged(whole, {"structural": 1.0} | {c: x[3] for c, x in channels.items()}, k, least)
+    return best.select("query", "rank", "key", F.round("score", 4).alias("score"), *[F.round(c, 4).alias(c) for c in names])
 
 
 def for_symbols_with_closure(queries: DataFrame, own: DataFrame, k: int = K, least: float = 0.0) -> DataFrame:
@@ -97,12 +116,14 @@ def for_symbols_with_closure(queries: DataFrame, own: DataFrame, k: int = K, lea
 def for_descriptions(descriptions: DataFrame, own: DataFrame, k: int = K, least: float = 0.0) -> DataFrame:
     """(query, rank, key, score, name, lexical, string): the share of a description's weight that a function's name, tag line or literals have.
     descriptions: (key, text)."""
-    asked = stash(descriptions.select("key", F.explode(T.describe_tokens("text")).alias("token")), "described")
+    said = stash(descriptions.select("key", F.explode(T.describe_tokens("text")).alias("token")), "described")
     n, channels = own.count(), {}
     for name, tokens, weight in (("name", T.name_tokens("name"), 1.0), ("lexical", F.col("tag"), LEXICAL), ("string", literal_words("literals"), STRING)):
         sets = stash(own.select("key", F.explode(F.array_distinct(tokens)).alias("token")), name)
-        channels[name] = (coverage(asked, sets, stash(idf(sets, n), f"{name}-idf"), EVERY), weight)
-    return _merged(channels, k, least)
+        weights = stash(idf(sets, n), f"{name}-idf")
+        channels[name] = (asked(said, weights), records(sets, weights), COVERAGE, weight)
+    best = retrieval.strongest(channels, k).where(F.col("score") >= least)
+    return best.select("query", "rank", "key", F.round("score", 4).alias("score"), *[F.round(c, 4).alias(c) for c in channels])
 
 
 def pairs(ranked: DataFrame) -> DataFrame:

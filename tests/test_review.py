@@ -50,8 +50,3 @@ def test_tex(spark):
     docs = tex.documents(spark.createDataFrame([("a.tex", source.encode())], "path string, content binary"))
     assert docs.first().text.count("[MATH]") == 0
     assert [r.line for r in tex.bare_pm(docs).collect()] == [6]
-
-
-def test_even_sample(spark):
-    rows = spark.range(11).toDF("i")
-    assert sorted(r.i for r in scoring.even_sample(rows, "i", 4, 11).collect()) == sorted({min(10, round(i * 11 / 4)) for i in range(4)})

@@ -1,9 +1,8 @@
-"""Scores against labels, confusion matrices, deterministic samples."""
+"""Scores against labels, confusion matrices, buckets of reviews."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -33,29 +32,26 @@ def rollup(rows: DataFrame, by: str, measures: dict[str, Column]) -> DataFrame:
     return own
 
 
-def stride_sample(rows: DataFrame, by: str, order: str, quota: int) -> DataFrame:
-    """Every k-th row of each group in order, quota of them: those numbered floor(i * n / quota)."""
-    own = W.partitionBy(by)
-    ranked = rows.withColumn("_i", F.row_number().over(own.orderBy(order)) - 1).withColumn("_n", F.count("*").over(own))
-    # Row r is chosen if some i has floor(i * n / quota) = r: the least i of i * n / quota >= r is the one to try.
-    i = F.ceil(F.col("_i") * quota / F.col("_n"))
-    chosen = (F.col("_n") <= quota) | ((i < quota) & (F.floor(i * F.col("_n") / quota) == F.col("_i")))
-    return ranked.where(chosen).drop("_i", "_n")
-
-
-def largest_remainder(counts: DataFrame, key: str, n: str, seats: int) -> DataFrame:
-    """(key, quota): seats in proportion to n, the rest to the largest remainders, ties to the larger key. counts: a few rows."""
-    total = counts.agg(F.sum(n).alias("_total"))
-    exact = counts.crossJoin(F.broadcast(total)).withColumn("_x", F.col(n) * seats / F.col("_total")).withColumn("_q", F.floor("_x"))
-    left = exact.agg((F.lit(seats) - F.sum("_q")).alias("_left"))
-    ranked = exact.withColumn("_r", F.row_number().over(W.orderBy(F.desc(F.round(F.col("_x") - F.col("_q"), 9)), F.desc(key))))
-    return ranked.crossJoin(F.broadcast(left)).select(key, (F.col("_q") + F.when(F.col("_r") <= F.col("_left"), 1).otherwise(0)).cast("bigint").alias("quota"))
-
-
-def even_sample(rows: DataFrame, order: str, cap: int, n: int) -> DataFrame:
-    """cap rows of n: those numbered round(i * n / cap), halves to even, the last row at most."""
-    wanted = sorted({min(n - 1, round(i * n / cap)) for i in range(cap)}) if n > cap else list(range(n))
-    return rows.withColumn("_i", F.row_number().over(W.orderBy(order)) - 1).where(F.col("_i").isin(wanted)).drop("_i")
+def label_levels(candidates: DataFrame, labels: DataFrame) -> DataFrame:
+    """(level, name, candidates, labelled, true_findings, false_positives, unmatched, unique_issues, tokens, precision) over everything (level all, name null), each scanner, each
+    cohort and each true issue, from one pass. candidates: scanner, target_id, cohort, tokens; labels: scanner, target_id, is_true, issue (null: the label is one by itself).
+
+    unmatched counts labels without a candidate; they belong to no cohort. An issue counts as one of unique_issues if one of its candidates was found; its own row has as labelled the labels of it that
+    were found, and as unmatched those that weren't."""
+    said = labels.select("scanner", "target_id", "is_true", F.when(F.col("is_true"), F.coalesce("issue", F.concat_ws("/", "scanner", "target_id"))).alias("issue"), F.lit(True).alias("said"))
+    both = candidates.select("scanner", "target_id", "cohort", "tokens", F.lit(True).alias("found")).join(said, ["scanner", "target_id"], "full")
+    met = F.col("found") & F.col("said")
+    hit = F.when(met & F.col("is_true"), F.col("true_issue"))
+    both = both.withColumn("true_issue", F.col("issue"))  # the grouping column is null in other levels
+    own = both.groupingSets([[], ["scanner"], ["cohort"], ["issue"]], "scanner", "cohort", "issue")
+    out = own.agg(
+        F.grouping_id().alias("g"), F.count("found").alias("candidates"), F.count_if(met).alias("labelled"), F.count_if(met & F.col("is_true")).alias("true_findings"), F.count_if(met & ~F.col("is_true")).alias("false_positives"),
+        F.count_if(F.col("said") & F.col("found").isNull()).alias("unmatched"), F.count_distinct(hit).alias("unique_issues"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens"),
+    )
+    level = F.when(F.col("g") == 7, "all").when(F.col("g") == 3, "scanner").when(F.col("g") == 5, "cohort").otherwise("issue")
+    out = out.withColumn("level", level).withColumn("name", F.coalesce("scanner", "cohort", "issue")).where("level = 'all' OR name IS NOT NULL")
+    counts = ("candidates", "labelled", "true_findings", "false_positives", "unmatched", "unique_issues", "tokens")
+    return out.select("level", "name", *counts, share("true_findings", "labelled").alias("precision"))
 
 
 def totals(results: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.ids import short_hash
 from ..functions.sequences import seq_ratio
-from ..operators import findings, references, retrieval, scoring, similarity, spans, style
+from ..operators import findings, lines, references, retrieval, sampling, scoring, similarity, spans, style
 from ..operators.graph import components
 from ..scanners import deadcode
 from .tables import broadcast_if_small, stash, table
@@ -462,6 +462,20 @@ def retrieve_description_coverage(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.coverage(*_sets(spark, d))
 
 
+@query(f"""WITH {_SETS}, wq AS (SELECT query, sum(coalesce(idf, 1.0)) AS wq, count(*) AS nq FROM q LEFT JOIN f USING (token) GROUP BY query), nx AS (SELECT key, count(*) AS nx FROM x GROUP BY key),
+met AS (SELECT query, key, sum(idf) AS w, count(*) AS n FROM q JOIN x USING (token) JOIN f USING (token) GROUP BY query, key),
+each AS (SELECT query, key, round(w / wq, 6) AS string, round(n / (nq + nx - n), 6) AS lexical FROM met JOIN wq USING (query) JOIN nx USING (key)),
+scored AS (SELECT *, round(greatest(string * 0.6, lexical * 0.8), 6) AS score FROM each)
+SELECT query, CAST(rank AS INTEGER) AS rank, key, score, string, lexical FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM scored WHERE score > 0) WHERE rank <= 10""")
+def retrieve_two_channels(spark: SparkSession, d: str) -> DataFrame:
+    """The stronger of two channels: the share of an item's weight that a document has, and the even Jaccard similarity."""
+    queries, index, weights = _sets(spark, d)
+    even = stash(weights.withColumn("idf", F.lit(1.0)), "even")
+    string = (retrieval.asked(queries, weights), retrieval.records(index, weights), retrieval.COVERAGE, 0.6)
+    lexical = (retrieval.asked(queries, even), retrieval.records(index, even), retrieval.JACCARD, 0.8)
+    return retrieval.strongest({"string": string, "lexical": lexical}, 10)
+
+
 @query(f"""WITH {_JACCARD}, ranked AS ({_RANK}), calls AS (SELECT a.item_id AS query, b.item_id AS callee, row_number() OVER (PARTITION BY a.item_id ORDER BY b.item_id) AS n FROM benchmark a JOIN benchmark b ON a.item_id <> b.item_id AND a.item_id % 7 = b.item_id % 7),
 every AS (SELECT query, key, score FROM ranked UNION ALL SELECT c.query, r.key, r.score FROM calls c JOIN ranked r ON r.query = c.callee WHERE n <= 5), best AS (SELECT query, key, max(score) AS score FROM every GROUP BY query, key)
 SELECT query, CAST(rank AS INTEGER) AS rank, key, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM best) WHERE rank <= 10""")
@@ -650,14 +664,15 @@ def project_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
 SELECT DISTINCT source, doc_id FROM r WHERE n <= 7 OR i IN (SELECT CAST(floor(k * n / 7.0) AS BIGINT) FROM range(7) t(k))""")
 def stride_sample(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.stride_sample(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 7)
+    each = sampling.numbered(table(spark, d, "documents").select("source", "doc_id"), ["source"], ["doc_id"])
+    return each.where(sampling.by_stride(F.col("_i"), F.col("_n"), F.lit(7))).drop("_i", "_n")
 
 
 @query("""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), x AS (SELECT source, n * 137.0 / (SELECT sum(n) FROM c) AS x FROM c),
 r AS (SELECT *, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, source DESC) AS r FROM x)
 SELECT source, CAST(floor(x) + CASE WHEN r <= 137 - (SELECT sum(floor(x)) FROM x) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r""")
 def largest_remainder(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.largest_remainder(table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")), "source", "n", 137)
+    return sampling.seats(table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")), [], "source", "n", 137).select("source", "quota")
 
 
 @query("""WITH l AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events WHERE event_type IN ('error', 'signup')), m AS (SELECT k, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS manifests FROM l GROUP BY k)
@@ -668,3 +683,107 @@ def lock_annotate(spark: SparkSession, d: str) -> DataFrame:
     manifests = locks.groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("manifests"))
     part = table(spark, d, "part").select("p_partkey")
     return part.join(manifests, part["p_partkey"] == manifests["k"], "left").select("p_partkey", "manifests")
+
+
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
+SELECT DISTINCT doc_id FROM r JOIN range(333) t(k) ON i = CASE WHEN n <= 333 THEN k ELSE CAST(round_even(k * (n / 333::DOUBLE), 0) AS BIGINT) END WHERE n > 333 UNION SELECT doc_id FROM r WHERE n <= 333""")
+def even_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.even_sample(table(spark, d, "documents").select("doc_id"), [], ["doc_id"], 333)
+
+
+_LABELLED = """base AS (SELECT d.source AS project, d.lang AS scanner, lpad(CAST(d.doc_id AS VARCHAR), 12, '0') AS target_id, CASE WHEN l.toxic = 1 THEN 'true_finding' ELSE 'false_positive' END AS label, d.doc_id, d.text, l.quality FROM documents d JOIN labels l USING (doc_id) WHERE d.lang IS NOT NULL AND d.source IS NOT NULL)"""
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as findings: sources are projects, languages scanners, toxic ones true findings."""
+    both = table(spark, d, "documents").where("lang IS NOT NULL AND source IS NOT NULL").join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    label = F.when(F.col("toxic") == 1, "true_finding").otherwise("false_positive")
+    return both.select(F.col("source").alias("project"), F.col("lang").alias("scanner"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("target_id"), label.alias("label"), "doc_id", "text", "quality")
+
+
+@query(f"""WITH {_LABELLED}, b AS (SELECT *, text AS reason FROM base), t AS (SELECT count(*) FILTER (WHERE label = 'true_finding') AS true, greatest(0, 200 - count(*) FILTER (WHERE label = 'true_finding')) AS goal FROM b),
+c AS (SELECT project, scanner, count(*) AS n FROM b WHERE label = 'false_positive' GROUP BY ALL), p AS (SELECT project, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY project),
+px AS (SELECT project, n, n / (SELECT sum(n) FROM p)::DOUBLE * goal AS x, goal FROM p, t), pr AS (SELECT *, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, project DESC) AS r, goal - sum(floor(x)) OVER () AS left_over FROM px),
+pq AS (SELECT project, floor(x) + CASE WHEN r <= left_over THEN 1 ELSE 0 END AS quota FROM pr),
+sx AS (SELECT c.project, c.scanner, greatest(0, quota - count(*) OVER w) AS free, c.n / (sum(c.n) OVER w)::DOUBLE * greatest(0, quota - count(*) OVER w) AS x FROM c JOIN pq USING (project) WINDOW w AS (PARTITION BY c.project)),
+sr AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY round(x - floor(x), 9) DESC, scanner DESC) AS r, free - sum(floor(x)) OVER (PARTITION BY project) AS left_over FROM sx),
+sq AS (SELECT project, scanner, CAST(1 + floor(x) + CASE WHEN r <= left_over THEN 1 ELSE 0 END AS BIGINT) AS quota FROM sr),
+f AS (SELECT b.*, quota, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY b.project, b.scanner) AS n FROM b JOIN sq USING (project, scanner) WHERE label = 'false_positive' WINDOW w AS (PARTITION BY b.project, b.scanner ORDER BY target_id)),
+kept AS (SELECT DISTINCT project, scanner, target_id, label, reason FROM f, range(1000) k(k) WHERE n <= quota OR (k < quota AND i = floor(k * (n / quota::DOUBLE))))
+SELECT project, scanner, target_id, label AS gold_label, 'q' || quality AS issue_id, false AS boundary FROM b WHERE label = 'true_finding'
+UNION ALL SELECT project, scanner, kept.target_id, label, NULL, regexp_matches(reason, 'token-level|boilerplate|dunder|overload|coinciden|near-|almost|unrelated') FROM kept""")
+def gold_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Two hundred of the labelled documents, all the toxic ones among them; their texts are the reasons."""
+    labels = _labelled(spark, d).withColumn("reason", F.col("text")).withColumn("issue_id", F.when(F.col("label") == "true_finding", F.concat(F.lit("q"), F.col("quality").cast("string"))))
+    return sampling.gold_sample(labels, 200).drop("reason")
+
+
+@query(f"""WITH {_LABELLED}, now AS (SELECT *, sha256(text) AS evidence_hash FROM base), was AS (SELECT project, scanner, target_id, label, sha256(regexp_replace(text, '[0-9]', '', 'g')) AS evidence_hash, length(text) % 2 = 0 AS human_verified FROM base WHERE quality = 1),
+c AS (SELECT project, scanner, count(*) AS n FROM now WHERE label = 'false_positive' GROUP BY ALL), p AS (SELECT project, sum(n) AS of_project FROM c GROUP BY project),
+t AS (SELECT CAST(greatest(0, 300 - count(*) FILTER (WHERE label = 'true_finding')) AS DOUBLE) AS budget, greatest(1, count(*) FILTER (WHERE label = 'false_positive')) AS every FROM now),
+k AS (SELECT project, scanner, greatest(1.0, round_even(round_even(budget * of_project / every, 0) * n / greatest(1, of_project), 0)) AS cap FROM c JOIN p USING (project), t),
+f AS (SELECT now.*, cap, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY now.project, now.scanner) AS n FROM now JOIN k USING (project, scanner) WHERE label = 'false_positive' WINDOW w AS (PARTITION BY now.project, now.scanner ORDER BY target_id)),
+chosen AS (SELECT project, scanner, target_id, label, evidence_hash FROM now WHERE label = 'true_finding'
+  UNION SELECT project, scanner, target_id, label, evidence_hash FROM f, range(1000) j(j) WHERE n <= cap OR (j < cap AND i = round_even(j * (n / cap), 0))),
+m AS (SELECT coalesce(c.project, w.project) AS project, coalesce(c.scanner, w.scanner) AS scanner, coalesce(c.target_id, w.target_id) AS target_id, coalesce(c.label, w.label) AS label, coalesce(c.evidence_hash, w.evidence_hash) AS evidence_hash,
+  c.label IS NOT NULL AS chosen, w.human_verified AS was_verified, coalesce(c.evidence_hash <> w.evidence_hash, false) AS stale, w.label IS NOT NULL AS known
+  FROM chosen c FULL JOIN was w ON c.project = w.project AND c.scanner = w.scanner AND c.target_id = w.target_id)
+SELECT project, scanner, target_id, label, evidence_hash, CASE WHEN stale THEN false ELSE coalesce(was_verified, false) END AS human_verified, CASE WHEN known AND NOT stale THEN 2 ELSE 1 END AS ground_truth_version,
+  CASE WHEN known AND NOT stale THEN 'seen' ELSE '' END AS note FROM m WHERE chosen OR was_verified""")
+def corpus_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Three hundred of the labelled documents, merged with an earlier review of those of good quality, whose evidence had no digits."""
+    base = _labelled(spark, d)
+    was = base.where("quality = 1").select("project", "scanner", "target_id", "label", F.sha2(F.regexp_replace("text", "[0-9]", ""), 256).alias("evidence_hash"), (F.length("text") % 2 == 0).alias("human_verified"), F.array(F.lit("a")).alias("reviewers"), F.lit(2).alias("ground_truth_version"), F.lit("seen").alias("note"))
+    now = base.select("project", "scanner", "target_id", "label", F.sha2("text", 256).alias("evidence_hash"))
+    return sampling.corpus_sample(now, was, 300)[0].drop("reviewers")
+
+
+@query("""WITH c AS (SELECT source AS scanner, doc_id AS target_id, CASE WHEN n_chars >= 4000 THEN 'high' WHEN n_chars >= 1000 THEN 'medium' ELSE 'low' END AS cohort, n_chars // 4 AS tokens FROM documents WHERE n_chars >= 400 AND source IS NOT NULL),
+l AS (SELECT source AS scanner, doc_id AS target_id, toxic = 1 AS is_true, CASE WHEN toxic = 1 THEN CASE WHEN quality = 1 THEN 'i' || (doc_id % 20) ELSE source || '/' || doc_id END END AS issue FROM labels JOIN documents USING (doc_id) WHERE source IS NOT NULL AND toxic IS NOT NULL),
+b AS (SELECT coalesce(c.scanner, l.scanner) AS scanner, cohort, issue, tokens, c.scanner IS NOT NULL AS found, l.scanner IS NOT NULL AS said, is_true FROM c FULL JOIN l USING (scanner, target_id)),
+e AS (SELECT 'all' AS level, NULL AS name, * FROM b UNION ALL SELECT 'scanner', scanner, * FROM b UNION ALL SELECT 'cohort', cohort, * FROM b WHERE cohort IS NOT NULL UNION ALL SELECT 'issue', issue, * FROM b WHERE issue IS NOT NULL)
+SELECT level, name, count(*) FILTER (WHERE found) AS candidates, count(*) FILTER (WHERE found AND said) AS labelled, count(*) FILTER (WHERE found AND said AND is_true) AS true_findings, count(*) FILTER (WHERE found AND said AND NOT is_true) AS false_positives,
+count(*) FILTER (WHERE said AND NOT found) AS unmatched, count(DISTINCT CASE WHEN found AND said AND is_true THEN issue END) AS unique_issues, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens,
+round(count(*) FILTER (WHERE found AND said AND is_true) / nullif(count(*) FILTER (WHERE found AND said), 0)::DOUBLE, 3) AS precision FROM e GROUP BY level, name""")
+def label_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of 400 characters or more are candidates; toxic ones are true, and those of good quality share an issue by number."""
+    docs = table(spark, d, "documents").where("source IS NOT NULL")
+    found = docs.where("n_chars >= 400").select(F.col("source").alias("scanner"), F.col("doc_id").alias("target_id"), F.expr("CASE WHEN n_chars >= 4000 THEN 'high' WHEN n_chars >= 1000 THEN 'medium' ELSE 'low' END").alias("cohort"), F.expr("n_chars div 4").alias("tokens"))
+    issue = F.when(F.col("quality") == 1, F.concat(F.lit("i"), (F.col("doc_id") % 20).cast("string")))
+    said = table(spark, d, "labels").where("toxic IS NOT NULL").join(docs.select("doc_id", "source"), "doc_id")
+    return scoring.label_levels(found, said.select(F.col("source").alias("scanner"), F.col("doc_id").alias("target_id"), (F.col("toxic") == 1).alias("is_true"), issue.alias("issue")))
+
+
+# -- lines ----------------------------------------------------------------------------------------
+
+_LINES = """l AS (SELECT doc_id, i AS line, x[i] AS code FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS x FROM
+  (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]') AS x FROM documents WHERE text IS NOT NULL))))"""
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), "text")
+
+
+@query(f"""WITH {_LINES}, a AS (SELECT doc_id, min(line) AS start_line FROM l WHERE contains(code, 'license') OR contains(code, 'token') GROUP BY doc_id)
+SELECT a.doc_id, a.start_line, md5(string_agg('L' || line || ': ' || code || chr(10), '' ORDER BY line)) AS code FROM a JOIN l ON l.doc_id = a.doc_id AND line BETWEEN start_line AND start_line + 29 GROUP BY a.doc_id, a.start_line""")
+def line_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Thirty lines of each document from the first on that has one of two words."""
+    texts = _texts(spark, d)
+    hit = lines.line_table(texts).where(F.contains("code", F.lit("license")) | F.contains("code", F.lit("token")))
+    found = hit.groupBy("path").agg(F.min("line").alias("line")).select(F.lit("hardcoded").alias("scanner"), F.col("path").alias("target_id"), F.to_json(F.struct("path", "line")).alias("detail"))
+    symbols = spark.createDataFrame([], "path string, qualname string, line int")
+    code = lines.snippets(lines.locations(stash(found, "found")), texts, symbols)
+    return code.select(F.col("path").cast("bigint").alias("doc_id"), F.col("start_line").cast("bigint").alias("start_line"), F.md5("code").alias("code"))
+
+
+@query(f"""WITH {_LINES}, e AS (SELECT doc_id + CASE WHEN toxic = 1 THEN 1000000000 ELSE 0 END AS doc_id, 1 + doc_id % 9 AS line, CASE WHEN quality = 1 THEN 'the' ELSE 'der' END AS symbol FROM labels),
+n AS (SELECT doc_id, max(line) AS n FROM l GROUP BY doc_id), m AS (SELECT e.doc_id, arg_min(l.line, (abs(l.line - e.line), l.line)) AS moved_to FROM e JOIN l ON l.doc_id = e.doc_id AND contains(l.code, e.symbol) GROUP BY e.doc_id),
+r AS (SELECT e.*, CASE WHEN d.doc_id IS NULL THEN 'file missing: ' || e.doc_id WHEN l.line IS NULL THEN 'line ' || e.line || ' gone' WHEN NOT contains(l.code, symbol) THEN 'line ' || e.line || ' no longer defines `' || symbol || '`' END AS reason
+  FROM e LEFT JOIN (SELECT doc_id FROM documents WHERE text IS NOT NULL) d USING (doc_id) LEFT JOIN l ON l.doc_id = e.doc_id AND l.line = e.line)
+SELECT r.doc_id, r.line, reason, moved_to FROM r LEFT JOIN m USING (doc_id) WHERE reason IS NOT NULL""")
+def stale_entries(spark: SparkSession, d: str) -> DataFrame:
+    """An entry for each label: a word that a line of its document should have; the documents of toxic ones are elsewhere."""
+    own = table(spark, d, "labels").select((F.col("doc_id") + F.when(F.col("toxic") == 1, 1_000_000_000).otherwise(0)).alias("n"), (1 + F.col("doc_id") % 9).alias("line"), F.when(F.col("quality") == 1, "the").otherwise("der").alias("symbol"))
+    entries = own.select(F.lit("contracts/word").alias("section"), F.concat_ws(":", F.col("n").cast("string"), F.col("line").cast("string"), "symbol").alias("key"), F.lit(None).cast("string").alias("path"))
+    found = lines.stale_places(lines.entry_places(entries), _texts(spark, d))
+    return found.select(F.col("path").cast("bigint").alias("doc_id"), F.col("line").cast("bigint").alias("line"), "reason", F.col("moved_to").cast("bigint").alias("moved_to"))

@@ -32,8 +32,8 @@ def test_audit_from_the_command_line(spark, tmp_path):
     assert [r.path for r in git.changed_files(spark, str(root), "HEAD").collect()] == ["experiments/env.py", "experiments/new.py"]
     assert {r.path: bytes(r.content).decode() for r in git.tree(spark, str(root), "HEAD").collect()} == own
     quiet = tmp_path / "quiet.json"
-    quiet.write_text(json.dumps({"deadcode": ["DEAD/experiments/r1.py"]}))
-    code = audit.main([str(root), "--json", str(tmp_path / "r.json"), "--markdown", str(tmp_path / "r.md"), "--suppress", str(quiet)])
+    quiet.write_text(json.dumps({"deadcode": ["DEAD/experiments/r1.py", {"path": "experiments/gone.py", "id": "DEAD/experiments/gone.py"}], "contracts": {"env": [{"key": "experiments/env.py:1:environ"}]}}))
+    code = audit.main([str(root), "--json", str(tmp_path / "r.json"), "--markdown", str(tmp_path / "r.md"), "--suppress", str(quiet), "--snippets", str(tmp_path / "code")])
     found = json.loads((tmp_path / "r.json").read_text())
     assert code == 0 and found["complete"]
     targets = {(c["scanner"], c["target_id"]) for c in found["candidates"]}
@@ -41,7 +41,13 @@ def test_audit_from_the_command_line(spark, tmp_path):
     assert any(s == "contracts" and t.startswith("env_written_not_read/") for s, t in targets)
     assert {"duplicates", "forks", "regions", "deadcode", "contracts"} <= set(found["scanners"])
     assert found["issues"]["corroborated"] >= 1  # the twins are duplicates as well
-    assert "## duplicates" in (tmp_path / "r.md").read_text()
+    told = (tmp_path / "r.md").read_text()
+    assert "## duplicates" in told and "status=DEAD py_refs=" in told and "now at line 2" in told
+    assert {c["cohort"] for c in found["candidates"] if c["scanner"] == "regions"} <= {"high", "medium", "low"} and {c["cohort"] for c in found["candidates"] if c["scanner"] == "deadcode"} == {"low"}
+    gone = {(g["scanner"], g["target_id"]): (g["reason"], g["moved_to"]) for g in found["stale_suppressions"] if g["reason"] != "no such finding"}
+    assert gone == {("deadcode", "experiments/gone.py"): ("file missing: experiments/gone.py", None), ("contracts/env", "experiments/env.py:1:environ"): ("line 1 no longer defines `environ`", 2)}
+    code = spark.read.json(str(tmp_path / "code")).where("scanner = 'duplicates' AND error IS NULL").collect()
+    assert code and all(c.code.startswith(f"L{c.start_line}: def ") for c in code)
 
 
 def test_settings(tmp_path):

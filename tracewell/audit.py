@@ -1,6 +1,6 @@
 """A whole audit of a project: every scanner, one table of candidates, issues, a JSON and a Markdown report.
 
-    python -m tracewell.audit ROOT [--package NAME] [--json FILE] [--markdown FILE] [--suppress FILE] [--all]
+    python -m tracewell.audit ROOT [--package NAME] [--json FILE] [--markdown FILE] [--suppress FILE] [--all] [--snippets FOLDER]
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import config
 from .functions.ids import with_evidence_hash
-from .operators import findings, review
+from .operators import findings, lines, review
 from .plans.tables import stash
 from .scanners import capabilities, contracts, deadcode, duplicates, hardcoded, prose, regions
 from .sources import files, git, locks, pyregions, pysource, tex
@@ -32,22 +32,28 @@ class Audit:
     issues: DataFrame
     failures: DataFrame
     locked: DataFrame
+    texts: DataFrame
+    symbols: DataFrame
 
 
-def run(spark: SparkSession, root: str, package: str = "", public_api: bool = False, settings: dict | None = None) -> Audit:
-    """Each file is read and parsed once for symbols, once for facts and once for regions; all scanners share these tables."""
+#: What of a scanner's row decides its cohort.
+GRADED = "max_sim double, twin_match boolean, kind string, priority string"
+
+
+def run(spark: SparkSession, root: str, package: str = "", public_api: bool = False, settings: dict | None = None, every: bool = False) -> Audit:
+    """Each file is read and parsed once for symbols, once for facts and once for regions; all scanners share these tables. Issues are made of candidates whose cohort isn't low, or of all with every."""
     settings = settings or {}
     source = stash(files.scan(spark, root), "files")
     symbols, facts = stash(pysource.symbols(source), "symbols"), stash(pysource.facts(source), "facts")
     areas, bodies = stash(pyregions.regions(source), "regions"), stash(pyregions.bodies(source), "bodies")
-    documents = files.texts(files.scan(spark, root, endings=files.DOCUMENTS))
+    documents, texts = files.texts(files.scan(spark, root, endings=files.DOCUMENTS)), stash(files.texts(source), "texts")
     repeated, helpers, twins = regions.shared(areas), regions.helpers(areas, bodies), regions.twins(bodies)
-    columns = ["id", "size", "file_count", "priority", "members"]
+    of_kind = lambda df, kind, twin: df.select("id", "size", "file_count", "priority", "members", F.lit(kind).alias("kind"), F.lit(twin).alias("twin_match"))
     tables = {
         "duplicates": duplicates.duplicates(symbols),
         "forks": duplicates.forks(symbols, facts),
-        "regions": repeated.select(*columns).unionByName(helpers.select(*columns)).unionByName(twins.select(*columns)),
-        "deadcode": deadcode.deadcode(facts, files.texts(source), documents, package, public_api),
+        "regions": of_kind(repeated, "shared_capability", False).unionByName(of_kind(helpers, "helper_not_reused", False)).unionByName(of_kind(twins, "shared_capability", True)),
+        "deadcode": deadcode.deadcode(facts, texts, documents, package, public_api),
         "capabilities": capabilities.overlaps(symbols),
         "env_written_not_read": contracts.env_written_not_read(facts),
         "generation_path_without_env": contracts.generation_path_without_env(facts),
@@ -59,17 +65,22 @@ def run(spark: SparkSession, root: str, package: str = "", public_api: bool = Fa
         "experiment_as_library": contracts.experiment_as_library(facts),
         "experiment_path_hacks": contracts.experiment_path_hacks(facts),
         "dynamic_module_runtime_coupling": contracts.dynamic_module_runtime_coupling(stash(pysource.couplings(source), "couplings")),
-        "hardcoded": hardcoded.hardcoded(files.texts(source), config.patterns(settings), config.pick(None, settings, "hardcoded", "all_patterns", False)),
+        "hardcoded": hardcoded.hardcoded(texts, config.patterns(settings), config.pick(None, settings, "hardcoded", "all_patterns", False)),
         "style": prose.findings(tex.documents(files.scan(spark, root, endings=(".tex",))), tuple(config.pick(None, settings, "style", "excluded", prose.EXCLUDED))),
     }
     tables = {k: stash(v, k) for k, v in tables.items()}
     named = ("duplicates", "regions", "forks", "deadcode", "capabilities", "hardcoded", "style")
     found = review.candidates(**{k: tables[k] for k in named}, contracts={k: v for k, v in tables.items() if k not in named})
-    found = stash(with_evidence_hash(found), "candidates")
+    found = with_evidence_hash(found).withColumn("g", F.from_json("detail", GRADED))
+    found = found.select("*", "g.max_sim", "g.twin_match", "g.kind", "g.priority").withColumn("cohort", F.expr(findings.COHORT))
+    found = stash(lines.evidence_lines(found.select(*review.CANDIDATE, "evidence_hash", "cohort")), "candidates")
     strip = lambda m: F.regexp_replace(F.regexp_replace(m, ":[0-9]+-[0-9]+$", ""), "#[0-9]+$", "")
     clusters = [tables[s].select(F.lit(s).alias("scanner"), F.col("id").alias("target_id"), F.transform("members", strip).alias("symbols")) for s in ("duplicates", "regions")]
+    clusters = clusters[0].unionByName(clusters[1])
+    if not every:
+        clusters = clusters.join(found.where("cohort <> 'low'").select("scanner", "target_id"), ["scanner", "target_id"], "left_semi")
     manifests = files.scan(spark, root, endings=(".json",))
-    return Audit(tables, found, findings.fuse(clusters[0].unionByName(clusters[1])), facts.where("kind = 'failure'").select("path", "value", "line"), locks.locked_files(manifests, source))
+    return Audit(tables, found, findings.fuse(clusters), facts.where("kind = 'failure'").select("path", "value", "line"), locks.locked_files(manifests, source), texts, symbols)
 
 
 def report(audit: Audit, root: str, package: str = "") -> dict:
@@ -84,26 +95,30 @@ def report(audit: Audit, root: str, package: str = "") -> dict:
         "issues": findings.issue_summary(audit.issues).first().asDict(),
         "parse_failures": [r.asDict() for r in audit.failures.orderBy("path").collect()],
         "complete": audit.failures.isEmpty(),
-        "candidates": [{"scanner": r.scanner, "target_id": r.target_id, "display": r.display, "risk": r.risk, "evidence_hash": r.evidence_hash, "detail": json.loads(r.detail)} for r in rows],
+        "candidates": [{"scanner": r.scanner, "target_id": r.target_id, "display": r.display, "risk": r.risk, "cohort": r.cohort, "evidence_hash": r.evidence_hash, "evidence": r.evidence, "detail": json.loads(r.detail)} for r in rows],
     }
 
 
 def markdown(document: dict, every: bool = False) -> str:
-    """A worksheet; candidates that are no risk are only counted, unless every one is asked for."""
-    lines = [f"# Audit of {document['package'] or 'the project'}", "", f"Commit {document['provenance']['head']} ({document['provenance']['status']})."]
+    """A worksheet; candidates that are no risk and of the low cohort are only counted, unless every one is asked for."""
+    out = [f"# Audit of {document['package'] or 'the project'}", "", f"Commit {document['provenance']['head']} ({document['provenance']['status']})."]
     if not document["complete"]:
-        lines += ["", "## Files that could not be parsed", "", *(f"- {f['path']}: {f['value']}" for f in document["parse_failures"])]
-    lines += ["", "| scanner | candidates | risks |", "|---|---:|---:|", *(f"| {s} | {c['candidates']} | {c['risks']} |" for s, c in sorted(document["scanners"].items()))]
+        out += ["", "## Files that could not be parsed", "", *(f"- {f['path']}: {f['value']}" for f in document["parse_failures"])]
+    out += ["", "| scanner | candidates | risks |", "|---|---:|---:|", *(f"| {s} | {c['candidates']} | {c['risks']} |" for s, c in sorted(document["scanners"].items()))]
     i = document["issues"]
-    lines += ["", f"{i['issues']} issues from {i['signals']} signals, {i['corroborated']} of them corroborated."]
+    out += ["", f"{i['issues']} issues from {i['signals']} signals, {i['corroborated']} of them corroborated."]
     for scanner in sorted(document["scanners"]):
         own = [c for c in document["candidates"] or () if c["scanner"] == scanner]
-        told = [c for c in own if every or c["risk"]]
+        told = [c for c in own if every or c["risk"] or c["cohort"] != "low"]
         if told:
-            lines += ["", f"## {scanner}", "", *(f"- [ ] {c['risk'] or 'low'}: {c['display']} (`{c['target_id']}`)" for c in told)]
+            said = [(f"- [ ] {c['risk'] or c['cohort']}: {c['display']} (`{c['target_id']}`)", *([f"  - {c['evidence']}"] if c["evidence"] else [])) for c in told]
+            out += ["", f"## {scanner}", "", *(x for pair in said for x in pair)]
         if len(told) < len(own):
-            lines += ["", f"{len(own) - len(told)} candidates of {scanner} that are no risk aren't shown."]
-    return "\n".join(lines) + "\n"
+            out += ["", f"{len(own) - len(told)} candidates of {scanner} that are no risk and of the low cohort aren't shown."]
+    if gone := document.get("stale_suppressions"):
+        where = lambda g: f", now at line {g['moved_to']}" if g.get("moved_to") else ""
+        out += ["", "## Suppressions that no longer fit", "", *(f"- {g['scanner']}: {g['target_id']} ({g['reason']}{where(g)})" for g in gone)]
+    return "\n".join(out) + "\n"
 
 
 def write_text(path: str, text: str) -> None:
@@ -129,6 +144,16 @@ def suppressed(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "scanner string, target_id string").distinct()
 
 
+def registered(spark: SparkSession, path: str) -> DataFrame:
+    """(section, key, path) of a JSON registry's entries, as lines.entry_places takes them; sections of contracts are contracts/channel."""
+    known = json.loads(Path(path).read_text()) if Path(path).is_file() else {}
+    rows = []
+    for section, own in known.items():
+        for name, entries in ((f"{section}/{c}", e) for c, e in own.items()) if isinstance(own, dict) else [(section, own)] if isinstance(own, list) else []:
+            rows += [(name, e.get("key"), e.get("path")) for e in entries if isinstance(e, dict)]
+    return spark.createDataFrame(rows, "section string, key string, path string")
+
+
 def stale(registry: DataFrame, found: DataFrame) -> DataFrame:
     """(scanner, target_id) of the registry that no finding has any more."""
     return registry.join(found.select("scanner", "target_id").distinct(), ["scanner", "target_id"], "left_anti")
@@ -152,6 +177,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--suppress")
     p.add_argument("--public-api", action="store_true")
     p.add_argument("--all", action="store_true")
+    p.add_argument("--snippets", help="a folder that gets the code around each candidate, as JSON lines")
     said = p.parse_args(args)
     from .session import session
 
@@ -162,13 +188,17 @@ def main(args: list[str] | None = None) -> int:
             p.error(f"{path} is in the project, which an audit doesn't change")
     settings = config.load(said.root)
     package, public = config.pick(said.package, settings, "audit", "package", ""), config.pick(said.public_api, settings, "audit", "public_api", False)
-    done = run(spark, said.root, package, public, settings)
+    done = run(spark, said.root, package, public, settings, said.all)
     registry, gone = config.pick(said.suppress, settings, "audit", "suppress", None), []
     if registry:
         known = stash(suppressed(spark, registry), "registry")
-        gone = [r.asDict() for r in stale(known, done.candidates).orderBy("scanner", "target_id").collect()]
+        gone = [r.asDict() | {"reason": "no such finding", "moved_to": None} for r in stale(known, done.candidates).orderBy("scanner", "target_id").collect()]
+        places = lines.stale_places(lines.entry_places(registered(spark, registry)), done.texts)
+        gone += [{"scanner": r.section, "target_id": r.key, "reason": r.reason, "moved_to": r.moved_to} for r in places.orderBy("section", "key").collect()]
         done.candidates = findings.suppress(done.candidates, known, ["scanner", "target_id"])[0]
     document = report(done, said.root, package) | {"stale_suppressions": gone}
+    if said.snippets:
+        lines.snippets(lines.locations(done.candidates), done.texts, done.symbols.select("path", "qualname", F.col("start_line").alias("line"))).write.mode("overwrite").json(said.snippets)
     if said.json == "-":
         print(json.dumps(document, indent=2, ensure_ascii=False))
         return 0 if document["complete"] else 2

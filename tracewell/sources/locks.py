@@ -2,45 +2,22 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HASH = re.compile("[0-9a-f]{64}")
-SOURCE = re.compile(r"[^\s:*?\"<>|]+\.[A-Za-z0-9]+")
-
+from ..functions.variants import leaves
 
-def _locked(node: object) -> Iterator[str]:
-    """Keys that look like a path to a file and have a hash as value, at any depth."""
-    if isinstance(node, dict):
-        for k, v in node.items():
-            if isinstance(v, str) and HASH.fullmatch(v) and SOURCE.fullmatch(k):
-                yield k.replace("\\", "/").removeprefix("./")
-            else:
-                yield from _locked(v)
-    elif isinstance(node, list):
-        for v in node:
-            yield from _locked(v)
+#: A hash, and a path to a file that has an ending.
+HASH = "^[0-9a-f]{64}$"
+SOURCE = r"^[^\s:*?\"<>|]+\.[A-Za-z0-9]+$"
 
 
 def locked_files(manifests: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, manifests array): files that exist and that a manifest locks. manifests: (path, content); files: (path)."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    rows += [(p, path) for p in _locked(json.loads(bytes(content)))]
-                except ValueError:
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "manifest"])
-
-    found = manifests.select("path", "content").mapInPandas(read, "path string, manifest string")
+    """(path, manifests array): files that exist and that a manifest locks, by a key that looks like a path to a file and has a hash as its value, at any depth.
+    manifests: (path, content); files: (path)."""
+    said = manifests.select(F.col("path").alias("manifest"), F.try_validate_utf8(F.col("content").cast("string")).alias("said"))
+    held = leaves(said, "said").where((F.col("kind") == "string") & F.col("value").rlike(HASH) & F.col("key").rlike(SOURCE) & ~F.try_element_at("path", F.lit(-1)).startswith("["))
+    found = held.select(F.regexp_replace(F.replace("key", F.lit("\\"), F.lit("/")), r"^\./", "").alias("path"), "manifest")
     return found.join(files.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_set("manifest")).alias("manifests"))
 
 

@@ -9,11 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import variants
 from ..functions.ids import short_hash
 from ..functions.sequences import seq_ratio
 from ..operators import findings, lines, references, retrieval, sampling, scoring, similarity, spans, style
 from ..operators.graph import components
 from ..scanners import deadcode
+from ..sources import records, trees
 from .tables import broadcast_if_small, stash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -787,3 +789,47 @@ def stale_entries(spark: SparkSession, d: str) -> DataFrame:
     entries = own.select(F.lit("contracts/word").alias("section"), F.concat_ws(":", F.col("n").cast("string"), F.col("line").cast("string"), "symbol").alias("key"), F.lit(None).cast("string").alias("path"))
     found = lines.stale_places(lines.entry_places(entries), _texts(spark, d))
     return found.select(F.col("path").cast("bigint").alias("doc_id"), F.col("line").cast("bigint").alias("line"), "reason", F.col("moved_to").cast("bigint").alias("moved_to"))
+
+
+# -- replies and trees ------------------------------------------------------------------------------
+
+
+@query(r"""WITH c AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'true_finding' WHEN toxic = 1 THEN 'maybe' ELSE 'false_positive' END AS disposition, doc_id % 11 / 10.0 AS confidence, lang || ' "{' || source || '} \' AS reason, toxic FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL AND source IS NOT NULL)
+SELECT doc_id, CASE WHEN toxic = 1 AND doc_id % 3 = 0 THEN NULL ELSE disposition END AS disposition, CASE WHEN toxic = 1 AND doc_id % 3 = 0 THEN NULL ELSE confidence::DOUBLE END AS confidence, CASE WHEN toxic = 1 AND doc_id % 3 = 0 THEN NULL ELSE reason END AS reason,
+  CASE WHEN toxic = 1 AND doc_id % 3 = 0 THEN 'no object' WHEN disposition = 'maybe' THEN 'disposition' WHEN confidence > 1 THEN 'confidence' WHEN reason IS NULL THEN 'reason' WHEN disposition = 'true_finding' THEN 'a finding needs an action' END AS invalid_reason FROM c""")
+def reply_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Each labelled document with a verdict in the middle of its text, which has quotes before it and braces after; a third of the toxic ones aren't closed."""
+    own = table(spark, d, "labels").join(table(spark, d, "documents").where("text IS NOT NULL AND source IS NOT NULL").select("doc_id", "text", "lang", "source"), "doc_id")
+    disposition = F.when(F.col("quality") == 1, "true_finding").when(F.col("toxic") == 1, "maybe").otherwise("false_positive")
+    verdict = F.to_json(F.struct(disposition.alias("disposition"), (F.col("doc_id") % 11 / 10).alias("confidence"), F.concat("lang", F.lit(' "{'), "source", F.lit("} \\")).alias("reason")))
+    plain = F.translate("text", "{}", "()")
+    cut = F.when((F.col("toxic") == 1) & (F.col("doc_id") % 3 == 0), F.regexp_replace(verdict, "}$", "")).otherwise(verdict)
+    said = own.withColumn("text", F.concat(plain, F.lit(' so "it is:\n```json\n'), cut, F.lit("\n``` "), F.when(F.col("toxic") == 0, "and {more}, } too ").otherwise(""), plain))
+    return records.replies(said.select("doc_id", "text")).select("doc_id", "disposition", "confidence", "reason", "invalid_reason")
+
+
+@query("""WITH f AS (SELECT source || '/' || lang || '/' || doc_id AS path, source AS a, source || '/' || lang AS b, CAST(doc_id AS VARCHAR) AS name, sha256(text) AS digest, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL),
+l AS (SELECT b AS path, a, substr(b, length(a) + 2) AS name, sha256(array_to_string(list(line ORDER BY encode(line)), chr(10))) AS digest, count(*) AS files, sum(size) AS size FROM (SELECT *, name || chr(0) || 'false' || chr(0) || digest AS line FROM f) GROUP BY b, a),
+k AS (SELECT a AS path, sha256(array_to_string(list(line ORDER BY encode(line)), chr(10))) AS digest, sum(files) AS files, sum(size) AS size FROM (SELECT *, name || chr(0) || 'true' || chr(0) || digest AS line FROM l) GROUP BY a),
+r AS (SELECT '' AS path, sha256(array_to_string(list(line ORDER BY encode(line)), chr(10))) AS digest, sum(files) AS files, sum(size) AS size FROM (SELECT *, path || chr(0) || 'true' || chr(0) || digest AS line FROM k))
+SELECT path, CAST(files AS BIGINT) AS files, CAST(size AS BIGINT) AS size, digest FROM (SELECT path, files, size, digest FROM l UNION ALL SELECT * FROM (SELECT path, files, size, digest FROM k) UNION ALL SELECT path, files, size, digest FROM r)""")
+def tree_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Documents are files of folders of their source and language."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL")
+    files = docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.encode("text", "utf-8").alias("content"))
+    return trees.tree(stash(trees.file_digests(files), "digests")).where("folder").select("path", "files", "size", "digest")
+
+
+# -- JSON of any depth -------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT event_type, user_id, value, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k FROM events WHERE props IS NOT NULL),
+l AS (SELECT event_type, 'props.k' AS pointer, 'number' AS kind, CAST(k AS VARCHAR) AS v FROM e UNION ALL SELECT event_type, 'seen[][].user', 'number', CAST(user_id AS VARCHAR) FROM e WHERE user_id IS NOT NULL
+  UNION ALL SELECT event_type, 'seen[][].user', 'null', NULL FROM e WHERE user_id IS NULL UNION ALL SELECT event_type, 'seen[][].tags', 'empty', NULL FROM e UNION ALL SELECT event_type, 'seen[][]', 'string', event_type FROM e)
+SELECT event_type, pointer, kind, count(*) AS n, count(DISTINCT v) AS "distinct" FROM l GROUP BY ALL""")
+def json_path_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events' properties, put three levels deep beside what else the event says."""
+    events = table(spark, d, "events").where("props IS NOT NULL")
+    user = F.coalesce(F.col("user_id").cast("string"), F.lit("null"))
+    said = F.concat(F.lit('{"props": '), "props", F.lit(', "seen": [[{"user": '), user, F.lit(', "tags": []}, "'), "event_type", F.lit('"]]}'))
+    return variants.counts_by_path(variants.leaves(events.select("event_type", said.alias("said")), "said").drop("said"), ["event_type"])

@@ -75,7 +75,7 @@ def test_bounded_search_is_the_whole_search(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "GROWTH", 3)
     made, real = [], retrieval.scored
     monkeypatch.setattr(retrieval, "scored", lambda p, *a: (made.append(p.count()), real(p, *a))[1])
-    table = retrieval.idf(sets, len(own)).cache()
+    table = retrieval.vocabulary(retrieval.idf(sets, len(own)))
     tokens, index = retrieval.asked(queries, table), retrieval.records(sets, table)
     for name, measure in (("jaccard", retrieval.JACCARD), ("coverage", retrieval.COVERAGE)):
         every = {q: sorted(((-round(score[name](s, x), 6), i) for i, x in own.items() if s & x and i != q)) for q, s in asked.items()}

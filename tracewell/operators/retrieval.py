@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.tables import stash
+from ..plans.tables import broadcast_if_small, parallelism, stash
 
 #: Postings that the first round of a search takes for each result that is asked for, and how many times more each next round does.
-FIRST, GROWTH = 8, 4
-#: Rows of queries that are sent to every task at most.
+FIRST, GROWTH = 16, 8
+#: Rows of queries, or of tokens' weights, that are sent to every task at most.
 BROADCAST_QUERIES = 200_000
 
 
@@ -28,10 +28,15 @@ def idf(sets: DataFrame, n: int) -> DataFrame:
     return counted.withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
-def records(sets: DataFrame, weights: DataFrame) -> DataFrame:
-    """(key, tokens, wx), a written table: each record's distinct tokens and their weight, for searches. sets: (key, token)."""
-    weighed = sets.join(weights.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
-    return stash(weighed.groupBy("key").agg(F.collect_set("token").alias("tokens"), F.sum("idf").alias("wx")), "records")
+def vocabulary(weights: DataFrame) -> DataFrame:
+    """weights (token, df, idf) with an id for each token, a written table: searches compare these. What asked and records are given has to be one vocabulary."""
+    return stash(weights.select("token", "df", "idf").withColumn("id", F.monotonically_increasing_id()), "vocabulary")
+
+
+def records(sets: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, tokens, wx), a written table: the ids of each record's distinct tokens and their weight, for searches. sets: (key, token), words: as vocabulary gives them, with every token of sets."""
+    weighed = sets.join(broadcast_if_small(words.select("token", "idf", "id"), BROADCAST_QUERIES), "token")
+    return stash(weighed.groupBy("key").agg(F.collect_list("id").alias("tokens"), F.sum("idf").alias("wx")), "records")
 
 
 class Measure(NamedTuple):
@@ -45,15 +50,15 @@ JACCARD, COVERAGE = Measure("{w} / ({wq} + {wx} - {w})"), Measure("{w} / {wq}")
 NEAR = 1e-6
 
 
-def asked(queries: DataFrame, weights: DataFrame) -> DataFrame:
-    """(query, token, idf, reach, rest, wq), a written table: a query's tokens, rarest first. reach: how many postings this token and those before it have; rest: what this one and those after it
-    weigh; wq: the whole query's weight. A token that has no weight weighs 1, and is left out, as no record has it. queries: (key, token); weights: (token, df, idf)."""
-    own = queries.select(F.col("key").alias("query"), "token").join(weights.select("token", "df", "idf"), "token", "left")
+def asked(queries: DataFrame, words: DataFrame) -> DataFrame:
+    """(query, token, idf, reach, rest, wq), a written table: a query's tokens by id, rarest first. reach: how many postings this token and those before it have; rest: what this one and those after it
+    weigh; wq: the whole query's weight. A token that isn't in words (a vocabulary) weighs 1, and is left out, as no record has it. queries: (key, token), distinct."""
+    own = queries.select(F.col("key").alias("query"), "token").join(words, "token", "left")
     order = W.partitionBy("query").orderBy(F.coalesce("df", F.lit(0)), "token")
     all_of = W.partitionBy("query")
     own = own.withColumn("wq", F.sum(F.coalesce("idf", F.lit(1.0))).over(all_of)).withColumn("known", F.sum(F.when(F.col("df").isNotNull(), F.col("idf"))).over(all_of))
-    own = own.where("df IS NOT NULL").withColumn("reach", F.sum("df").over(order)).withColumn("rest", F.col("known") - F.sum("idf").over(order) + F.col("idf"))
-    return stash(own.select("query", "token", "idf", "reach", "rest", "wq"), "asked")
+    own = own.withColumn("reach", F.sum("df").over(order)).withColumn("rest", F.col("known") - F.sum("idf").over(order) + F.col("idf")).where("df IS NOT NULL")
+    return stash(own.select("query", F.col("id").alias("token"), "idf", "reach", "rest", "wq"), "asked")
 
 
 def _small(tokens: DataFrame) -> tuple[int, bool]:
@@ -64,22 +69,29 @@ def _small(tokens: DataFrame) -> tuple[int, bool]:
 
 def scored(pairs: DataFrame, tokens: DataFrame, index: DataFrame, measure: Measure, small: bool = False) -> DataFrame:
     """(query, key, score) of the pairs (query, key), computed from whole records; to six decimals. small: whether the queries are sent to every task."""
-    weight = tokens.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("m"), F.first("wq").alias("wq"))
-    both = pairs.join(F.broadcast(weight) if small else weight, "query").join(index, "key")
-    shared = "aggregate(array_sort(array_intersect(tokens, map_keys(m))), 0.0D, (s, t) -> s + m[t])"
+    pairs_of = F.sort_array(F.collect_list(F.struct("token", "idf")))
+    weight = tokens.groupBy("query").agg(pairs_of.alias("q"), F.first("wq").alias("wq")).select("query", "wq", F.col("q.token").alias("ids"), F.col("q.idf").alias("idfs"))
+    # Few rows of much work: dealt out by number, or they would come together in a task or two.
+    dealt = pairs.repartition(parallelism(pairs), "key")
+    both = dealt.join(F.broadcast(weight) if small else weight, "query").join(index, "key")
+    shared = "aggregate(array_sort(array_intersect(tokens, ids)), 0.0D, (s, t) -> s + element_at(idfs, CAST(array_position(ids, t) AS INT)))"
     both = both.withColumn("w", F.expr(shared))
     return both.select("query", "key", F.round(F.expr(measure.score.format(w="w", wq="wq", wx="wx")), 6).alias("score"))
 
 
 def _candidates(tokens: DataFrame, index: DataFrame, floors: DataFrame | None, measure: Measure, other: bool, small: bool) -> DataFrame:
-    """(query, key): records that share one of the tokens and, sharing all that are left of the query from it on, could reach the query's floor. floors: (query, floor); a query without one has none."""
+    """(query, key): records that share some of the tokens and could reach the query's floor. floors: (query, floor); a query without one has none.
+
+    A record comes in by a token only if sharing all that are left of the query from it on would do. The tokens that a pair was joined by are its first ones; so what they weigh, with all that is left after
+    the last of them, bounds what it shares, and that has to do as well."""
     sent = F.broadcast if small else lambda x: x
     asks = tokens.withColumn("floor", F.lit(0.0)) if floors is None else tokens.join(sent(floors), "query", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-    asks = asks.where(f"rest / wq >= floor - {NEAR}").select("query", "token", "rest", "wq", "floor")
+    asks = asks.where(f"rest / wq >= floor - {NEAR}").select("query", "token", "idf", "rest", "wq", "floor")
     postings = index.select("key", "wx", F.explode("tokens").alias("token"))
-    best = measure.score.format(w="least(rest, wx)", wq="wq", wx="wx")
-    met = postings.join(sent(asks), "token").where(f"{best} >= floor - {NEAR}")
-    return (met.where("query <> key") if other else met).select("query", "key").distinct()
+    could = lambda w: measure.score.format(w=f"least({w}, wx)", wq="wq", wx="wx")
+    met = postings.join(sent(asks), "token").where(f"{could('rest')} >= floor - {NEAR}")
+    met = (met.where("query <> key") if other else met).groupBy("query", "key").agg(F.sum("idf").alias("w"), F.min(F.expr("rest - idf")).alias("left"), *[F.first(c).alias(c) for c in ("wq", "floor", "wx")])
+    return met.where(f"{could('w + left')} >= floor - {NEAR}").select("query", "key")
 
 
 def top(tokens: DataFrame, index: DataFrame, measure: Measure, k: int, other: bool = False) -> DataFrame:
@@ -119,12 +131,14 @@ def at_least(tokens: DataFrame, index: DataFrame, measure: Measure, floors: Data
 
 def weighted_jaccard(queries: DataFrame, index: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, key, score): shared weight over the weight of either. queries and index: (key, token)."""
-    return top(asked(queries, weights), records(index, weights), JACCARD, k)
+    words = vocabulary(weights)
+    return top(asked(queries, words), records(index, words), JACCARD, k)
 
 
 def coverage(queries: DataFrame, index: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, key, score): the share of the query's weight that a record has."""
-    return top(asked(queries, weights), records(index, weights), COVERAGE, k)
+    words = vocabulary(weights)
+    return top(asked(queries, words), records(index, words), COVERAGE, k)
 
 
 def strongest(channels: dict[str, tuple[DataFrame, DataFrame, Measure, float]], k: int, other: bool = False) -> DataFrame:

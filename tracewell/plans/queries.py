@@ -13,10 +13,10 @@ from ..functions import variants
 from ..functions.ids import short_hash
 from ..functions.sequences import seq_ratio
 from ..operators import findings, lines, references, retrieval, sampling, scoring, similarity, spans, style
-from ..operators.graph import components
+from ..operators.graph import FEW, components
 from ..scanners import deadcode
 from ..sources import records, trees
-from .tables import broadcast_if_small, stash, table
+from .tables import broadcast_if_small, spread, stash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,12 +41,12 @@ SELECT substr(sha256(first_key), 1, 12) AS cluster_id, size, file_count, first_k
   FROM documents GROUP BY sha256(lower(text)) HAVING count(*) > 1)
 """)
 def dup_exact_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.exact_clusters(table(spark, d, "documents"), F.lower("text"), F.concat_ws(":", "source", "doc_id"), "source")
+    return similarity.exact_clusters(spread(table(spark, d, "documents")), F.lower("text"), F.concat_ws(":", "source", "doc_id"), "source")
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """A representative of each distinct token sequence of 20 tokens or more: key, tokens, lang, source, n_lines."""
-    docs = table(spark, d, "documents").withColumn("tokens", T.plain_tokens("text")).where("size(tokens) >= 20")
+    docs = spread(table(spark, d, "documents")).withColumn("tokens", T.plain_tokens("text")).where("size(tokens) >= 20")
     first = docs.groupBy(F.sha2(F.array_join("tokens", " "), 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return docs.join(stash(first, "first"), "doc_id", "left_semi").select(F.col("doc_id").alias("key"), "tokens", "lang", "source", (F.regexp_count("text", F.lit("\n")) + 1).alias("n_lines"))
 
@@ -84,7 +84,7 @@ comp AS (SELECT node, min(seen) AS root FROM walk GROUP BY node)
 
 @query(f"WITH RECURSIVE {_QUICK} {_COMPONENTS} SELECT node, root FROM comp")
 def dup_components(spark: SparkSession, d: str) -> DataFrame:
-    return components(_quick(spark, d).select("a", "b"))
+    return components(_quick(spark, d).select("a", "b"), few=FEW)
 
 
 @query(f"""WITH RECURSIVE {_QUICK} {_COMPONENTS},
@@ -98,7 +98,7 @@ SELECT root, size, file_count, max_lines, max_sim, CASE WHEN (lib_shared AND max
 def dup_priority_ladder(spark: SparkSession, d: str) -> DataFrame:
     records = stash(_records(spark, d), "all")
     pairs = stash(similarity.quick_pairs(records, 0.9, same="lang"), "pairs")
-    roots = stash(components(pairs.select("a", "b")), "roots")
+    roots = stash(components(pairs.select("a", "b"), few=FEW), "roots")
     members = roots.join(records.select(F.col("key").alias("node"), F.col("source").alias("grp"), "n_lines", (F.col("source") == "src0").alias("lib")), "node")
     edges = pairs.join(roots, pairs["a"] == roots["node"]).select("root", "similarity")
     return similarity.cluster_ladder(members, edges)
@@ -106,7 +106,7 @@ def dup_priority_ladder(spark: SparkSession, d: str) -> DataFrame:
 
 def _copies(spark: SparkSession, d: str) -> DataFrame:
     """Every document of 20 tokens or more: key, lang, source, n_lines, class (the smallest key of its token sequence), rep (of those in its lang)."""
-    docs = table(spark, d, "documents").withColumn("tokens", T.plain_tokens("text")).where("size(tokens) >= 20")
+    docs = spread(table(spark, d, "documents")).withColumn("tokens", T.plain_tokens("text")).where("size(tokens) >= 20")
     copies = stash(docs.select(F.col("doc_id").alias("key"), "lang", "source", (F.regexp_count("text", F.lit("\n")) + 1).alias("n_lines"), F.sha2(F.array_join("tokens", " "), 256).alias("h")), "copies")
     reps = stash(copies.groupBy("h", "lang").agg(F.min("key").alias("rep")), "reps")
     classes = stash(reps.groupBy("h").agg(F.min("rep").alias("class")), "classes")
@@ -116,7 +116,7 @@ def _copies(spark: SparkSession, d: str) -> DataFrame:
 
 def _ratio_pairs(spark: SparkSession, d: str, copies: DataFrame) -> DataFrame:
     """(a, b, ratio) of the representatives in each lang whose matching-block ratio is 0.82 or more; the smaller key goes first."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "lang", T.plain_tokens("text").alias("tokens"))
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("key"), "lang", T.plain_tokens("text").alias("tokens"))
     records = stash(docs.join(copies.where("key = rep").select("key"), "key", "left_semi"), "all")
     # The quick ratio is an upper bound of the ratio.
     pairs = similarity.quick_pairs(records, 0.82, same="lang").select("a", "b")
@@ -216,7 +216,7 @@ GROUP BY item_id, doc_id, n HAVING count(*) >= 0.6 * n
 def helper_coverage(spark: SparkSession, d: str) -> DataFrame:
     # Written first: else the tokenizer would be inlined into the function of every position.
     grams = lambda df, key: stash(df.select(key, T.plain_tokens("text").alias("tokens")), key).where("size(tokens) >= 5").select(key, F.expr(_GRAMS).alias("grams"))
-    return references.covered_by(grams(table(spark, d, "benchmark"), "item_id"), grams(table(spark, d, "documents"), "doc_id"), "item_id", "doc_id", "grams", 0.6)
+    return references.covered_by(grams(table(spark, d, "benchmark"), "item_id"), grams(spread(table(spark, d, "documents")), "doc_id"), "item_id", "doc_id", "grams", 0.6)
 
 
 # -- spans -----------------------------------------------------------------------
@@ -337,7 +337,7 @@ SELECT n.name, count(w.name) AS n FROM n LEFT JOIN w ON n.name = w.name GROUP BY
 """)
 def usage_counts(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "benchmark").select(F.explode(T.plain_tokens("text")).alias("name"))
-    return references.usage_counts(table(spark, d, "documents"), T.plain_tokens("text"), names)
+    return references.usage_counts(spread(table(spark, d, "documents")), T.plain_tokens("text"), names)
 
 
 #: Patterns that Java and RE2 read alike.
@@ -351,7 +351,7 @@ HARDCODED = {"email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "access_key": "AKIA[A-
     + ")"
 )
 def hardcoded_regex_hits(spark: SparkSession, d: str) -> DataFrame:
-    hits = style.pattern_hits(table(spark, d, "documents"), "doc_id", "text", HARDCODED)
+    hits = style.pattern_hits(spread(table(spark, d, "documents")), "doc_id", "text", HARDCODED)
     return hits.withColumn("id", short_hash("pattern", F.col("key").cast("string"), F.col("line").cast("string"), "hit"))
 
 
@@ -365,7 +365,7 @@ w AS (SELECT *, len(regexp_extract_all(sentence, '[A-Za-z][A-Za-z''\\-]*[A-Za-z]
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    return style.sentence_table(table(spark, d, "documents"), "doc_id", "text")
+    return style.sentence_table(spread(table(spark, d, "documents")), "doc_id", "text")
 
 
 @query(f"""WITH {_SENTENCES}
@@ -402,7 +402,7 @@ def style_openers(spark: SparkSession, d: str) -> DataFrame:
 s0 AS (SELECT doc_id AS key, list_filter(string_split(regexp_replace(trim(text), '([.!?])\\s+([A-Z"''(])', '\\1' || chr(30) || '\\2', 'g'), chr(30)), lambda x: trim(x) <> '') AS s FROM d),
 sent AS (SELECT key, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS i FROM s0) SELECT key, CAST(i AS INTEGER) AS i FROM sent WHERE regexp_matches(sentence, '(?i)^note that($|[^A-Za-z0-9_])')""")
 def style_note_that(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").withColumn("text", F.replace("text", F.lit("The that"), F.lit("Note that")))
+    docs = spread(table(spark, d, "documents")).withColumn("text", F.replace("text", F.lit("The that"), F.lit("Note that")))
     return style.note_that(style.sentence_table(docs, "doc_id", "text"))
 
 
@@ -410,7 +410,7 @@ def style_note_that(spark: SparkSession, d: str) -> DataFrame:
     " UNION ALL ".join(f"SELECT doc_id AS key, '{w}' AS word, CAST(len(regexp_extract_all(text, '(?i)\\b{w}\\b')) AS INTEGER) AS n FROM documents WHERE regexp_matches(text, '(?i)\\b{w}\\b')" for w in ("this", "from", "moreover", "delve"))
 )
 def style_excess_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return style.excess_vocabulary(table(spark, d, "documents"), "doc_id", "text", ("this", "from", "moreover", "delve"))
+    return style.excess_vocabulary(spread(table(spark, d, "documents")), "doc_id", "text", ("this", "from", "moreover", "delve"))
 
 
 @query("""
@@ -418,7 +418,7 @@ WITH r AS (SELECT doc_id AS key, len(text) - len(replace(text, '!', '')) AS n_da
 SELECT key, CAST(n_dashes AS INTEGER) AS n_dashes, CAST(n_words AS INTEGER) AS n_words, round(n_dashes * 100.0 / n_words, 4) AS per_100 FROM r WHERE n_words > 0 AND n_dashes * 100.0 / n_words >= 0.5""")
 def style_em_dash_rate(spark: SparkSession, d: str) -> DataFrame:
     """The documents have no dashes: their exclamation marks stand in."""
-    docs = table(spark, d, "documents").withColumn("text", F.replace("text", F.lit("!"), F.lit("—")))
+    docs = spread(table(spark, d, "documents")).withColumn("text", F.replace("text", F.lit("!"), F.lit("—")))
     return style.em_dash_rate(docs, "doc_id", "text")
 
 
@@ -433,8 +433,9 @@ _RANK = "SELECT query, CAST(rank AS INTEGER) AS rank, key, score FROM (SELECT *,
 
 
 def _sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = table(spark, d, "documents")
-    index = stash(retrieval.token_sets(docs, "doc_id", T.plain_tokens("text")), "index")
+    docs = spread(table(spark, d, "documents"))
+    held = stash(docs.select("doc_id", F.array_distinct(T.plain_tokens("text")).alias("tokens")), "tokens")
+    index = held.select(F.col("doc_id").alias("key"), F.explode("tokens").alias("token"))
     queries = stash(retrieval.token_sets(table(spark, d, "benchmark"), "item_id", T.plain_tokens("text")), "queries")
     return broadcast_if_small(queries, 200_000), index, stash(retrieval.idf(index, docs.count()), "idf")
 
@@ -472,8 +473,8 @@ SELECT query, CAST(rank AS INTEGER) AS rank, key, score, string, lexical FROM (S
 def retrieve_two_channels(spark: SparkSession, d: str) -> DataFrame:
     """The stronger of two channels: the share of an item's weight that a document has, and the even Jaccard similarity."""
     queries, index, weights = _sets(spark, d)
-    even = stash(weights.withColumn("idf", F.lit(1.0)), "even")
-    string = (retrieval.asked(queries, weights), retrieval.records(index, weights), retrieval.COVERAGE, 0.6)
+    words, even = retrieval.vocabulary(weights), retrieval.vocabulary(weights.withColumn("idf", F.lit(1.0)))
+    string = (retrieval.asked(queries, words), retrieval.records(index, words), retrieval.COVERAGE, 0.6)
     lexical = (retrieval.asked(queries, even), retrieval.records(index, even), retrieval.JACCARD, 0.8)
     return retrieval.strongest({"string": string, "lexical": lexical}, 10)
 

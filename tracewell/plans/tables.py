@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parallelism(df: DataFrame) -> int:
+    """Tasks for work that is heavy for each row: as many as a shuffle has, or as there are cores."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan, dealt out evenly if its files come to fewer tasks than there are cores, as one file without parts to split does; else as it is. For what takes long for each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees. Where the session names none a temporary one is made, if the master is local; on a cluster
     each machine would write to its own, so it has to be named."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import cluster_id
 from ..functions.sequences import seq_divergence, seq_ratio
-from ..operators.graph import components
+from ..operators.graph import FEW, components
 from ..operators.similarity import DUPLICATE_LADDER, banded_pairs
 from ..plans.tables import stash
 
@@ -44,7 +44,7 @@ def duplicates(symbols: DataFrame, threshold: float = 0.82, min_chars: int = 120
     pairs = banded_pairs(shaped, ["arg_count", "top_signature"], "band", 2).unionAll(_same_name(records, "true"))
     near = _scored(pairs, records, threshold).where("NOT same").select("a", "b", "similarity")
     edges = stash(exact.unionAll(near), "edges")
-    roots = stash(components(edges.select("a", "b")), "roots")
+    roots = stash(components(edges.select("a", "b"), few=FEW), "roots")
     lib = F.col("path").startswith("lib/")
     members = roots.join(records, roots["node"] == records["key"]).groupBy("root").agg(
         cluster_id(F.collect_list("label")).alias("id"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import cluster_id, short_hash
 from ..functions.sequences import seq_coverage, seq_ratio
-from ..operators.graph import components
+from ..operators.graph import FEW, components
 from ..operators.similarity import banded_pairs
 from ..plans.tables import stash
 
@@ -45,7 +45,7 @@ def shared(regions: DataFrame, threshold: float = 0.82) -> DataFrame:
     met = l.join(r, F.expr("l.short_signature = r.short_signature AND l.key < r.key AND abs(size(l.tokens) - size(r.tokens)) <= greatest(size(l.tokens), size(r.tokens)) div 2"))
     short = met.select(F.col("l.key").alias("a"), F.col("r.key").alias("b"), seq_coverage(F.col("l.tokens"), F.col("r.tokens"), F.expr("least(size(l.tokens), size(r.tokens))")).alias("similarity")).where("similarity >= 0.5D")
     edges = stash(exact.unionAll(near).unionAll(short).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "edges")
-    roots = stash(components(edges.select("a", "b")), "roots")
+    roots = stash(components(edges.select("a", "b"), few=FEW), "roots")
     members = roots.join(records, roots["node"] == records["key"])
     found = members.groupBy("root").agg(
         cluster_id(F.collect_list("label")).alias("id"), F.count("*").alias("size"), F.count_distinct("path").alias("file_count"), F.max("n_lines").alias("max_lines"), F.max("risk").alias("max_risk"),
@@ -97,7 +97,7 @@ def twins(bodies: DataFrame, threshold: float = 0.85) -> DataFrame:
     pairs = pairs.where(f"{bound} >= {threshold}D * greatest(size(a_tokens), size(b_tokens))")
     edges = pairs.select("a", "b", seq_coverage("a_tokens", "b_tokens", F.expr("greatest(size(a_tokens), size(b_tokens))")).alias("similarity")).where(F.col("similarity") >= threshold)
     edges = stash(edges, "twins")
-    roots = stash(components(edges.select("a", "b")), "twin-roots")
+    roots = stash(components(edges.select("a", "b"), few=FEW), "twin-roots")
     label = F.concat_ws(":", "path", "qualname")
     found = roots.join(own, roots["node"] == own["key"]).groupBy("root").agg(cluster_id(F.collect_list(label)).alias("id"), F.count("*").alias("size"), F.count_distinct("path").alias("file_count"), F.array_sort(F.collect_list(label)).alias("members"))
     scores = edges.join(roots, edges["a"] == roots["node"]).groupBy("root").agg(F.round(F.max("similarity"), 4).alias("max_sim"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.sequences import seq_ratio
 from ..operators import retrieval
-from ..operators.retrieval import COVERAGE, JACCARD, Measure, asked, idf, records
+from ..operators.retrieval import COVERAGE, JACCARD, Measure, asked, idf, records, vocabulary
 from ..plans.tables import stash
 from .capabilities import tag_tokens
 
@@ -47,8 +47,8 @@ def _channel(queries: DataFrame, own: DataFrame, column: str, n: int | None, mea
     """What retrieval.strongest takes, for an array of tokens: weighted by rarity among n records, or evenly for None."""
     sets = stash(_ends(own, column), column)
     weights = idf(sets, n or 1)
-    weights = stash(weights if n else weights.withColumn("idf", F.lit(1.0)), f"{column}-weights")
-    return asked(_ends(queries, column), weights), records(sets, weights), measure
+    words = vocabulary(weights if n else weights.withColumn("idf", F.lit(1.0)))
+    return asked(_ends(queries, column), words), records(sets, words), measure
 
 
 def _ratios(pairs: DataFrame, queries: DataFrame, own: DataFrame) -> DataFrame:
@@ -120,8 +120,8 @@ def for_descriptions(descriptions: DataFrame, own: DataFrame, k: int = K, least:
     n, channels = own.count(), {}
     for name, tokens, weight in (("name", T.name_tokens("name"), 1.0), ("lexical", F.col("tag"), LEXICAL), ("string", literal_words("literals"), STRING)):
         sets = stash(own.select("key", F.explode(F.array_distinct(tokens)).alias("token")), name)
-        weights = stash(idf(sets, n), f"{name}-idf")
-        channels[name] = (asked(said, weights), records(sets, weights), COVERAGE, weight)
+        words = vocabulary(idf(sets, n))
+        channels[name] = (asked(said, words), records(sets, words), COVERAGE, weight)
     best = retrieval.strongest(channels, k).where(F.col("score") >= least)
     return best.select("query", "rank", "key", F.round("score", 4).alias("score"), *[F.round(c, 4).alias(c) for c in channels])
 

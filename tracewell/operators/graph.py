@@ -17,6 +17,13 @@ FEW = 200_000
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, root) of the links (u, v) of one task."""
     root: dict = {}
+    said: dict = {}  # a node by what stands for it
+
+    def known(x):
+        """What stands for a node: a struct's values, which can be compared, null first."""
+        k = tuple((v is not None, v) if v is not None else (False,) for v in x.values()) if isinstance(x, dict) else x
+        said[k] = x
+        return k
 
     def find(x):
         while (up := root.setdefault(x, x)) != x:
@@ -28,11 +35,11 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kind = b.schema.field(0).type
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            low, high = sorted((find(u), find(v)))
+            low, high = sorted((find(known(u)), find(known(v))))
             root[high] = low
     if root:
         nodes = list(root)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(map(find, nodes), kind)], names=["node", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array([said[x] for x in nodes], kind), pa.array([said[find(x)] for x in nodes], kind)], names=["node", "root"])
 
 
 def components(edges: DataFrame, max_rounds: int = 60, few: int = 0) -> DataFrame:

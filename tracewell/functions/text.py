@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values.
-CODE_TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|==|!=|<=|>=|:=|->|\*\*|//|<<|>>|[^\s]"
 WORD = r"[A-Za-z][A-Za-z'\-]*[A-Za-z]|[A-Za-z]"
 DESCRIBE_TOKEN = r"[a-z0-9_./-]{2,}"
 BREAK = "\x1e"
@@ -16,10 +15,6 @@ def _all(text: Column | str, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def code_tokens(text: Column | str) -> Column:
-    return _all(text, CODE_TOKEN)
-
-
 def plain_tokens(text: Column | str) -> Column:
     """Runs of a-z and 0-9 of the lower-cased text."""
     return _all(F.lower(text), "[a-z0-9]+")
@@ -41,12 +36,6 @@ def name_tokens(name: Column | str) -> Column:
     return F.array_sort(F.array_distinct(_all(F.lower(cut), "[a-z]{2,}|[0-9]{2,}")))
 
 
-def tag_tokens(text: Column | str) -> Column:
-    """Lower-cased words; punctuation is space."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " "), r"\s+", " "))
-    return F.filter(F.split(flat, " "), lambda x: x != "")
-
-
 def describe_tokens(text: Column | str) -> Column:
     """Distinct words of a description, and the bigrams of its CJK characters (a single one by itself)."""
     plain = _all(F.lower(text), DESCRIBE_TOKEN)
@@ -55,11 +44,6 @@ def describe_tokens(text: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.concat(plain, F.coalesce(pairs, F.array().cast("array<string>")))))
 
 
-def line_of(text: Column, position: Column) -> Column:
-    """The line, from 1, of a place (from 1) in a text."""
-    return F.regexp_count(F.substring(text, F.lit(1), position - 1), F.lit("\n")) + 1
-
-
 def jaccard(left: Column | str, right: Column | str) -> Column:
     """Of two arrays of distinct values; 0 if both are empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(left, right)), F.size(F.array_union(left, right))), F.lit(0.0))

@@ -82,3 +82,20 @@ def test_held_out_accuracy(spark):
     got = QUERIES["op1_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").where("held_out").collect()
     assert len(got) > 100
     assert sum(x.lang == x.lang_pred for x in got) / len(got) > 0.95
+
+
+def test_held_out_rows_never_teach(spark, tmp_path):
+    """held_out is the CRC-32 of doc_id as text, modulo 5; other langs on held-out rows leave every prediction as it was."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from tracewell.llm.queries import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    for name, lang in (("a", F.col("lang")), ("b", F.when(own, F.lit("zz")).otherwise(F.col("lang")))):
+        docs.withColumn("lang", lang).write.parquet(str(tmp_path / name / "documents.parquet"))
+    a, b = ({r.doc_id: (r.held_out, r.lang_pred, r.score) for r in QUERIES["op1_language_id"](spark, str(tmp_path / n)).collect()} for n in "ab")
+    assert a == b and all(held == (zlib.crc32(str(i).encode()) % 5 == 0) for i, (held, *_) in a.items())
+    assert "zz" not in {lang for _, lang, _ in b.values()} and 0.1 < sum(held for held, *_ in a.values()) / len(a) < 0.3

@@ -46,10 +46,35 @@ def test_audit_from_the_command_line(spark, tmp_path):
     assert {c["cohort"] for c in found["candidates"] if c["scanner"] == "regions"} <= {"high", "medium", "low"} and {c["cohort"] for c in found["candidates"] if c["scanner"] == "deadcode"} == {"low"}
     gone = {(g["scanner"], g["target_id"]): (g["reason"], g["moved_to"]) for g in found["stale_suppressions"] if g["reason"] != "no such finding"}
     assert gone == {("deadcode", "experiments/gone.py"): ("file missing: experiments/gone.py", None), ("contracts/env", "experiments/env.py:1:environ"): ("line 1 no longer defines `environ`", 2)}
+    assert all(c["locks"] == [] for c in found["candidates"])
+    # The same project again with a lock and one file less: what changed is told, but not once the settings differ.
+    (root / "experiments/r2.py").unlink()
+    (root / "lock.json").write_text(json.dumps({"files": {"lib/shared.py": "b" * 64}}))
+    again = [str(root), "--json", str(tmp_path / "r.json"), "--markdown", str(tmp_path / "r.md"), "--suppress", str(quiet), "--previous", str(tmp_path / "r.json")]
+    assert audit.main(again) == 0
+    second = json.loads((tmp_path / "r.json").read_text())
+    change = {c["scanner"]: c for c in second["previous_run"]["scanners"]}
+    assert second["previous_run"]["reason"] is None and change["deadcode"]["gone"] == 1 and change["deadcode"]["new"] == 0 and "r2.py" in change["deadcode"]["first_gone"][0]
+    assert any(k == {"path": "lib/shared.py", "manifests": ["lock.json"]} for c in second["candidates"] for k in c["locks"])
+    told = (tmp_path / "r.md").read_text()
+    assert "### gone of deadcode (1)" in told and "locked: lib/shared.py by lock.json" in told
+    quiet.write_text("{}")
+    before = json.loads((tmp_path / "r.json").read_text())
+    assert audit.previous_run(spark, str(tmp_path / "r.json"), before | {"audit_config_hash": config.digest({}, {}, str(quiet))}, None) == {"reason": "audit_config_hash", "scanners": []}
+    assert audit.previous_run(spark, str(tmp_path / "none.json"), before, None) is None
     code = spark.read.json(str(tmp_path / "code")).where("scanner = 'duplicates' AND error IS NULL").collect()
     assert code and all(c.code.startswith(f"L{c.start_line}: def ") for c in code)
 
 
+def test_digests(tmp_path):
+    quiet = tmp_path / "q.json"
+    quiet.write_text("{}")
+    one = config.digest({"audit": {"package": "a", "suppress": "x"}}, {}, str(quiet))
+    assert one == config.digest({"audit": {"package": "a", "suppress": "elsewhere"}}, {}, str(quiet)) != config.digest({"audit": {"package": "b"}}, {}, str(quiet))
+    quiet.write_text('{"forks": []}')
+    assert config.digest({"audit": {"package": "a"}}, {}, str(quiet)) != one and len(config.engine_digest()) == 64
+
+
 def test_settings(tmp_path):
     assert config.load(str(tmp_path)) == {}
     put = (tmp_path / "tracewell.toml").write_text

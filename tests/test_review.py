@@ -1,7 +1,7 @@
 """Verdicts, the gate, TeX prose and rounding-sensitive samples."""
 
 from tracewell.functions.ids import evidence_hash
-from tracewell.operators import review, scoring
+from tracewell.operators import findings, references, review, scoring
 from tracewell.sources import tex
 
 VERDICT = "scanner string, target_id string, evidence_hash string, disposition string, confidence double, reason string, reason_codes array<string>, recommended_action string, reuse_target string, required_verification array<string>"
@@ -38,6 +38,30 @@ def test_gate(spark):
     assert tuple(review.mutation_recall(now, before).first()) == (3, 3, 1.0)
 
 
+def test_changes(spark):
+    row = "scanner string, target_id string, display string"
+    before = [("forks", f"t{i:03}", "same") for i in range(40)] + [("regions", "r", "old name"), ("regions", "r", "old name"), ("gone", None, "null")]
+    now = [("forks", f"t{i:03}", "same") for i in range(20, 61)] + [("regions", "r", "new name"), ("style", "s", "x")]
+    got = {r.scanner: r for r in review.changes(spark.createDataFrame(before, row), spark.createDataFrame(now, row), 15).collect()}
+    assert [tuple(got[s])[1:5] for s in ("forks", "regions", "style", "gone")] == [(40, 41, 21, 20), (1, 1, 1, 1), (0, 1, 1, 0), (1, 0, 0, 1)]
+    assert got["forks"].first_new == ["same"] * 15 and got["regions"].first_new == ["new name"] and got["regions"].first_gone == ["old name"] and got["gone"].first_gone == ["null"]
+    nothing = spark.createDataFrame([], row)
+    assert review.changes(nothing, nothing).count() == 0
+
+
+def test_first_references(spark):
+    rows = [(None, 3), (None, 1), (None, 1), ("a", None), ("a", 9), ("a", 5), ("a", 7)]
+    got = {r.k: (r.n, [x.v for x in r.refs]) for r in references.first_references(spark.createDataFrame(rows, "k string, v int"), ["k"], ["v"], 2).collect()}
+    assert got == {None: (2, [1, 3]), "a": (4, [None, 5])}
+
+
+def test_locks_on_findings(spark):
+    found = spark.createDataFrame([("s", "t", ["b.py", "a.py", "b.py"]), ("s", "u", ["c.py"]), ("s", "v", None), ("s", "w", [])], "scanner string, target_id string, paths array<string>")
+    locked = spark.createDataFrame([("a.py", ["m.json"]), ("b.py", ["m.json", "n.json"])], "path string, manifests array<string>")
+    got = {r.target_id: [(k.path, k.manifests) for k in r.locks] for r in findings.with_locks(found, locked).collect()}
+    assert got == {"t": [("a.py", ["m.json"]), ("b.py", ["m.json", "n.json"])], "u": [], "v": [], "w": []}
+
+
 def test_hash_is_canonical():
     assert evidence_hash("s", "t", {"b": 1, "a": "é"}) == evidence_hash("s", "t", {"a": "é", "b": 1})
     assert evidence_hash("s", "t", {"a": 1}) != evidence_hash("s", "t", {"a": 2})

@@ -104,11 +104,48 @@ def test_deadcode(spark, project, scanned):
     assert "tools/lonely.py" not in {r.path for r in deadcode.deadcode(scanned[2], files.texts(scanned[0]), suppressed=quiet).collect()}
 
 
+def test_deadcode_tells_what_refers(spark, project, scanned):
+    docs = files.texts(files.scan(spark, project, endings=files.DOCUMENTS))
+    got = {r.path: r for r in deadcode.deadcode(scanned[2], files.texts(scanned[0]), docs, package="pkg").collect()}
+    assert got["lib/shared.py"].py_refs == ["experiments/a.py"] and got["lib/shared.py"].n_py_refs == 1 and got["lib/shared.py"].dynamic_edges == []
+    late = got["experiments/late.py"]
+    assert late.py_refs == ["experiments/dynamic.py"] and [(e.path, e.line > 0) for e in late.dynamic_edges] == [("experiments/dynamic.py", True)] and late.n_dynamic_edges == 1
+    assert got["tools/named.py"].dynamic_refs == ["tools/talk.py"] and got["tools/named.py"].py_refs == []
+    assert got["tools/lonely.py"].doc_refs == ["notes.md"] and got["tools/lonely.py"].n_doc_refs == 1
+    assert (got["tools/talk.py"].n_py_refs, got["tools/talk.py"].n_dynamic_refs, got["tools/talk.py"].n_doc_refs) == (0, 0, 0)
+
+
+FACT = "path string, kind string, value string, detail string, line int"
+
+
+def test_deadcode_lists_are_cut_and_counted(spark):
+    """Forty files import one, and one reaches another by a path from the folder that holds the package."""
+    rows = [(f"m{i:02}.py", "import", "base", None, 1) for i in range(40)] + [(p, "other", "x", None, 1) for p in ("base.py", "tools/far.py", "a/b.py")] + [("a/b.py", "dynamic", "pkg/tools/far.py", "spec", 3)]
+    facts = spark.createDataFrame(rows, FACT)
+    texts = spark.createDataFrame([(r[0], "") for r in rows], "path string, text string").distinct()
+    got = {r.path: r for r in deadcode.deadcode(facts, texts, package="pkg").collect()}
+    assert got["base.py"].py_refs == [f"m{i:02}.py" for i in range(12)] and got["base.py"].n_py_refs == 40 and got["base.py"].status == "USED"
+    assert [tuple(e) for e in got["tools/far.py"].dynamic_edges] == [("a/b.py", "spec", 3)] and got["tools/far.py"].status == "USED"
+    assert {r.status for r in deadcode.deadcode(facts.where("path = 'tools/far.py' OR path = 'a/b.py'"), texts).where("path = 'tools/far.py'").collect()} == {"DEAD"}
+    assert deadcode.deadcode(facts.where("false"), texts).count() == 0
+
+
 def test_capabilities(scanned):
     got = {r.local: r for r in capabilities.overlaps(scanned[1]).collect()}
     assert got["experiments/b.py:read_table"].lib == "lib/shared.py:load_table" and got["experiments/b.py:read_table"].match == "doc" and got["experiments/b.py:read_table"].signature_match
 
 
+def test_checklist(scanned):
+    got = capabilities.checklist(scanned[1], "experiments/b.py").collect()
+    told = [(r.local, r.mode, [(m.lib, m.signature_match, m.similarity) for m in r.matches]) for r in got]
+    assert told == [
+        ("experiments/b.py:beta", "doc", [("lib/shared.py:shared", True, 0.667)]),
+        ("experiments/b.py:read_table", "doc", [("lib/shared.py:load_table", True, got[1].matches[0].similarity)]),
+        ("experiments/b.py:beta", "none", []),
+    ]
+    assert all(capabilities.checklist(scanned[1], p).count() == 0 for p in ("lib/shared.py", "tests/test_x.py", "none.py"))
+
+
 def test_contracts(scanned):
     symbols, facts = scanned[1], scanned[2]
     assert [(r.value, r.path) for r in contracts.env_written_not_read(facts).collect()] == [("LOST", "experiments/env.py")]

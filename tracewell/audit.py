@@ -1,6 +1,6 @@
 """A whole audit of a project: every scanner, one table of candidates, issues, a JSON and a Markdown report.
 
-    python -m tracewell.audit ROOT [--package NAME] [--json FILE] [--markdown FILE] [--suppress FILE] [--all] [--snippets FOLDER]
+    python -m tracewell.audit ROOT [--package NAME] [--json FILE] [--markdown FILE] [--suppress FILE] [--all] [--snippets FOLDER] [--previous REPORT]
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from .functions.ids import with_evidence_hash
 from .operators import findings, lines, review
 from .plans.tables import stash
 from .scanners import capabilities, contracts, deadcode, duplicates, hardcoded, prose, regions
-from .sources import files, git, locks, pyregions, pysource, tex
+from .sources import files, git, locks, pyregions, pysource, records, tex
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 
 @dataclass
@@ -73,14 +73,14 @@ def run(spark: SparkSession, root: str, package: str = "", public_api: bool = Fa
     found = review.candidates(**{k: tables[k] for k in named}, contracts={k: v for k, v in tables.items() if k not in named})
     found = with_evidence_hash(found).withColumn("g", F.from_json("detail", GRADED))
     found = found.select("*", "g.max_sim", "g.twin_match", "g.kind", "g.priority").withColumn("cohort", F.expr(findings.COHORT))
-    found = stash(lines.evidence_lines(found.select(*review.CANDIDATE, "evidence_hash", "cohort")), "candidates")
+    locked = stash(locks.locked_files(files.scan(spark, root, endings=(".json",)), source), "locked")
+    found = stash(lines.evidence_lines(findings.with_locks(found.select(*review.CANDIDATE, "evidence_hash", "cohort"), locked)), "candidates")
     strip = lambda m: F.regexp_replace(F.regexp_replace(m, ":[0-9]+-[0-9]+$", ""), "#[0-9]+$", "")
     clusters = [tables[s].select(F.lit(s).alias("scanner"), F.col("id").alias("target_id"), F.transform("members", strip).alias("symbols")) for s in ("duplicates", "regions")]
     clusters = clusters[0].unionByName(clusters[1])
     if not every:
         clusters = clusters.join(found.where("cohort <> 'low'").select("scanner", "target_id"), ["scanner", "target_id"], "left_semi")
-    manifests = files.scan(spark, root, endings=(".json",))
-    return Audit(tables, found, findings.fuse(clusters), facts.where("kind = 'failure'").select("path", "value", "line"), locks.locked_files(manifests, source), texts, symbols)
+    return Audit(tables, found, findings.fuse(clusters), facts.where("kind = 'failure'").select("path", "value", "line"), locked, texts, symbols)
 
 
 def report(audit: Audit, root: str, package: str = "") -> dict:
@@ -95,7 +95,7 @@ def report(audit: Audit, root: str, package: str = "") -> dict:
         "issues": findings.issue_summary(audit.issues).first().asDict(),
         "parse_failures": [r.asDict() for r in audit.failures.orderBy("path").collect()],
         "complete": audit.failures.isEmpty(),
-        "candidates": [{"scanner": r.scanner, "target_id": r.target_id, "display": r.display, "risk": r.risk, "cohort": r.cohort, "evidence_hash": r.evidence_hash, "evidence": r.evidence, "detail": json.loads(r.detail)} for r in rows],
+        "candidates": [{"scanner": r.scanner, "target_id": r.target_id, "display": r.display, "risk": r.risk, "cohort": r.cohort, "evidence_hash": r.evidence_hash, "evidence": r.evidence, "locks": [k.asDict() for k in r.locks], "detail": json.loads(r.detail)} for r in rows],
     }
 
 
@@ -111,10 +111,21 @@ def markdown(document: dict, every: bool = False) -> str:
         own = [c for c in document["candidates"] or () if c["scanner"] == scanner]
         told = [c for c in own if every or c["risk"] or c["cohort"] != "low"]
         if told:
-            said = [(f"- [ ] {c['risk'] or c['cohort']}: {c['display']} (`{c['target_id']}`)", *([f"  - {c['evidence']}"] if c["evidence"] else [])) for c in told]
+            said = [(f"- [ ] {c['risk'] or c['cohort']}: {c['display']} (`{c['target_id']}`)", *([f"  - {c['evidence']}"] if c["evidence"] else []), *(f"  - locked: {k['path']} by {', '.join(k['manifests'])}" for k in c["locks"])) for c in told]
             out += ["", f"## {scanner}", "", *(x for pair in said for x in pair)]
         if len(told) < len(own):
             out += ["", f"{len(own) - len(told)} candidates of {scanner} that are no risk and of the low cohort aren't shown."]
+    if change := document.get("previous_run"):
+        out += ["", "## Changes since the last run", ""]
+        if change["reason"]:
+            out += [f"The report before can't be compared: {change['reason']} differs."]
+        else:
+            out += ["| scanner | previous | current | new | gone |", "|---|---:|---:|---:|---:|", *(f"| {c['scanner']} | {c['previous']} | {c['current']} | {c['new']} | {c['gone']} |" for c in change["scanners"])]
+            for c in change["scanners"]:
+                for label in ("new", "gone"):
+                    names = c[f"first_{label}"]
+                    more = [f"- and {c[label] - len(names)} more"] if c[label] > len(names) else []
+                    out += ["", f"### {label} of {c['scanner']} ({c[label]})", "", *(f"- {n}" for n in names), *more] if names else []
     if gone := document.get("stale_suppressions"):
         where = lambda g: f", now at line {g['moved_to']}" if g.get("moved_to") else ""
         out += ["", "## Suppressions that no longer fit", "", *(f"- {g['scanner']}: {g['target_id']} ({g['reason']}{where(g)})" for g in gone)]
@@ -154,6 +165,18 @@ def registered(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "section string, key string, path string")
 
 
+def previous_run(spark: SparkSession, path: str, document: dict, found: DataFrame) -> dict | None:
+    """What changed since the report at path: why it can't be compared (a property's name, else null), and review.changes for each scanner. None if there is no report that can be read."""
+    known = records.previous_candidates(spark, path)
+    if known is None:
+        return None
+    before = json.loads(Path(path).read_text(encoding="utf-8"))
+    about = lambda d: {k: sorted(d[k]) if k == "scanners" and d.get(k) else d.get(k) for k in ("schema_version", "package", "scanners", "audit_config_hash", "scanner_bundle_hash")}
+    reason = review.comparable(about(before), about(document))
+    rows = [] if reason else [r.asDict() for r in review.changes(known, found).orderBy("scanner").collect()]  # a row for each scanner
+    return {"reason": reason, "scanners": rows}
+
+
 def stale(registry: DataFrame, found: DataFrame) -> DataFrame:
     """(scanner, target_id) of the registry that no finding has any more."""
     return registry.join(found.select("scanner", "target_id").distinct(), ["scanner", "target_id"], "left_anti")
@@ -177,6 +200,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--suppress")
     p.add_argument("--public-api", action="store_true")
     p.add_argument("--all", action="store_true")
+    p.add_argument("--previous", help="a report of an earlier run, to tell what changed since; it may be the file that --json writes")
     p.add_argument("--snippets", help="a folder that gets the code around each candidate, as JSON lines")
     said = p.parse_args(args)
     from .session import session
@@ -196,7 +220,10 @@ def main(args: list[str] | None = None) -> int:
         places = lines.stale_places(lines.entry_places(registered(spark, registry)), done.texts)
         gone += [{"scanner": r.section, "target_id": r.key, "reason": r.reason, "moved_to": r.moved_to} for r in places.orderBy("section", "key").collect()]
         done.candidates = findings.suppress(done.candidates, known, ["scanner", "target_id"])[0]
-    document = report(done, said.root, package) | {"stale_suppressions": gone}
+    hashes = {"audit_config_hash": config.digest(settings, {"package": package, "public_api": public, "all": said.all}, registry), "scanner_bundle_hash": config.engine_digest()}
+    document = report(done, said.root, package) | hashes | {"stale_suppressions": gone}
+    if said.previous:
+        document["previous_run"] = previous_run(spark, said.previous, document, done.candidates)
     if said.snippets:
         lines.snippets(lines.locations(done.candidates), done.texts, done.symbols.select("path", "qualname", F.col("start_line").alias("line"))).write.mode("overwrite").json(said.snippets)
     if said.json == "-":

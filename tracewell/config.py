@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tomllib
 from pathlib import Path
 from typing import Any
@@ -41,6 +43,20 @@ def pick(said: Any, settings: dict[str, dict[str, Any]], section: str, key: str,
     return said if said not in (None, False, "") else settings.get(section, {}).get(key, default)
 
 
+def digest(settings: dict[str, dict[str, Any]], said: dict[str, Any], registry: str | None = None) -> str:
+    """Of what changes findings: the settings but for where the registry lies, what the command line said, and the registry's content."""
+    own = {s: {k: v for k, v in keys.items() if (s, k) != ("audit", "suppress")} for s, keys in settings.items()}
+    held = Path(registry).read_text(encoding="utf-8") if registry and Path(registry).is_file() else None
+    return hashlib.sha256(json.dumps([own, said, held], sort_keys=True).encode()).hexdigest()
+
+
+def engine_digest() -> str:
+    """Of the engine's own files, by name."""
+    root = Path(__file__).parent
+    each = sorted((str(p.relative_to(root)), hashlib.sha256(p.read_bytes()).hexdigest()) for p in root.rglob("*.py") if p.relative_to(root).parts[0] != "llm")
+    return hashlib.sha256("\n".join(f"{n} {h}" for n, h in each).encode()).hexdigest()
+
+
 def patterns(settings: dict[str, dict[str, Any]]) -> tuple[Pattern, ...]:
     """The patterns of the settings, in place of the default ones."""
     own = settings.get("hardcoded", {}).get("patterns")

@@ -27,6 +27,17 @@ def first_of_each(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame
     return rows.withColumn("_row", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_row = 1").drop("_row")
 
 
+def first_references(references: DataFrame, by: list[str], order: list[str], first: int) -> DataFrame:
+    """by, n and refs: how many different references each has, and the first of them in order, as an array of structs of order. A reference that stands
+    several times is one; nulls in order come first. Ranks are cut before the shuffle too, so a target that a third of all rows refer to sends few of them."""
+    own = references.select(*by, *order).distinct()
+    few = own.withColumn("_row", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_row") <= first)
+    lists = few.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_row", *order))).alias("refs"))
+    lists = lists.withColumn("refs", F.transform("refs", lambda r: F.struct(*[r[c].alias(c) for c in order])))
+    same = lists.alias("l").join(own.groupBy(*by).agg(F.count("*").alias("n")).alias("c"), [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by])
+    return same.select(*[F.col(f"l.{c}").alias(c) for c in by], "n", "refs")
+
+
 def same_name_groups(items: DataFrame, name: str, group: str, least: int = 2) -> DataFrame:
     """Names that stand in several groups: (name, n_groups, n)."""
     return items.groupBy(F.col(name).alias("name")).agg(F.count_distinct(group).alias("n_groups"), F.count("*").alias("n")).where(F.col("n_groups") >= least)

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions import variants
 from ..functions.ids import short_hash
 from ..functions.sequences import seq_ratio
-from ..operators import findings, lines, references, retrieval, sampling, scoring, similarity, spans, style
+from ..operators import findings, lines, references, retrieval, review, sampling, scoring, similarity, spans, style
 from ..operators.graph import FEW, components
 from ..scanners import deadcode
 from ..sources import records, trees
@@ -544,6 +544,43 @@ def diff_new_gone(spark: SparkSession, d: str) -> DataFrame:
     return findings.difference(orders.where(early), orders.where(~early), ["o_custkey", "o_orderpriority"])
 
 
+@query(f"""WITH {_SLICES}, g AS (SELECT o_custkey, o_orderpriority, x IS NOT NULL AS old, y IS NOT NULL AS cur FROM (SELECT *, 1 AS x FROM b) FULL JOIN (SELECT *, 1 AS y FROM a) USING (o_custkey, o_orderpriority)),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, old ORDER BY o_custkey) AS k FROM g WHERE old <> cur)
+SELECT o_orderpriority AS scanner, count(*) FILTER (WHERE old) AS previous, count(*) FILTER (WHERE cur) AS current, count(*) FILTER (WHERE NOT old) AS new, count(*) FILTER (WHERE NOT cur) AS gone,
+  coalesce((SELECT string_agg('c' || o_custkey, ',' ORDER BY k) FROM r WHERE r.o_orderpriority = g.o_orderpriority AND cur AND k <= 15), '') AS first_new,
+  coalesce((SELECT string_agg('c' || o_custkey, ',' ORDER BY k) FROM r WHERE r.o_orderpriority = g.o_orderpriority AND old AND k <= 15), '') AS first_gone
+FROM g GROUP BY o_orderpriority""")
+def run_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs, their scanners being priorities: which customers come and go."""
+    orders = table(spark, d, "orders").select("o_orderdate", F.col("o_orderpriority").alias("scanner"), F.col("o_custkey").alias("target_id"), F.concat(F.lit("c"), "o_custkey").alias("display"))
+    early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
+    told = review.changes(orders.where(early), orders.where(~early))
+    return told.withColumns({c: F.array_join(c, ",") for c in ("first_new", "first_gone")})
+
+
+@query("""WITH r AS (SELECT l_partkey, l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_suppkey) AS k, count(*) OVER (PARTITION BY l_partkey) AS n FROM (SELECT DISTINCT l_partkey, l_orderkey, l_suppkey FROM lineitem))
+SELECT l_partkey, any_value(n) AS n, string_agg(l_orderkey || ':' || l_suppkey, ',' ORDER BY k) FILTER (WHERE k <= 12) AS refs FROM r GROUP BY l_partkey""")
+def reference_lists(spark: SparkSession, d: str) -> DataFrame:
+    """What refers to each part: orders and suppliers, counted, the first 12 told."""
+    told = references.first_references(table(spark, d, "lineitem"), ["l_partkey"], ["l_orderkey", "l_suppkey"], 12)
+    return told.withColumn("refs", F.array_join(F.transform("refs", lambda r: F.concat_ws(":", r["l_orderkey"], r["l_suppkey"])), ","))
+
+
+@query("""WITH l AS (SELECT DISTINCT CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events WHERE event_type IN ('error', 'signup')),
+m AS (SELECT k, string_agg(event_type, '+' ORDER BY event_type) AS manifests FROM l GROUP BY k),
+s AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+h AS (SELECT l_orderkey, string_agg(l_partkey || '=' || manifests, ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS locks FROM s JOIN m ON l_partkey = k GROUP BY l_orderkey)
+SELECT o_orderkey, coalesce(locks, '') AS locks FROM orders LEFT JOIN h ON o_orderkey = l_orderkey""")
+def locked_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Orders are findings, their parts the paths; events are the manifests that lock these."""
+    said = table(spark, d, "events").where("event_type IN ('error', 'signup')").select(F.get_json_object("props", "$.k").alias("path"), "event_type")
+    locked = said.groupBy("path").agg(F.array_sort(F.collect_set("event_type")).alias("manifests"))
+    parts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("target_id")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("paths"))
+    found = table(spark, d, "orders").select(F.lit("orders").alias("scanner"), F.col("o_orderkey").alias("target_id")).join(parts, "target_id", "left").withColumn("paths", F.coalesce("paths", F.array()))
+    told = findings.with_locks(found, locked)
+    return told.select(F.col("target_id").alias("o_orderkey"), F.array_join(F.transform("locks", lambda k: F.concat(k["path"], F.lit("="), F.array_join(k["manifests"], "+"))), ",").alias("locks"))
+
+
 @query("""WITH r AS (SELECT DISTINCT l_suppkey, l_linestatus FROM lineitem WHERE l_discount > 0.095), h AS (SELECT * FROM lineitem WHERE l_returnflag = 'R')
 SELECT l_suppkey, count(*) FILTER (WHERE x IS NULL) AS kept, count(*) FILTER (WHERE x) AS ignored FROM h LEFT JOIN (SELECT *, true AS x FROM r) USING (l_suppkey, l_linestatus) GROUP BY l_suppkey""")
 def suppress_anti(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ import subprocess
 import pytest
 
 from tracewell import audit, config
+from tracewell.operators import lines
 from tracewell.sources import git
 
 from .test_regions import RISKY, TWIN
@@ -41,7 +42,10 @@ def test_audit_from_the_command_line(spark, tmp_path):
     assert any(s == "contracts" and t.startswith("env_written_not_read/") for s, t in targets)
     assert {"duplicates", "forks", "regions", "deadcode", "contracts"} <= set(found["scanners"])
     assert found["issues"]["corroborated"] >= 1  # the twins are duplicates as well
+    named = found["corroborated"]
+    assert len(named) == min(20, found["issues"]["corroborated"]) and named == sorted(named, key=lambda n: n["issue_id"]) and all(n["channels"] == ["duplicates", "regions"] and len(n["members"]) == min(3, n["n_members"]) for n in named)
     told = (tmp_path / "r.md").read_text()
+    assert "| issue | channels | signals | members |" in told and f"`{named[0]['issue_id']}`" in told
     assert "## duplicates" in told and "status=DEAD py_refs=" in told and "now at line 2" in told
     assert {c["cohort"] for c in found["candidates"] if c["scanner"] == "regions"} <= {"high", "medium", "low"} and {c["cohort"] for c in found["candidates"] if c["scanner"] == "deadcode"} == {"low"}
     gone = {(g["scanner"], g["target_id"]): (g["reason"], g["moved_to"]) for g in found["stale_suppressions"] if g["reason"] != "no such finding"}
@@ -96,4 +100,29 @@ def test_registry(spark, tmp_path):
     found = spark.createDataFrame([("forks", "a"), ("deadcode", "z")], "scanner string, target_id string")
     assert sorted(map(tuple, audit.stale(known, found).collect())) == [("contracts", "same_name/c"), ("deadcode", "b")]
     verdicts = spark.createDataFrame([verdict("t", "false_positive", action="none", reason="is fine"), verdict("u")], VERDICT)
-    assert audit.exported(verdicts, "2026-01-01", "me") == {"deadcode": [{"target_id": "t", "reason": "is fine", "date": "2026-01-01", "owner": "me"}]}
+    nothing = spark.createDataFrame([], "scanner string, target_id string, detail string")
+    assert audit.exported(verdicts, "2026-01-01", "me", nothing) == {"deadcode": [{"target_id": "t", "reason": "is fine", "date": "2026-01-01", "owner": "me"}]}
+
+
+def test_exported_registry_names_places(spark, tmp_path):
+    """What is exported suppresses the same findings when it is read, and says where each stands; later the places are probed."""
+    rows = [
+        ("deadcode", "DEAD/a.py", {"path": "a.py", "status": "DEAD"}, {"path": "a.py"}), ("duplicates", "d1", {"id": "d1"}, {}), ("forks", "fork/x", {"key": "a.py:f::b.py:g"}, {"key": "a.py:f::b.py:g"}),
+        ("capabilities", "c1", {"local": "b.py:C.g", "lib": "lib/x.py:g"}, {"key": "b.py:g"}), ("contracts", "env_written_not_read/LOST:a.py:2", {"value": "LOST", "path": "a.py", "line": 2}, {"key": "a.py:2:LOST"}),
+        ("contracts", "forwarding_wrappers/w", {"path": "b.py", "qualname": "g"}, {"key": "b.py:g"}), ("contracts", "same_name/n", {"name": "n", "paths": ["a.py"]}, {}), ("hardcoded", "hard/p/a.py:1", {"path": "a.py", "line": 1}, {"path": "a.py"}),
+    ]
+    found = spark.createDataFrame([(s, t, json.dumps(d)) for s, t, d, _ in rows], "scanner string, target_id string, detail string")
+    verdicts = spark.createDataFrame([(s, *verdict(t, "false_positive", action="none", reason="ok")[1:]) for s, t, _, _ in rows] + [verdict("true one")], VERDICT)
+    out = audit.exported(verdicts, "2026-01-01", "me", found)
+    flat = {(s if isinstance(own, list) else f"{s}/{c}", e["target_id"]): e for s, own in out.items() for c, es in (own.items() if isinstance(own, dict) else [("", own)]) for e in es}
+    meta = {"reason": "ok", "date": "2026-01-01", "owner": "me"}
+    assert flat == {(f"contracts/{t.split('/')[0]}" if s == "contracts" else s, t): {"target_id": t} | where | meta for s, t, _, where in rows}
+    path = tmp_path / "r.json"
+    path.write_text(json.dumps(out))
+    assert sorted(map(tuple, audit.suppressed(spark, str(path)).collect())) == sorted((s, t) for s, t, _, _ in rows)
+    places = lines.entry_places(audit.registered(spark, str(path)))
+    texts = spark.createDataFrame([("a.py", "import os\nos.environ['LOST'] = '1'\n"), ("b.py", "def g():\n    pass\n")], "path string, text string")
+    assert lines.stale_places(places, texts).count() == 0
+    moved = spark.createDataFrame([("a.py", "\nimport os\nos.environ['LOST'] = '1'\n")], "path string, text string")
+    got = {(r.section, r.key): (r.reason, r.moved_to) for r in lines.stale_places(places, moved).collect()}
+    assert got[("contracts/env_written_not_read", "a.py:2:LOST")] == ("line 2 no longer defines `LOST`", 3) and got[("capabilities", "b.py:g")] == ("file missing: b.py", None)

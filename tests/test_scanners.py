@@ -2,12 +2,13 @@
 
 import hashlib
 import json
+import time
 from difflib import SequenceMatcher
 
 import pytest
 
 from tracewell.functions.sequences import covered, ratio
-from tracewell.scanners import capabilities, contracts, deadcode, duplicates
+from tracewell.scanners import capabilities, contracts, deadcode, duplicates, hardcoded
 from tracewell.sources import files, locks, pysource
 
 BODY = '''
@@ -170,3 +171,16 @@ def test_sequence_gates():
     assert ratio(a, b, 0.8) == SequenceMatcher(None, a, b, autojunk=False).ratio()
     assert covered(list("abcde"), list("abcde") + list("z" * 40), 5) == 0.0
     assert covered(list("abcde"), list("abcdez"), 5) == 1.0
+
+
+def test_hardcoded_places_of_many_matches(spark):
+    """Matches over several lines and many in one text: each is on the line where it begins, with the line's code; a text is read once."""
+    text = "".join(f"x{i} = hashlib.sha256({i})\n" + "\n" * (i % 3) for i in range(20_000))
+    spread = hardcoded.Pattern("spread", r"begin\s+end", "high")
+    rows = [("many.py", text), ("two.py", "a\nbegin\n\nend begin end\r\nhashlib.sha256(1) hashlib.sha256(2)"), ("none.py", ""), ("null.py", None), ("tests/t.py", "hashlib.sha256(")]
+    start = time.monotonic()
+    got = hardcoded.hardcoded(spark.createDataFrame(rows, "path string, text string"), (*hardcoded.PATTERNS, spread)).select("path", "pattern", "line", "code").collect()
+    assert time.monotonic() - start < 60
+    want = [(i + 1, line) for i, line in enumerate(text.split("\n")) if line]
+    assert sorted((r.line, r.code) for r in got if r.path == "many.py") == want
+    assert sorted((r.pattern, r.line, r.code) for r in got if r.path != "many.py") == [("manual_sha256", 5, "hashlib.sha256(1) hashlib.sha256(2)")] * 2 + [("spread", 2, "begin"), ("spread", 4, "end begin end")]

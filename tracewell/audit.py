@@ -23,6 +23,8 @@ from .scanners import capabilities, contracts, deadcode, duplicates, hardcoded,
 from .sources import files, git, locks, pyregions, pysource, records, tex
 
 SCHEMA_VERSION = 2
+#: Corroborated issues that the report names, by id, and members of each.
+CORROBORATED, MEMBERS = 20, 3
 
 
 @dataclass
@@ -86,6 +88,7 @@ def run(spark: SparkSession, root: str, package: str = "", public_api: bool = Fa
 def report(audit: Audit, root: str, package: str = "") -> dict:
     """The report as a document. It is the findings of one project, which a reviewer reads; they come to the driver a partition at a time."""
     counts = {r.scanner: {"candidates": r.n, "risks": r.risks} for r in audit.candidates.groupBy("scanner").agg(F.count("*").alias("n"), F.count("risk").alias("risks")).collect()}
+    told = audit.issues.where("n_channels >= 2").select("issue_id", "channels", "signals", "n_members", F.slice("members", 1, MEMBERS).alias("members"))
     rows = audit.candidates.orderBy(F.col("risk").isNull(), "risk", "scanner", "target_id").toLocalIterator()
     return {
         "schema_version": SCHEMA_VERSION,
@@ -93,6 +96,7 @@ def report(audit: Audit, root: str, package: str = "") -> dict:
         "provenance": git.provenance(root),
         "scanners": counts,
         "issues": findings.issue_summary(audit.issues).first().asDict(),
+        "corroborated": [r.asDict() for r in told.orderBy("issue_id").limit(CORROBORATED).collect()],
         "parse_failures": [r.asDict() for r in audit.failures.orderBy("path").collect()],
         "complete": audit.failures.isEmpty(),
         "candidates": [{"scanner": r.scanner, "target_id": r.target_id, "display": r.display, "risk": r.risk, "cohort": r.cohort, "evidence_hash": r.evidence_hash, "evidence": r.evidence, "locks": [k.asDict() for k in r.locks], "detail": json.loads(r.detail)} for r in rows],
@@ -107,6 +111,10 @@ def markdown(document: dict, every: bool = False) -> str:
     out += ["", "| scanner | candidates | risks |", "|---|---:|---:|", *(f"| {s} | {c['candidates']} | {c['risks']} |" for s, c in sorted(document["scanners"].items()))]
     i = document["issues"]
     out += ["", f"{i['issues']} issues from {i['signals']} signals, {i['corroborated']} of them corroborated."]
+    if named := document["corroborated"]:
+        more = lambda n: f" (+{n})" if n > 0 else ""
+        out += ["", "| issue | channels | signals | members |", "|---|---|---:|---|", *(f"| `{n['issue_id']}` | {', '.join(n['channels'])} | {n['signals']} | {', '.join(f'`{m}`' for m in n['members'])}{more(n['n_members'] - len(n['members']))} |" for n in named)]
+        out += [f"| | | | {i['corroborated'] - len(named)} more |"] if i["corroborated"] > len(named) else []
     for scanner in sorted(document["scanners"]):
         own = [c for c in document["candidates"] or () if c["scanner"] == scanner]
         told = [c for c in own if every or c["risk"] or c["cohort"] != "low"]
@@ -182,12 +190,13 @@ def stale(registry: DataFrame, found: DataFrame) -> DataFrame:
     return registry.join(found.select("scanner", "target_id").distinct(), ["scanner", "target_id"], "left_anti")
 
 
-def exported(verdicts: DataFrame, day: str, owner: str) -> dict[str, list[dict]]:
-    """The valid verdicts of false positives as sections of a registry. They are what reviewers have written."""
-    rows = review.invalid_reason(verdicts).where("invalid_reason IS NULL AND disposition = 'false_positive'").select("scanner", "target_id", "reason").distinct().orderBy("scanner", "target_id")
-    out: dict[str, list[dict]] = {}
-    for r in rows.toLocalIterator():
-        out.setdefault(r.scanner, []).append({"target_id": r.target_id, "reason": r.reason, "date": day, "owner": owner})
+def exported(verdicts: DataFrame, day: str, owner: str, found: DataFrame) -> dict:
+    """The valid verdicts of false positives as sections of a registry, those of contracts by channel; found: candidates, which say where each stands. They are what reviewers have written."""
+    out: dict = {}
+    for r in review.registry_entries(verdicts, found).orderBy("section", "target_id").toLocalIterator():
+        section, _, channel = r.section.partition("/")
+        own = out.setdefault(section, {}).setdefault(channel, []) if channel else out.setdefault(section, [])
+        own.append({"target_id": r.target_id} | {k: r[k] for k in ("path", "key") if r[k]} | {"reason": r.reason, "date": day, "owner": owner})
     return out
 
 

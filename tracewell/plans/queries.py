@@ -521,7 +521,7 @@ def _issues(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 12).cast("string").alias("symbol"))
     symbols = lines.groupBy("o_orderkey").agg(F.collect_set("symbol").alias("symbols"))
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("scanner"), F.col("o_orderkey").cast("string").alias("target_id"))
-    return findings.fuse(orders.join(symbols, "o_orderkey").select("scanner", "target_id", "symbols"))
+    return findings.fuse(orders.join(symbols, "o_orderkey").select("scanner", "target_id", "symbols")).select("issue_id", "n_members", "n_channels", "signals")
 
 
 @query(f"WITH {_FUSED} SELECT * FROM issues")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,8 +11,15 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The tables of the scopes that are open, innermost last; those written outside of any scope stay.
-_open: list[list[tuple[SparkSession, str]]] = []
+
+class _Scopes(threading.local):
+    """The tables of the scopes that a thread has open, innermost last; those written outside of any scope stay."""
+
+    def __init__(self) -> None:
+        self.open: list[list[tuple[SparkSession, str]]] = []
+
+
+_scopes = _Scopes()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +56,8 @@ def stash(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{label}")
-    if len(_open) > keep:
-        _open[-1 - keep].append((spark, path))
+    if len(_scopes.open) > keep:
+        _scopes.open[-1 - keep].append((spark, path))
     return spark.read.schema(df.schema).parquet(f"{path}/{label}")
 
 
@@ -68,11 +76,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables that are stashed inside are deleted at the end, but for those with keep. What leaves the block must not read them."""
-    _open.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for spark, path in _open.pop():
+        for spark, path in _scopes.open.pop():
             _delete(spark, path)
 
 

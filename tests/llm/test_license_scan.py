@@ -92,3 +92,18 @@ def test_twenty_thousand_matches(spark):
     start = time.time()
     x = license_scan.scan(docs).first()
     assert x.n_base == 20_000 and len(x.detections) == 20_000 and time.time() - start < 60
+
+
+def test_names_joined_in_prose(spark):
+    told = {
+        "Licensed under the MIT or Apache 2.0 license": "apache-2.0,mit",
+        "released under the terms of the BSD, MIT and Apache License version 2.0 licenses": "apache-2.0,bsd,mit",
+        "dual licensed under either of the ISC and MIT licenses": "isc,mit",
+        "Distributed under the Zlib or\nISC license": "isc,zlib",
+        "released under the bridge of MIT": "",
+        "distributed under MIT rules, as the school says": "",
+        "the MIT and the Apache tribe were available": "",
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "doc_id long, text string")
+    got = {x.doc_id: x.labels for x in license_scan.scan(docs).collect()}
+    assert [set(got[i].split(",")) >= set(w.split(",")) if w else got[i] == "" for i, w in enumerate(told.values())] == [True] * len(told), got

@@ -3,7 +3,7 @@
 A rule is a label, a keyword, a regular expression and a priority. Rules are written as phrases: the words that must stand in a row, whatever
 separates them. Names are built from a table of licenses (family, full names, versions): full name, name with version, SPDX identifier, address, and
 a license field. Of an SPDX identifier or a field the first license of an expression such as A OR B has one rule, the second and third theirs, of less important priorities, so that
-the longer detection doesn't suppress the shorter. Short names (GPLv3) are rules for themselves. NOTICES are signatures of the licenses' own words: grants and notices that stand in
+the longer detection doesn't suppress the shorter. So have names that prose joins (licensed under the MIT or Apache 2.0 license). Short names (GPLv3) are rules for themselves. NOTICES are signatures of the licenses' own words: grants and notices that stand in
 files which never name their license. A rule's expression runs on a text only if the text has the rule's keyword,
 and no rule runs on a text that has none of the keywords. Detections are ordered by start, longest first; one is suppressed
 if an earlier detection of the same or a more important priority contains it.
@@ -113,6 +113,9 @@ NOTICES = (
 SHORT = ("gpl", "lgpl", "agpl")
 #: Places of an SPDX expression that have rules.
 OPERANDS = 3
+#: How prose says under what a work is, and a name with what joins it to the next.
+UNDER = f"(?<!{WORD})(?:licensed|released|distributed|published|available){NOT_WORD}+under{NOT_WORD}+(?:(?:either|both|of|the|a|terms){NOT_WORD}+){{0,5}}"
+JOINED = f"[A-Za-z0-9.+-]{{1,30}}(?:{NOT_WORD}+(?:licen[cs]e|version|v?[0-9][0-9.]{{0,9}})){{0,3}}(?:,|\\x20(?:or|and|and/or))(?:{NOT_WORD}+(?:or|and|the)(?!{WORD})){{0,2}}"
 #: No rule is tried on a text that has none of these, nor the letters cc and by as words in a row.
 GATE = (
     "licen", "spdx", "gnu", "cc0", "wtfpl", "unencumbered", "creative", "mozilla", "eclipse", "scripts", "rights",
@@ -145,6 +148,13 @@ def rules() -> list[tuple[str, str, str, int]]:
                     for keyword_of, field in fields.items():
                         if place or keyword_of == "license":
                             out.append((f"{label}-{v}" if v else label, spdx.split("-")[0].lower(), f"(?i){field}[\\x20\"']*[:=][\\x20(\"']*{before}{tag.replace('.', '[.]')}{end}", place))
+            if spdx:
+                # Names that prose joins: one after the other, in a sentence that says license.
+                name = spdx.split("-")[0] if label in ("bsd", "cc-by") else spdx.replace("-", any_word)
+                version = f"(?:{any_word}licen[cs]e)?{any_word}(?:version{any_word}|v)?(?:{number})" if v else ""
+                for place in range(OPERANDS):
+                    before = f"(?:{JOINED}{any_word}){{{place}}}" if place else ""
+                    out.append((f"{label}-{v}" if v else label, spdx.split("-")[0].lower(), f"(?i){UNDER}{before}{name}{version}(?!{WORD})(?=[\\x00-\\x7F]{{0,60}}licen[cs]e)", 1 + place))
             if label in SHORT and v:
                 out.append((f"{label}-{v}", label, f"(?i)(?<!{WORD}){label}{NOT_WORD}*(?:version{any_word}|v)?{NOT_WORD}*(?:{number})(?!{WORD})", 1))
             for name in names:

@@ -193,7 +193,8 @@ def _count(text: Column) -> Column:
 def _detections() -> Column:
     """Of the text _t, whose lower case is _low: an array of (start, end, priority, rule, label)."""
     known = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(e).alias("pattern"), F.lit(p).alias("priority")) for i, (a, k, e, p) in enumerate(rules())])
-    gated = F.filter(known, lambda r: F.contains(F.col("_low"), r["keyword"]))
+    # Most rules that a keyword lets through have no match: the text is cut up only for those that have one.
+    gated = F.filter(known, lambda r: F.contains(F.col("_low"), r["keyword"]) & F.rlike(F.col("_t"), r["pattern"]))
 
     def found(r: Column) -> Column:
         return F.transform(match_spans(F.col("_t"), r["pattern"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))

@@ -25,3 +25,15 @@ def test_search_among_all_parts(spark):
     old = {x.part: x.found for x in QUERIES["capability_name_then_doc"](spark, SF).collect()}
     print("other best:", sum(old.get(k) != found for k, (found, _, _) in got.items()), "of", len(got))
     assert any(old.get(k) != found for k, (found, _, _) in got.items())
+
+
+def test_rows_come_from_names_and_sizes(spark, tmp_path, monkeypatch):
+    from tracewell.operators import references
+
+    n = 4000
+    spark.range(n).selectExpr("id AS p_partkey", "IF(id = 300, 'only one', concat(IF(id % 2 = 0, 'red', 'blue'), ' ring')) AS p_name", "CAST(id % 5 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    met, first = [], references.first_of_each
+    monkeypatch.setattr(references, "first_of_each", lambda rows, *a: (met.append(rows.count()), first(rows, *a))[1])
+    got = {x.part: (x.found, x.how) for x in QUERIES["capability_search"](spark, str(tmp_path)).collect()}
+    # The smallest of the same name and size, or the next where that is the part itself.
+    assert got == {k: (10 if k == 0 else 0, "name") for k in range(0, n, 100) if k != 300} and met[0] <= 5 * n / 100

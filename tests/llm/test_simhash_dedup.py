@@ -96,3 +96,18 @@ def test_empty(spark):
     assert near_duplicates(docs).count() == 0
     assert keep_one(docs).columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert keep_one(docs).count() == 0
+
+
+def test_a_small_graph_takes_few_jobs(spark):
+    from tracewell.llm import simhash_dedup
+
+    # Each driver job leaves plans and code behind, and rounds of components were most of them.
+    sc, fps = spark.sparkContext, spark.range(3000).selectExpr("xxhash64(id div 3) ^ shiftleft(1L, CAST(id % 3 AS INT)) AS fp")
+    sc.setJobGroup("few", "links of 3,000 fingerprints")
+    try:
+        roots = simhash_dedup.links(fps).groupBy("root").count().collect()
+        jobs = len(sc.statusTracker().getJobIdsForGroup("few"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(roots) == 1000 and {r["count"] for r in roots} == {3} and jobs <= 40
+    print(jobs, "jobs")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import FEW
 from ..plans.tables import broadcast_if_small
 from .common import DOCUMENT_COLUMNS, components, document_columns, scratch, stash
 
@@ -97,7 +98,7 @@ def links(fps: DataFrame) -> DataFrame:
     first = _homes(fps).groupBy("key").agg(F.min("fp").alias("other"), F.count("*").alias("homes"))
     met = stash(_replicas(fps).join(first, "key").where("fp <> other OR homes > 1"), "met")
     star = met.where(f"fp <> other AND {close}").select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    joined = components(star)
+    joined = components(star, few=FEW)
     many = met.where("homes > 1").select("key", "fp").join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     many = stash(many, "many")
     mixed = many.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
@@ -105,7 +106,7 @@ def links(fps: DataFrame) -> DataFrame:
     at_home = mixed.join(_homes(fps), ["key", "fp"], "left_semi").select("key", F.col("fp").alias("other"), F.col("root").alias("other_root"))
     more = mixed.join(at_home, "key").where(f"root <> other_root AND {close}").select(F.col("root").alias("a"), F.col("other_root").alias("b")).distinct()
     # Components of components: only roots are left to join.
-    again = stash(components(more).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops")
+    again = stash(components(more, few=FEW).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops")
     return joined.select("node", "root").unionAll(again.select("root", "root")).distinct().join(again, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 

@@ -188,3 +188,14 @@ def test_secrets_of_the_documents(spark):
     planted = {(d, m.start()) for d, t in texts for m in key.finditer(t)}
     found = {(x.doc_id, f.start) for x in pii.find(docs, wide=True).collect() for f in x.found or [] if x.doc_id in {d for d, _ in texts}}
     assert planted and len(planted & found) >= 0.9 * len(planted) and len(planted & found) >= 0.9 * len(found)
+
+
+def test_query_learns_from_every_text(spark, tmp_path):
+    """Keys of a pattern that stands only in texts outside the sample: the query counts these too."""
+    from tracewell.llm.queries import op8_pii
+
+    rows = [(i, f"line {i} begins\nvault_pin = {hashlib.md5(str(i).encode()).hexdigest()} and goes on") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.where(F.pmod(F.xxhash64("text"), F.lit(pii.SEED_PARTS)) != 0).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op8_pii(spark, str(tmp_path)).collect()
+    assert len(got) > 10 and all(r["spans"].startswith("id:") for r in got)

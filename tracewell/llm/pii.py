@@ -4,7 +4,7 @@ The base finds e-mail addresses, IP addresses, payment cards and phone numbers.
 of letters, digits and joining marks with DIGITS digits or more. Its patterns are lexical: the CONTEXT words before it, each with the marks and spaces after it.
 
 With wide=True there is more. Candidates are also tokens of LENGTH letters and digits or more with a digit; those that have the shape of a key (SECRET) are seeds too,
-but only in a sample of the texts, one of SEED_PARTS by their hash: elsewhere nothing but learned patterns finds them, and no span comes of SECRET itself. And there are more
+but only in a sample of the texts, one of parts by their hash (SEED_PARTS, to measure; the query takes all): elsewhere nothing but learned patterns finds them, and no span comes of SECRET itself. And there are more
 patterns: the last word by itself if a mark such as = follows it (label); the label with the candidate's alphabet and length (label|hex:40); the HEAD letters that a candidate
 begins with, with its alphabet and length (AKIA|upper:20).
 
@@ -48,7 +48,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 FOUND = "id"
 #: Seeds of the sample: identifiers of access keys, and numbers of 16 hexadecimal digits or more that have letters too.
 SECRET = "^(?:AKIA[0-9A-Z]{16}|(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{16,}+)$"
-#: Texts in how many have seeds of these shapes; the sample that scores are taken from.
+#: Texts in how many have seeds of these shapes; the sample that scores are taken from, where others have to be left to measure by.
 SEED_PARTS = 2
 DIGITS = 3
 #: A token, where the run that it begins has as many digits as it takes; so the words of a text are no matches.
@@ -152,7 +152,7 @@ def _free(candidates: Column, base: Column) -> Column:
     return F.transform(kept, lambda i: F.get(candidates, i))
 
 
-def occurrences(docs: DataFrame, wide: bool = False) -> DataFrame:
+def occurrences(docs: DataFrame, wide: bool = False, parts: int = SEED_PARTS) -> DataFrame:
     """(rid, start, end, value, hash, seed, sampled, patterns): a row for each seed and each candidate that a pattern meets, in texts with a digit or an @. Seeds
     of the base have no value, only its hash. Equal texts have their rows once each."""
     rows = _base(docs.where("text RLIKE '[0-9@]'"), ())
@@ -162,7 +162,7 @@ def occurrences(docs: DataFrame, wide: bool = False) -> DataFrame:
     if not wide:
         spans = F.filter(spans, lambda s: F.length(_digits(s["value"])) >= DIGITS)
     rows = rows.withColumn("_b", base).withColumn("_s", F.coalesce(spans, empty)).withColumn("_s", F.when((F.size("_b") > 0) & (F.size("_s") > 0), _free(F.col("_s"), F.col("_b"))).otherwise(F.col("_s")))
-    rows = rows.withColumn("sampled", F.pmod(F.xxhash64("_t"), F.lit(SEED_PARTS)) == 0 if wide else F.lit(True))
+    rows = rows.withColumn("sampled", F.pmod(F.xxhash64("_t"), F.lit(parts)) == 0 if wide else F.lit(True))
     secret = lambda s: F.col("sampled") & s["value"].rlike(SECRET) if wide else F.lit(False)
 
     def row(s: Column, own: bool) -> Column:
@@ -207,11 +207,12 @@ def patterns(docs: DataFrame, wide: bool = False) -> list[str]:
     return [r.context for r in contexts(docs, wide).orderBy("round", F.desc("score"), "context").collect()]
 
 
-def find(docs: DataFrame, kept: DataFrame | None = None, carry: tuple[str, ...] = ("doc_id",), wide: bool = False) -> DataFrame:
+def find(docs: DataFrame, kept: DataFrame | None = None, carry: tuple[str, ...] = ("doc_id",), wide: bool = False, parts: int = SEED_PARTS) -> DataFrame:
     """The columns of carry; n_email, n_ip, n_card, n_phone (base spans, long), base_sha256, spans (all of them as kind:start:end), and
-    found: array of (start, end, value, context) of the spans that a pattern found, with the first of its patterns that is kept. kept: contexts, else those of docs."""
+    found: array of (start, end, value, context) of the spans that a pattern found, with the first of its patterns that is kept. kept: contexts, else those of docs. parts: one text in so many
+    teaches by SECRET; 1 for every text, where none has to be left over to measure by."""
     with scratch():
-        met = stash(occurrences(docs, wide), "occurrences")
+        met = stash(occurrences(docs, wide, parts), "occurrences")
         if kept is None:
             kept = _bootstrap(met, wide)
         spare = met.where("value IS NOT NULL").select("rid", "start", "end", "value", F.posexplode("patterns").alias("at", "context"))

@@ -73,3 +73,28 @@ def test_stages(spark, tmp_path):
         before = {i: r.text for i, r in got.items()} if name != "encode" else before
     whole = corpus_pipeline.run(spark, d)
     assert {r.doc_id: r.ids for r in whole.collect()} == {i: r.ids for i, r in got.items()}
+
+
+def test_near_dedup_joins_by_fingerprints_and_by_sets(spark):
+    """Documents 3 bits apart go that share less than 0.8, and those that share 0.8 and are further apart; one chain of both kinds is one group."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    flat = lambda n: [r.choice(words) for _ in range(n)]
+    shared, sets = lambda a, b: len(a & b) / len(a | b), lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    bits = lambda a, b: bin(plain_fingerprint(a) ^ plain_fingerprint(b)).count("1")
+    # The same three words, over and over, decide the fingerprint; what stands around them the sets of five words.
+    tail = " ".join(flat(30))
+    loop = "x y z " * 40
+    a, b = loop + " ".join(flat(12)) + " " + tail, loop + " ".join(flat(12)) + " " + tail
+    assert bits(a, b) <= 3 and shared(sets(a), sets(b)) < 0.8
+    while True:
+        c = flat(100)
+        d = list(c)
+        for i in r.sample(range(100), 2):
+            d[i] = r.choice(words)
+        c, d = " ".join(c), " ".join(d)
+        if bits(c, d) > 3 and shared(sets(c), sets(d)) >= 0.83:
+            break
+    rows = [(1, a), (2, b), (3, c), (4, d), (5, " ".join(flat(100))), (6, a), (6, a), (7, None), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3, 5, 7]

@@ -110,7 +110,7 @@ def links(fps: DataFrame) -> DataFrame:
     return joined.select("node", "root").unionAll(again.select("root", "root")).distinct().join(again, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, fp, root, component_id): rid is a hash of doc_id and text, root the component's smallest fingerprint."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -127,10 +127,10 @@ def _labelled(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id long, fingerprint string, component_id long), a row for each row of docs."""
-    return _labelled(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return labelled(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, labelled: Callable[[DataFrame], DataFrame] = _labelled) -> DataFrame:
+def keep_one(docs: DataFrame, labelled: Callable[[DataFrame], DataFrame] = labelled) -> DataFrame:
     """The documents' five columns, one row of each component: that with the smallest doc_id. Rows without a doc_id come last; of
     rows with the same doc_id in one component one stays, always the same. labelled gives doc_id, rid and root.
 

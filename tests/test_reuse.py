@@ -136,3 +136,21 @@ def test_contract_rules(spark):
     texts = spark.createDataFrame([("tools/c.py", long)], "path string, text string")
     status = {r.path: r.status for r in deadcode.deadcode(facts, texts).collect()}
     assert status["lib/a.py"] == "USED" and status["tools/b.py"] == "USED"  # the longest module that a name begins with; the end of a long path
+
+
+def test_index_of_asked_tokens_finds_the_same(spark):
+    """An index of the queries' tokens alone gives what one of every token gives, and holds no other token; a record without one isn't in it."""
+    from pyspark.sql import functions as F
+
+    own = {k: {f"t{(k * m) % 23}" for m in (1, 2, 3, 5)} | {f"own{k}"} for k in range(1, 20)} | {50: {"alone"}}
+    sets = spark.createDataFrame([(k, t) for k, x in own.items() for t in sorted(x)], "key long, token string")
+    queries = spark.createDataFrame([(1, t) for t in ("t1", "t4", "t9", "none")] + [(2, t) for t in ("t2", "t4")], "key long, token string")
+    for measure, even, wx in ((retrieval.JACCARD, False, "weights"), (retrieval.JACCARD, True, "even"), (retrieval.COVERAGE, False, "shared")):
+        weights = retrieval.idf(sets, len(own)).withColumn("idf", F.lit(1.0) if even else F.col("idf"))
+        every, few = retrieval.vocabulary(weights), retrieval.vocabulary(weights, queries)
+        index = retrieval.records(sets, few, weights if wx == "weights" else wx)
+        want = retrieval.top(retrieval.asked(queries, every), retrieval.records(sets, every), measure, 5)
+        got = retrieval.top(retrieval.asked(queries, few), index, measure, 5)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 10
+        held = {r.key: len(r.tokens) for r in index.collect()}
+        assert held == {k: n for k, x in own.items() if (n := len(x & {"t1", "t2", "t4", "t9"}))}

@@ -28,15 +28,29 @@ def idf(sets: DataFrame, n: int) -> DataFrame:
     return counted.withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
-def vocabulary(weights: DataFrame) -> DataFrame:
-    """weights (token, df, idf) with an id for each token, a written table: searches compare these. What asked and records are given has to be one vocabulary."""
+def vocabulary(weights: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """weights (token, df, idf) with an id for each token, a written table: searches compare these. What asked and records are given has to be one vocabulary. queries (key, token): only their tokens get
+    in, which is all that their search compares; then records has to be told what records weigh."""
+    if queries is not None:
+        tokens = stash(queries.select("token").distinct(), "asked tokens")
+        weights = weights.join(broadcast_if_small(tokens, BROADCAST_QUERIES), "token", "left_semi")
     return stash(weights.select("token", "df", "idf").withColumn("id", F.monotonically_increasing_id()), "vocabulary")
 
 
-def records(sets: DataFrame, words: DataFrame) -> DataFrame:
-    """(key, tokens, wx), a written table: the ids of each record's distinct tokens and their weight, for searches. sets: (key, token), words: as vocabulary gives them, with every token of sets."""
-    weighed = sets.join(broadcast_if_small(words.select("token", "idf", "id"), BROADCAST_QUERIES), "token")
-    return stash(weighed.groupBy("key").agg(F.collect_list("id").alias("tokens"), F.sum("idf").alias("wx")), "records")
+def records(sets: DataFrame, words: DataFrame, wx: str | DataFrame | None = None) -> DataFrame:
+    """(key, tokens, wx), a written table: the ids of each record's distinct tokens and their weight, for searches. sets: (key, token), words: as vocabulary gives them, with every token of sets.
+
+    With wx, words may be the tokens of the queries alone, and records without one of these are left out. wx is (token, idf) of every token, which the records' weight is summed up from; or "even", where each of
+    a record's tokens weighs 1; or "shared", for measures that don't ask what a record weighs: then it is the weight of its tokens in words."""
+    if wx is None or isinstance(wx, str) and wx == "shared":
+        weighed = sets.join(broadcast_if_small(words.select("token", "idf", "id"), BROADCAST_QUERIES), "token")
+    elif isinstance(wx, str):
+        weighed = sets.join(broadcast_if_small(words.select("token", "id"), BROADCAST_QUERIES), "token", "left").withColumn("idf", F.lit(1.0))
+    else:
+        every = wx.select("token", "idf").join(broadcast_if_small(words.select("token", "id"), BROADCAST_QUERIES), "token", "left")
+        weighed = sets.join(F.broadcast(every) if wx.count() <= BROADCAST_QUERIES else every, "token")
+    held = weighed.groupBy("key").agg(F.collect_list("id").alias("tokens"), F.sum("idf").alias("wx"))
+    return stash(held if wx is None else held.where("size(tokens) > 0"), "records")
 
 
 class Measure(NamedTuple):
@@ -131,14 +145,14 @@ def at_least(tokens: DataFrame, index: DataFrame, measure: Measure, floors: Data
 
 def weighted_jaccard(queries: DataFrame, index: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, key, score): shared weight over the weight of either. queries and index: (key, token)."""
-    words = vocabulary(weights)
-    return top(asked(queries, words), records(index, words), JACCARD, k)
+    words = vocabulary(weights, queries)
+    return top(asked(queries, words), records(index, words, weights), JACCARD, k)
 
 
 def coverage(queries: DataFrame, index: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, key, score): the share of the query's weight that a record has."""
-    words = vocabulary(weights)
-    return top(asked(queries, words), records(index, words), COVERAGE, k)
+    words = vocabulary(weights, queries)
+    return top(asked(queries, words), records(index, words, "shared"), COVERAGE, k)
 
 
 def strongest(channels: dict[str, tuple[DataFrame, DataFrame, Measure, float]], k: int, other: bool = False) -> DataFrame:

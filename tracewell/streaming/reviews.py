@@ -96,7 +96,7 @@ def main(args: list[str] | None = None) -> int:
         follow(spark, said.verdicts, table, f"{said.state}/checkpoint", f"{said.state}/rejected").awaitTermination()
     if said.export:
         held = settled(table, found).where("state = 'current'")
-        write_text(said.export, json.dumps(exported(held, said.day, said.owner), indent=2, ensure_ascii=False) + "\n")
+        write_text(said.export, json.dumps(exported(held, said.day, said.owner, found), indent=2, ensure_ascii=False) + "\n")
     left = waiting(table, found).select(*KEYS).orderBy(*KEYS)
     n = 0
     for n, r in enumerate(left.toLocalIterator(), 1):

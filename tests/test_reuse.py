@@ -154,3 +154,25 @@ def test_index_of_asked_tokens_finds_the_same(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 10
         held = {r.key: len(r.tokens) for r in index.collect()}
         assert held == {k: n for k, x in own.items() if (n := len(x & {"t1", "t2", "t4", "t9"}))}
+
+
+def test_few_places_are_shuffled(spark, monkeypatch):
+    """Weights of frequent tokens, and pairs, go to the records: the rows are those of shuffled joins, and no shuffle stands under the index when it is scored."""
+    sets = spark.createDataFrame([(k, f"t{t}") for k in range(60) for t in range(1, 40) if k % t == 0], "key long, token string")
+    queries = spark.createDataFrame([(q, f"t{t}") for q in range(5) for t in range(1, 12 + q) if (q + t) % 3], "key long, token string")
+    weights = retrieval.stash(retrieval.idf(sets, 60), "idf")
+    words = retrieval.vocabulary(weights, queries)
+    rows = lambda: sorted(tuple(x) for x in retrieval.weighted_jaccard(queries, sets, weights, 4).collect())
+    want = rows()
+    plain = sorted(((x.key, x.token, round(x.idf, 9), x.id) for x in sets.join(weights.select("token", "idf"), "token").join(words.select("token", "id"), "token", "left").collect()), key=str)
+    seen = []
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 6)
+    got = retrieval._weighed(sets, weights, words)
+    assert sorted(((x.key, x.token, round(x.idf, 9), x.id) for x in got.collect()), key=str) == plain and rows() == want
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 200_000)
+    index, asked = retrieval.records(sets, words, weights), retrieval.asked(queries, words)
+    pairs = spark.createDataFrame([(q, k) for q in range(5) for k in range(60)], "query long, key long")
+    score = lambda: retrieval.scored(pairs, asked, index, retrieval.JACCARD, True)
+    seen = [score()._jdf.queryExecution().executedPlan().toString(), sorted(map(tuple, score().collect()))]
+    monkeypatch.setattr(retrieval, "BROADCAST_PAIRS", 0)
+    assert seen[0].count("Exchange hashpartitioning(key") == 0 and sorted(map(tuple, score().collect())) == seen[1]

@@ -15,6 +15,8 @@ from ..plans.tables import broadcast_if_small, parallelism, stash
 FIRST, GROWTH = 16, 8
 #: Rows of queries, or of tokens' weights, that are sent to every task at most.
 BROADCAST_QUERIES = 200_000
+#: Pairs (query, key) that are sent to the records at most; beyond, both are shuffled.
+BROADCAST_PAIRS = 1_000_000
 
 
 def token_sets(records: DataFrame, key: str, tokens) -> DataFrame:
@@ -40,19 +42,29 @@ def vocabulary(weights: DataFrame, queries: DataFrame | None = None) -> DataFram
 def records(sets: DataFrame, words: DataFrame, wx: str | DataFrame | None = None) -> DataFrame:
     """(key, tokens, wx), a written table: the ids of each record's distinct tokens and their weight, for searches. sets: (key, token), words: as vocabulary gives them, with every token of sets.
 
-    With wx, words may be the tokens of the queries alone, and records without one of these are left out. wx is (token, idf) of every token, which the records' weight is summed up from; or "even", where each of
+    With wx, words may be the tokens of the queries alone, and records without one of these are left out. wx is (token, df, idf) of every token, which the records' weight is summed up from; or "even", where each of
     a record's tokens weighs 1; or "shared", for measures that don't ask what a record weighs: then it is the weight of its tokens in words."""
     if wx is None or isinstance(wx, str) and wx == "shared":
         weighed = sets.join(broadcast_if_small(words.select("token", "idf", "id"), BROADCAST_QUERIES), "token")
     elif isinstance(wx, str):
         weighed = sets.join(broadcast_if_small(words.select("token", "id"), BROADCAST_QUERIES), "token", "left").withColumn("idf", F.lit(1.0))
     else:
-        every = wx.select("token", "idf").join(broadcast_if_small(words.select("token", "id"), BROADCAST_QUERIES), "token", "left")
-        weighed = sets.join(F.broadcast(every) if wx.count() <= BROADCAST_QUERIES else every, "token")
+        weighed = _weighed(sets, wx, words)
     held = weighed.groupBy("key").agg(F.collect_list("id").alias("tokens"), F.sum("idf").alias("wx"))
     return stash(held if wx is None else held.where("size(tokens) > 0"), "records")
 
 
+def _weighed(sets: DataFrame, wx: DataFrame, words: DataFrame) -> DataFrame:
+    """sets with each token's idf, and its id if words has it. The weights of the BROADCAST_QUERIES most frequent tokens, about, are sent to every task, and only the others' places are shuffled: few of all, so
+    a record's tokens are mostly summed up where it stands."""
+    every, n = wx.select("token", "df", "idf").join(broadcast_if_small(words.select("token", "id"), BROADCAST_QUERIES), "token", "left"), wx.count()
+    if n <= BROADCAST_QUERIES:
+        return sets.join(F.broadcast(every.drop("df")), "token")
+    least = wx.agg(F.percentile_approx("df", 1 - BROADCAST_QUERIES / n)).first()[0]
+    common, rare = (every.where(F.col("df") > least).drop("df"), every.where(F.col("df") <= least).drop("df"))
+    return sets.join(F.broadcast(common), "token").unionByName(sets.join(F.broadcast(common.select("token")), "token", "left_anti").join(rare, "token"))
+
+
 class Measure(NamedTuple):
     """A score of the weight w that a query of weight wq shares with a record of weight wx, as SQL: it must not fall as w grows."""
 
@@ -85,9 +97,13 @@ def scored(pairs: DataFrame, tokens: DataFrame, index: DataFrame, measure: Measu
     """(query, key, score) of the pairs (query, key), computed from whole records; to six decimals. small: whether the queries are sent to every task."""
     pairs_of = F.sort_array(F.collect_list(F.struct("token", "idf")))
     weight = tokens.groupBy("query").agg(pairs_of.alias("q"), F.first("wq").alias("wq")).select("query", "wq", F.col("q.token").alias("ids"), F.col("q.idf").alias("idfs"))
-    # Few rows of much work: dealt out by number, or they would come together in a task or two.
-    dealt = pairs.repartition(parallelism(pairs), "key")
-    both = dealt.join(F.broadcast(weight) if small else weight, "query").join(index, "key")
+    pairs = stash(pairs.select("query", "key"), "pairs")
+    if pairs.count() <= BROADCAST_PAIRS:
+        both = index.join(F.broadcast(pairs), "key")
+    else:
+        # Few rows of much work: dealt out by number, or they would come together in a task or two.
+        both = pairs.repartition(parallelism(pairs), "key").join(index, "key")
+    both = both.join(F.broadcast(weight) if small else weight, "query")
     shared = "aggregate(array_sort(array_intersect(tokens, ids)), 0.0D, (s, t) -> s + element_at(idfs, CAST(array_position(ids, t) AS INT)))"
     both = both.withColumn("w", F.expr(shared))
     return both.select("query", "key", F.round(F.expr(measure.score.format(w="w", wq="wq", wx="wx")), 6).alias("score"))

@@ -2,7 +2,9 @@ import random
 
 from xxhash import xxh64_intdigest
 
+from tracewell.llm import simhash_dedup
 from tracewell.llm.simhash_dedup import fingerprint, keep_one, links, near_duplicates
+from tracewell.operators import graph
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, fp string"
 
@@ -111,3 +113,22 @@ def test_a_small_graph_takes_few_jobs(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert len(roots) == 1000 and {r["count"] for r in roots} == {3} and jobs <= 40
     print(jobs, "jobs")
+
+
+def test_nothing_is_broadcast_by_the_size_of_its_files(spark, monkeypatch):
+    """Replicas are 30 rows to each fingerprint, which Spark's estimate leaves out."""
+    plans, seen = [], simhash_dedup.stash
+
+    def told(df, label, keep=False):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return seen(df, label, keep)
+
+    monkeypatch.setattr(simhash_dedup, "stash", told)
+    monkeypatch.setattr(graph, "stash", told)
+    df = spark.createDataFrame([(i, f"{' '.join(f'w{i % 40}x{j}' for j in range(40))} {'end' if i % 3 else 'other'}") for i in range(80)], "doc_id long, text string")
+    out = near_duplicates(df)
+    plans.append(("labelled", out._jdf.queryExecution().executedPlan().toString()))
+    assert len({r["component_id"] for r in out.collect()}) < 80
+    assert {"met", "many", "mixed", "rooted", "labels"} <= {p[0] for p in plans} and [p[0] for p in plans if "BroadcastHashJoin" in p[1]] == []
+    big = graph.components(spark.range(100).selectExpr("id AS a", "id + 1 AS b"))
+    assert big.count() == 101 and [p[0] for p in plans if "BroadcastHashJoin" in p[1]] == []

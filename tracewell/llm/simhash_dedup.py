@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import FEW
-from ..plans.tables import broadcast_if_small
+from ..plans.tables import broadcast_if_small, shuffled
 from .common import DOCUMENT_COLUMNS, components, document_columns, scratch, stash
 
 MAX_BITS = 3
 WORDS_PER_SHINGLE = 3
 SEED = 42
-#: Keys of rows that are sent to every task at most.
-BROADCAST_ROWS = 2_000_000
+#: Keys of rows that are sent to every task at most: the driver holds them too, at some 100 bytes each. No other side of a join is sent.
+BROADCAST_ROWS = 300_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -96,18 +96,18 @@ def links(fps: DataFrame) -> DataFrame:
     """(node, root) for every fingerprint that links to another; fps: distinct values fp."""
     close = f"bit_count(fp ^ other) <= {MAX_BITS}"
     first = _homes(fps).groupBy("key").agg(F.min("fp").alias("other"), F.count("*").alias("homes"))
-    met = stash(_replicas(fps).join(first, "key").where("fp <> other OR homes > 1"), "met")
+    met = stash(_replicas(fps).join(shuffled(first), "key").where("fp <> other OR homes > 1"), "met")
     star = met.where(f"fp <> other AND {close}").select(F.col("fp").alias("a"), F.col("other").alias("b"))
     joined = components(star, few=FEW)
-    many = met.where("homes > 1").select("key", "fp").join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    many = met.where("homes > 1").select("key", "fp").join(shuffled(joined.withColumnRenamed("node", "fp")), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     many = stash(many, "many")
     mixed = many.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    mixed = stash(many.join(mixed, "key", "left_semi"), "mixed")
-    at_home = mixed.join(_homes(fps), ["key", "fp"], "left_semi").select("key", F.col("fp").alias("other"), F.col("root").alias("other_root"))
-    more = mixed.join(at_home, "key").where(f"root <> other_root AND {close}").select(F.col("root").alias("a"), F.col("other_root").alias("b")).distinct()
+    mixed = stash(many.join(shuffled(mixed), "key", "left_semi"), "mixed")
+    at_home = mixed.join(shuffled(_homes(fps)), ["key", "fp"], "left_semi").select("key", F.col("fp").alias("other"), F.col("root").alias("other_root"))
+    more = mixed.join(shuffled(at_home), "key").where(f"root <> other_root AND {close}").select(F.col("root").alias("a"), F.col("other_root").alias("b")).distinct()
     # Components of components: only roots are left to join.
     again = stash(components(more, few=FEW).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops")
-    return joined.select("node", "root").unionAll(again.select("root", "root")).distinct().join(again, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return joined.select("node", "root").unionAll(again.select("root", "root")).distinct().join(shuffled(again), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -119,10 +119,10 @@ def labelled(docs: DataFrame) -> DataFrame:
     with scratch():
         fps = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
         roots = links(fps.select("fp")).withColumnRenamed("node", "fp")
-        rooted = stash(fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+        rooted = stash(fps.join(shuffled(roots), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
         least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-        labels = stash(rooted.join(least, "root").select("fp", "root", "component_id"), "labels", keep=True)
-    return marked.join(labels, "fp").select("doc_id", "rid", "fp", "root", "component_id")
+        labels = stash(rooted.join(shuffled(least), "root").select("fp", "root", "component_id"), "labels", keep=True)
+    return marked.join(shuffled(labels), "fp").select("doc_id", "rid", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def keep_one(docs: DataFrame, labelled: Callable[[DataFrame], DataFrame] = label
     with scratch():
         marked = stash(labelled(docs), "labelled")
         best = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
-        held = marked.groupBy("doc_id", "rid", "root").agg(F.count("*").alias("n")).join(best, "root")
+        held = marked.groupBy("doc_id", "rid", "root").agg(F.count("*").alias("n")).join(shuffled(best), "root")
         stays = F.expr("rid = best.rid AND doc_id <=> best.doc_id")
         # A rid and doc_id may be in several components only if two texts share a hash: then the row stays.
         fate = held.groupBy("doc_id", "rid").agg(F.bool_or(stays).alias("stays"), F.sum("n").alias("n"))
